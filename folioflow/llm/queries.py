@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import mixture, sample, splits
+from folioflow.llm import leakage, mixture, overlap, sample, splits
 from folioflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: splits.broken_groups(table(s, d, "documents")),
     "p1_splits": lambda s, d: splits.assign_splits(table(s, d, "documents"), table(s, d, "manifest")),
+    "p6_found": lambda s, d: overlap.found_pairs(table(s, d, "documents"), table(s, d, "annotations")),
+    "p6_report": lambda s, d: overlap.overlap_report(table(s, d, "documents"), table(s, d, "annotations")),
     "p7_sample": lambda s, d: sample.corpus_sample(table(s, d, "manifest"), table(s, d, "documents")),
+    "p8_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark_items")),
+    "p8_report": lambda s, d: leakage.leak_report(leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark_items")), table(s, d, "benchmark_items")),
     "p9_found": lambda s, d: mixture.starved_sources(table(s, d, "documents"), table(s, d, "source_targets")),
     "p9_selected": lambda s, d: mixture.selected_documents(table(s, d, "documents"), table(s, d, "source_targets")),
     "p9_shares": lambda s, d: mixture.share_report(mixture.selected_documents(table(s, d, "documents"), table(s, d, "source_targets")), table(s, d, "source_targets")),
