@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import leakage, mixture, overlap, pii, sample, sentences, splits
+from folioflow.llm import leakage, mixture, ocr_repair, overlap, pii, sample, sentences, splits
 from folioflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: splits.broken_groups(table(s, d, "documents")),
     "p1_splits": lambda s, d: splits.assign_splits(table(s, d, "documents"), table(s, d, "manifest")),
+    "p2_found": lambda s, d: ocr_repair.find_noise(table(s, d, "ocr_line_data"), table(s, d, "ocr_line"), table(s, d, "lexicon")),
+    "p2_pages": lambda s, d: ocr_repair.readable_pages(table(s, d, "ocr_line_data"), table(s, d, "ocr_line"), table(s, d, "lexicon")),
     "p5_found": lambda s, d: pii.find_mentions(table(s, d, "annotations"), table(s, d, "feedback")).select("src", "row_id", "pii_type", "start_pos"),
     "p5_redacted": lambda s, d: pii.deidentify(table(s, d, "annotations"), table(s, d, "feedback")),
     "p6_found": lambda s, d: overlap.found_pairs(table(s, d, "documents"), table(s, d, "annotations")),
