@@ -17,23 +17,31 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.ids import base_name, member_key
 from folioflow.operators.nested import _items, object_text, valid_object
+from folioflow.plans.lineage import cut_lineage
 
 BLOCK_BITS = 16
 _NUMBERS = "^(.*?)([0-9]{1,12})([^0-9]*)([0-9]{1,6})([^0-9]*)$"
 _FOREVER = "9999-12-31 00:00:00"
+_SEP = "\u0001"
 
 
-def integer_key(path: Column) -> tuple[Column, Column]:
-    """(space, key): a path with its last two numbers cut out, and those numbers as one integer; reversible."""
-    part = lambda i: F.regexp_extract(path, _NUMBERS, i)
-    fits = path.rlike(_NUMBERS)
-    space = F.when(fits, F.concat(F.lit("n|"), part(1), F.lit("#"), F.length(part(2)).cast("string"), part(3), F.lit("#"), F.length(part(4)).cast("string"), part(5)))
-    return space.otherwise(F.concat(F.lit("p|"), path)), F.when(fits, F.concat(part(2), part(4)).cast("long")).otherwise(F.lit(0).cast("long"))
+def integer_key(path: Column) -> Column:
+    """struct(space, key): a path with its last two numbers cut out, and those numbers as one integer; reversible.
+
+    A path without two numbers is a space of its own with the key 0.
+    """
+    parts = F.split(F.regexp_replace(path, _NUMBERS, f"$1{_SEP}$2{_SEP}$3{_SEP}$4{_SEP}$5"), _SEP)
+    split = lambda x: F.when(
+        F.size(x) == 5,
+        F.struct(F.concat_ws("#", F.lit("n"), x[0], F.length(x[1]), x[2], F.length(x[3]), x[4]).alias("space"), F.concat(x[1], x[3]).cast("long").alias("key")),
+    ).otherwise(F.struct(F.concat(F.lit("p#"), x[0]).alias("space"), F.lit(0).cast("long").alias("key")))
+    return F.transform(F.array(parts), split)[0]
 
 
 def _keyed(rows: DataFrame, scope: Column, path: str, *keep: str) -> DataFrame:
-    space, key = integer_key(F.col(path))
-    return rows.select(F.concat_ws("|", scope, space).alias("space"), key.alias("key"), *keep).withColumn("block", F.shiftright(F.col("key"), BLOCK_BITS))
+    """Rows with their key space (as the 16 bytes of its digest, to keep shuffled rows short), block and key."""
+    coded = rows.select(scope.alias("_scope"), integer_key(F.col(path)).alias("_k"), *keep)
+    return coded.select(F.unhex(F.md5(F.concat_ws("|", "_scope", "_k.space"))).alias("space"), F.shiftright("_k.key", BLOCK_BITS).alias("block"), F.col("_k.key").alias("key"), *keep)
 
 
 def key_runs(parents: DataFrame) -> DataFrame:
@@ -84,7 +92,7 @@ def dangling(references: DataFrame, members: DataFrame) -> DataFrame:
     ``references``: field, row_id, space, block, key, at; ``members``: space, block, key, added, until. A reference
     holds if a span with added <= at < until exists. A null ``at`` holds no reference to account and is left out.
     """
-    references = references.filter("at is not null")
+    references, members = cut_lineage(references.filter("at is not null")), cut_lineage(members)
     covered = covered_keys(references, key_runs(members)).withColumn("_covered", F.lit(True))
     marked = references.join(covered, ["space", "block", "key"], "left")
     missing = marked.filter("_covered is null").select("field", "row_id", "at", F.lit("missing").alias("state"))
