@@ -36,9 +36,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def member_key(path: Column) -> Column:
-    """An archive member path apart from slash direction, letter case and Unicode form; null and blank are null."""
-    key = F.lower(nfc(F.replace(path, F.lit("\\"), F.lit("/"))))
-    return F.when(F.trim(key) != "", key)
+    """An archive member path apart from slash direction, letter case and Unicode form."""
+    return F.lower(nfc(F.replace(path, F.lit("\\"), F.lit("/"))))
 
 
 def base_name(path: Column) -> Column:

@@ -8,7 +8,7 @@ parent places are propagated by a vectorised take, and no row is parsed or loope
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,14 @@ VALUES: dict[str, tuple[str, ...]] = {
 _MARKS = "^[\\s\\uFEFF\\u200B]+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _unwrapped(text: Column) -> Column:
-    bare = F.regexp_replace(text, _MARKS, "")
-    inner = F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), F.lit(0))
-    return F.when(bare.startswith('"'), F.regexp_replace(inner, _MARKS, "")).otherwise(bare)
+    inner = lambda bare: F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), F.lit(0))
+    return bound(F.regexp_replace(text, _MARKS, ""), lambda bare: F.when(bare.startswith('"'), F.regexp_replace(inner(bare), _MARKS, "")).otherwise(bare))
 
 
 def object_text(payload: Column) -> Column:
@@ -44,22 +48,21 @@ def object_text(payload: Column) -> Column:
 
     Null, empty, truncated, scalar and array payloads give null.
     """
-    text = F.rtrim(_unwrapped(_unwrapped(payload)))
-    return F.when(text.startswith("{") & text.endswith("}"), text)
+    return bound(F.rtrim(_unwrapped(_unwrapped(payload))), lambda text: F.when(text.startswith("{") & text.endswith("}"), text))
 
 
 def valid_object(text: Column) -> Column:
     """``text`` where the whole of it parses as JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return bound(text, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
 
 
 def _items(raw: Column) -> Column:
     """Raw JSON of a list's places; an object in place of the list is its only item; anything else is null."""
-    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.startswith("{"), F.array(raw))
+    return bound(raw, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.startswith("{"), F.array(x)))
 
 
 def _objects(raw: Column, schema: str) -> Column:
-    """The list's places parsed by ``schema``; places that hold no object are null."""
+    """The list's places parsed by ``schema``; places that hold no object (or text that spells one) are null."""
     return F.transform(_items(raw), lambda x: F.when(x.startswith("{"), F.from_json(x, schema)))
 
 
@@ -68,7 +71,10 @@ def label_tree(text: Column) -> Column:
 
     Scalars are kept as text, since ids and numbers come in mixed JSON types; absent and null fields are null.
     """
-    top = F.from_json(text, "images string, annotations string")
+    return bound(F.from_json(text, "images string, annotations string"), _tree)
+
+
+def _tree(top: Column) -> Column:
     images = F.transform(
         _objects(top["images"], "`image.file.name` string, `image.category` string, `image.width` string, `image.capture` string"),
         lambda x: F.when(x.isNotNull(), F.struct(x["image.file.name"].alias("file_name"), x["image.category"].alias("category"), x["image.width"].alias("width"), x["image.capture"].alias("capture"))),
@@ -119,11 +125,14 @@ def _ordinals(index: pa.Array) -> pa.Array:
     return pa.array(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at)))))
 
 
+def readable(payload: Column) -> Column:
+    """The valid object text of a payload as an array of one, or an empty one: exploded, it is not evaluated again."""
+    return F.array_compact(F.array(valid_object(object_text(payload))))
+
+
 def trees(records: DataFrame, key: str = "label_id", payload: str = "payload") -> DataFrame:
     """(key, tree) of every readable record; unreadable ones give no row."""
-    texts = records.select(F.col(key).alias("key"), object_text(F.col(payload)).alias("_text")).filter("_text is not null")
-    valid = texts.select("key", valid_object(F.col("_text")).alias("_text")).filter("_text is not null")
-    return valid.select("key", label_tree(F.col("_text")).alias("tree"))
+    return records.select(F.col(key).alias("key"), F.explode(readable(F.col(payload))).alias("_text")).select("key", label_tree(F.col("_text")).alias("tree"))
 
 
 def flatten(records: DataFrame, level: str, key: str = "label_id", payload: str = "payload") -> DataFrame:
