@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.operators import nested, references
+from folioflow.functions import geometry, hashing, metrics, text
+from folioflow.functions.ids import base_name
+from folioflow.operators import index, lines, manifest, nested, quality, references, report, sampling, summary
+from folioflow.sources import files
 from folioflow.sources.tables import table
+from folioflow.streaming import feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +30,588 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_KEY = "substr(sha256({}), 1, 16)"
+_BUCKET = "(('0x' || substr(sha256({}), 1, 16))::UBIGINT % 100)"
+
+
+@query("stable_bucket", f"SELECT CASE WHEN {_BUCKET.format('document_id')} < 55 THEN 'clean' ELSE 'camera' END AS variant, count(*) AS n FROM documents GROUP BY 1")
+def stable_bucket(spark: SparkSession, at: str) -> DataFrame:
+    kind = F.when(hashing.bucket(F.col("document_id")) < 55, "clean").otherwise("camera")
+    return table(spark, at, "documents").groupBy(kind.alias("variant")).agg(F.count("*").alias("n"))
+
+
+_SPLIT = """
+SELECT doc_id, CASE WHEN n > 1 AND place <= greatest(1, round_even(n * 0.1, 0)) THEN 'dev' ELSE 'train' END AS assigned, lang
+FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY g ORDER BY sha256(g || ':' || doc_id), doc_id) AS place, count(*) OVER (PARTITION BY g) AS n
+      FROM (SELECT doc_id, lang, coalesce(category, 'unknown') AS g FROM documents))
+"""
+
+
+@query("stratified_split", f"SELECT doc_id, assigned FROM ({_SPLIT})")
+def stratified_split(spark: SparkSession, at: str) -> DataFrame:
+    return sampling.stratified_split(table(spark, at, "documents").select("doc_id", "category"), "doc_id", "category").select("doc_id", "assigned")
+
+
+@query("split_counts", f"SELECT lang, assigned, count(*) AS n FROM ({_SPLIT}) GROUP BY ALL")
+def split_counts(spark: SparkSession, at: str) -> DataFrame:
+    rows = sampling.stratified_split(table(spark, at, "documents").select("doc_id", "category", "lang"), "doc_id", "category")
+    return report.histogram(rows, ["lang", "assigned"])
+
+
+@query("threshold_tags", """
+SELECT row_id, concat_ws(',', CASE WHEN place <= 2 THEN 'smoke' END, CASE WHEN place <= 10 THEN 'regression' END, CASE WHEN place <= 50 THEN 'research' END) AS tags
+FROM (SELECT row_id, row_number() OVER (PARTITION BY category ORDER BY sha256('seed:' || row_id)) AS place FROM manifest)
+""")
+def threshold_tags(spark: SparkSession, at: str) -> DataFrame:
+    tagged = sampling.threshold_tags(table(spark, at, "manifest"), "row_id", "category")
+    return tagged.select("row_id", F.array_join("tags", ",").alias("tags"))
+
+
+_SLOTS = {name: pattern.replace("'", "''") for name, pattern in sampling.SLOTS}
+_SLOT_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS slot FROM documents WHERE regexp_matches(text, '{pattern}')" for name, pattern in _SLOTS.items())
+_SLOT_TOP = f"SELECT slot, doc_id, rank FROM (SELECT slot, doc_id, row_number() OVER (PARTITION BY slot ORDER BY sha256(slot || ':' || doc_id), doc_id) AS rank FROM ({_SLOT_ROWS})) WHERE rank <= 10"
+
+
+def _slotted(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "documents").select("doc_id", sampling.slot_candidates(F.coalesce("text", F.lit(""))).alias("slots"))
+
+
+@query("slot_candidates", f"SELECT slot, count(*) AS n FROM ({_SLOT_ROWS}) GROUP BY 1")
+def slot_candidates(spark: SparkSession, at: str) -> DataFrame:
+    return _slotted(spark, at).select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+@query("slot_topk", _SLOT_TOP)
+def slot_topk(spark: SparkSession, at: str) -> DataFrame:
+    return sampling.slot_sample(_slotted(spark, at), "doc_id", "slots")
+
+
+@query("review_topk", f"SELECT doc_id FROM (SELECT DISTINCT doc_id FROM ({_SLOT_TOP})) ORDER BY sha256('review:' || doc_id) LIMIT 8")
+def review_topk(spark: SparkSession, at: str) -> DataFrame:
+    chosen = slot_topk(spark, at).select("doc_id").distinct()
+    return sampling.top_by_hash(chosen, 8, "review", F.col("doc_id").cast("string")).select("doc_id")
+
+
+@query("capped_selection", """
+SELECT row_id, source_split FROM manifest WHERE source_split = 'validation'
+UNION ALL (SELECT row_id, source_split FROM manifest WHERE source_split = 'training' ORDER BY sha256('capped:' || row_id) LIMIT 2000)
+""")
+def capped_selection(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "manifest").select("row_id", "source_split")
+    capped = sampling.top_by_hash(rows.filter("source_split = 'training'"), 2000, "capped", F.col("row_id").cast("string")).drop("rank")
+    return rows.filter("source_split = 'validation'").unionByName(capped)
+
+
+_TURNS = f"SELECT row_id, coalesce(category, 'unknown') AS category, sample_count, row_number() OVER (PARTITION BY coalesce(category, 'unknown') ORDER BY {_KEY.format('row_id::VARCHAR')}, row_id) AS turn, {_KEY.format('row_id::VARCHAR')} AS h FROM manifest"
+
+
+@query("balanced_sample", f"SELECT row_id, row_number() OVER (ORDER BY turn, category, h, row_id) AS position FROM (SELECT * FROM ({_TURNS}) ORDER BY turn, category, h, row_id LIMIT 500)")
+def balanced_sample(spark: SparkSession, at: str) -> DataFrame:
+    return sampling.balanced_sample(table(spark, at, "manifest"), "row_id", "category", 500).select("row_id", "position")
+
+
+@query("budget_sample", f"""
+SELECT row_id, sample_count, preceding FROM (
+  SELECT row_id, sample_count, coalesce(sum(sample_count) OVER (ORDER BY turn, category, h, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS preceding
+  FROM ({_TURNS.replace('FROM manifest', 'FROM manifest WHERE sample_count > 0')})
+) WHERE preceding < 2000
+""")
+def budget_sample(spark: SparkSession, at: str) -> DataFrame:
+    return sampling.budget_sample(table(spark, at, "manifest"), "row_id", "category", "sample_count", 2000).select("row_id", "sample_count", "preceding")
+
+
+def _capped(part: str, n: int) -> str:
+    return f"(SELECT row_id, '{part}' AS part FROM ({_TURNS.replace('FROM manifest', f'FROM manifest WHERE dataset_split = {chr(39)}{part}{chr(39)}')}) ORDER BY turn, category, h, row_id LIMIT {n})"
+
+
+@query("capped_train_dev", f"SELECT * FROM {_capped('train', 270)} UNION ALL SELECT * FROM {_capped('dev', 30)}")
+def capped_train_dev(spark: SparkSession, at: str) -> DataFrame:
+    return sampling.capped_train_dev(table(spark, at, "manifest"), "row_id", "category", "dataset_split", 300).select("row_id", "part")
+
+
+@query("final_topn", "SELECT row_id, row_number() OVER (ORDER BY sha256('final:' || category || ':' || row_id)) AS rank FROM (SELECT row_id, category FROM manifest WHERE dataset_split = 'final' ORDER BY sha256('final:' || category || ':' || row_id) LIMIT 120)")
+def final_topn(spark: SparkSession, at: str) -> DataFrame:
+    final = table(spark, at, "manifest").filter("dataset_split = 'final'")
+    return sampling.top_by_hash(final, 120, "final", F.concat_ws(":", "category", F.col("row_id").cast("string"))).select("row_id", "rank")
+
+
+_INDEX = 'SELECT row_id, "end" - n AS first, "end" FROM (SELECT row_id, sample_count::BIGINT AS n, (sum(sample_count) OVER (ORDER BY row_id))::BIGINT AS "end" FROM manifest WHERE sample_count > 0)'
+
+
+@query("prefix_index", _INDEX)
+def prefix_index(spark: SparkSession, at: str) -> DataFrame:
+    return index.prefix_index(table(spark, at, "manifest"), "row_id", "sample_count")
+
+
+@query("sample_locate", f'SELECT event_id, row_id, event_id - first AS place FROM events JOIN ({_INDEX}) ON event_id >= first AND event_id < "end"')
+def sample_locate(spark: SparkSession, at: str) -> DataFrame:
+    asked = table(spark, at, "events").select("event_id")
+    return index.locate(prefix_index(spark, at), "row_id", asked, "event_id")
+
+
+def _batches(epoch: int, world: int, rank: int, size: int, resume: int) -> str:
+    return f"""
+WITH o AS (SELECT row_id, sample_count AS n, row_number() OVER (ORDER BY sha256('epoch:{epoch}:' || row_id), row_id) - 1 AS turn FROM manifest WHERE sample_count > 0),
+m AS (SELECT row_id, n, (sum(n) OVER (ORDER BY turn) - n)::BIGINT AS b FROM o WHERE turn % {world} = {rank}),
+p AS (SELECT row_id, n, b, unnest(range(b // {size}, (b + n - 1) // {size} + 1)) AS batch FROM m)
+SELECT batch, row_id, greatest(0, batch * {size} - b)::BIGINT AS first, (least(n, (batch + 1) * {size} - b) - 1)::BIGINT AS last
+FROM p WHERE batch < (SELECT sum(n) FROM m) // {size} AND batch >= {resume}
+"""
+
+
+@query("epoch_batches", _batches(3, 4, 1, 64, 0))
+def epoch_batches(spark: SparkSession, at: str) -> DataFrame:
+    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 3, 4, 1, 64)
+
+
+@query("resume_batches", _batches(4, 2, 0, 128, 10))
+def resume_batches(spark: SparkSession, at: str) -> DataFrame:
+    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 4, 2, 0, 128, 10)
+
+
+@query("replacement_probe", """
+WITH s AS (SELECT row_id - 1 AS number, annotation_count > 2 AS valid, coalesce(dataset_split, 'none') AS split FROM manifest), t AS (SELECT count(*) AS total FROM s),
+c AS (SELECT number, a AS attempt, (('0x' || substr(sha256('stream-retry:' || split || ':' || number || ':' || a), 1, 16))::UBIGINT % total)::BIGINT AS used FROM s, t, range(1, 33) r(a) WHERE NOT valid)
+SELECT number, number AS used, 0 AS attempt FROM s WHERE valid
+UNION ALL SELECT s.number, arg_min(used, attempt), min(attempt)::INT FROM s LEFT JOIN (SELECT c.* FROM c JOIN s g ON g.number = c.used AND g.valid) h USING (number) WHERE NOT s.valid GROUP BY 1
+""")
+def replacement_probe(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "manifest").select((F.col("row_id") - 1).alias("number"), (F.col("annotation_count") > 2).alias("valid"), F.coalesce("dataset_split", F.lit("none")).alias("split"))
+    return index.replaced(rows, "number", "valid", "split", rows.count())
+
+
+_STEM = "lower(regexp_replace(regexp_replace(replace({0}, '\\', '/'), '^[^/]+/(.)', '\\1'), '([^/])\\.[^./]+$', '\\1'))"
+_BASE = "regexp_extract(replace({0}, '\\', '/'), '[^/]*$')"
+
+
+@query("relative_stem", f"SELECT row_id, {_STEM.format('image_member')} AS stem, {_BASE.format('image_member')} AS base FROM manifest")
+def relative_stem(spark: SparkSession, at: str) -> DataFrame:
+    path = F.col("image_member")
+    return table(spark, at, "manifest").select("row_id", manifest.relative_stem(path).alias("stem"), base_name(manifest.slashed(path)).alias("base"))
+
+
+_IMAGES = "(SELECT DISTINCT member_path FROM archive_members WHERE kind = 'image')"
+
+
+@query("pair_two_stage", f"""
+WITH s AS (SELECT {_STEM.format('member_path')} AS stem FROM {_IMAGES} GROUP BY 1), b AS (SELECT {_BASE.format('member_path')} AS base FROM {_IMAGES} GROUP BY 1 HAVING count(*) = 1)
+SELECT CASE WHEN s.stem IS NOT NULL THEN 'relative_stem' WHEN b.base IS NOT NULL THEN 'file_name' ELSE 'missing' END AS paired_by, count(*) AS n
+FROM manifest m LEFT JOIN s ON s.stem = {_STEM.format('m.label_member')} LEFT JOIN b ON b.base = {_BASE.format('m.image_member')} GROUP BY 1
+""")
+def pair_two_stage(spark: SparkSession, at: str) -> DataFrame:
+    images = table(spark, at, "archive_members").filter("kind = 'image'").select("member_path").distinct()
+    rows = table(spark, at, "manifest").select("row_id", "label_member", base_name(manifest.slashed(F.col("image_member"))).alias("declared"))
+    return manifest.pair_labels(rows, images, "label_member", "declared", "member_path").groupBy("paired_by").agg(F.count("*").alias("n"))
+
+
+@query("pair_last_wins", f"""
+WITH l AS (SELECT {_BASE.format('member_path')} AS name, arg_max(zip_path, (added_at, zip_path)) AS image FROM archive_members WHERE kind = 'image' GROUP BY 1)
+SELECT row_id, image FROM manifest JOIN l ON name = {_BASE.format('image_member')}
+""")
+def pair_last_wins(spark: SparkSession, at: str) -> DataFrame:
+    images = table(spark, at, "archive_members").filter("kind = 'image'").select(base_name(manifest.slashed(F.col("member_path"))).alias("name"), "zip_path", "added_at")
+    rows = table(spark, at, "manifest").select("row_id", base_name(manifest.slashed(F.col("image_member"))).alias("declared"))
+    return manifest.pair_by_name(rows, images, "declared", "name", "zip_path", "added_at").select("row_id", "image")
+
+
+@query("unmatched_both", """
+SELECT 'manifest' AS side, id FROM (SELECT id FROM manifest EXCEPT SELECT document_id FROM documents) WHERE id IS NOT NULL
+UNION ALL SELECT 'documents', document_id FROM (SELECT document_id FROM documents EXCEPT SELECT id FROM manifest) WHERE document_id IS NOT NULL
+""")
+def unmatched_both(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.unmatched(table(spark, at, "manifest"), table(spark, at, "documents").withColumnRenamed("document_id", "id"), "id", ("manifest", "documents"))
+
+
+@query("leakage_check", "SELECT author FROM documents WHERE dataset_split IN ('train', 'final') GROUP BY 1 HAVING count(DISTINCT dataset_split) > 1 AND author IS NOT NULL")
+def leakage_check(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.leaked_keys(table(spark, at, "documents").filter("author is not null"), "author", "dataset_split", "train", "final", None)
+
+
+@query("duplicate_ids", "SELECT id, count(*) AS copies FROM manifest GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.duplicates(table(spark, at, "manifest"), ["id"])
+
+
+_SHORT = f"regexp_replace({_BASE.format('image_member')}, '(.)\\.[^.]+$', '\\1')"
+
+
+@query("id_disambiguation", f"""
+SELECT row_id, CASE WHEN row_number() OVER (PARTITION BY {_SHORT} ORDER BY row_id) = 1 THEN {_SHORT} ELSE replace({_STEM.format('image_member')}, '/', '__') END AS document_id
+FROM manifest WHERE image_member <> ''
+""")
+def id_disambiguation(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "manifest").select("row_id", "image_member").filter("image_member <> ''")
+    return manifest.disambiguate(rows, "image_member", ["row_id"]).select("row_id", "document_id")
+
+
+_LABEL = "trim(regexp_replace(nfc_normalize(coalesce(annotation.text, '')), '[\\s\\p{Z}]+', ' ', 'g'))"
+_SOUND = "(annotation.bbox IS NOT NULL AND len(annotation.bbox) = 4 AND coalesce(isfinite(annotation.bbox[1]) AND isfinite(annotation.bbox[2]) AND isfinite(annotation.bbox[3]) AND isfinite(annotation.bbox[4]) AND annotation.bbox[3] >= 2 AND annotation.bbox[4] >= 2, false))"
+_REASON = f"CASE WHEN {_LABEL} = '' THEN 'empty' WHEN length({_LABEL}) > 25 THEN 'too_long' WHEN NOT {_SOUND} THEN 'invalid_bbox' ELSE 'valid' END"
+
+
+@query("reason_counts", f"SELECT {_REASON} AS reason, count(*) AS n FROM annotations GROUP BY 1")
+def reason_counts(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.rejection_counts(table(spark, at, "annotations"))
+
+
+@query("validity_filter", f"SELECT document_id, count(*) AS annotations, count(*) FILTER ({_REASON} = 'valid') AS samples FROM annotations GROUP BY 1")
+def validity_filter(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.sample_counts(table(spark, at, "annotations"), "document_id")
+
+
+@query("split_contract", """
+SELECT source_split, dataset_split, count(*) AS n FROM manifest
+WHERE dataset_split IS NOT NULL AND NOT coalesce((source_split, dataset_split) IN (('training', 'train'), ('training', 'dev'), ('validation', 'final')), false) GROUP BY ALL
+""")
+def split_contract(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.split_violations(table(spark, at, "manifest"), "source_split", "dataset_split")
+
+
+@query("nested_nav", "SELECT event_type, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS total FROM events GROUP BY 1")
+def nested_nav(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("int")).alias("total"))
+
+
+@query("reference_text", """
+SELECT document_id, count(*) AS n, string_agg(t, ' ' ORDER BY id, ann_key, t) AS reference
+FROM (SELECT DISTINCT document_id, coalesce(id, 0) AS id, ann_key, coalesce(annotation.text, '') AS t FROM annotations) GROUP BY 1
+""")
+def reference_text(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.reference_text(table(spark, at, "annotations"), "document_id")
+
+
+@query("manifest_statistics", """
+SELECT label_zip, count(*) AS rows, count(DISTINCT id) AS pages, count(*) FILTER (trim(coalesce(image_member, '')) = '') AS without_image,
+  count(*) FILTER (trim(coalesce(label_member, '')) = '') AS without_label, sum(annotation_count)::BIGINT AS annotations, sum(sample_count)::BIGINT AS samples FROM manifest GROUP BY 1
+""")
+def manifest_statistics(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.manifest_statistics(table(spark, at, "manifest"))
+
+
+@query("manifest_examples", "SELECT row_id, label_zip FROM manifest WHERE image_member IS NULL ORDER BY label_zip, row_id LIMIT 20")
+def manifest_examples(spark: SparkSession, at: str) -> DataFrame:
+    return manifest.examples(table(spark, at, "manifest"), F.col("image_member").isNull(), ["label_zip", "row_id"]).select("row_id", "label_zip")
+
+
+_SEEN = "length(regexp_replace(text, '[\\s\\p{Z}]+', '', 'g'))"
+_LINES = "(SELECT DISTINCT analysis_id, line_id, text, confidence, x, y, width, height FROM ocr_line_data)"
+
+
+def _page_lines(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "ocr_line_data").select("analysis_id", "line_id", "text", "confidence", "x", "y", "width", "height").distinct()
+
+
+@query("words_to_lines", f"""
+SELECT analysis_id, string_agg(text, ' ' ORDER BY line_id, text) AS text, round(sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})), 2) AS confidence,
+  min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, min(line_id) AS first
+FROM {_LINES} WHERE trim(text) <> '' AND confidence >= 0 GROUP BY 1
+""")
+def words_to_lines(spark: SparkSession, at: str) -> DataFrame:
+    return lines.words_to_lines(_page_lines(spark, at), ["analysis_id"], "line_id", "text")
+
+
+@query("weighted_confidence", f"SELECT analysis_id, count(*) AS n, round(sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})), 6) AS confidence FROM ocr_line GROUP BY 1")
+def weighted_confidence(spark: SparkSession, at: str) -> DataFrame:
+    return lines.weighted_confidence(table(spark, at, "ocr_line"), ["analysis_id"])
+
+
+@query("reading_order", f"""
+WITH RECURSIVE p AS (SELECT analysis_id, greatest(3.0::DOUBLE, median(greatest(1, height)) * 0.55::DOUBLE) AS tol FROM {_LINES} GROUP BY 1),
+i AS (SELECT analysis_id, line_id, x, y, y + height / 2.0::DOUBLE AS c, row_number() OVER (PARTITION BY analysis_id ORDER BY y + height / 2.0::DOUBLE, x, line_id) AS k FROM {_LINES}),
+f AS (
+  SELECT analysis_id, k, line_id, x, y, 1 AS r, c AS s, 1 AS n FROM i WHERE k = 1
+  UNION ALL
+  SELECT i.analysis_id, i.k, i.line_id, i.x, i.y, CASE WHEN abs(i.c - f.s / f.n) <= tol THEN f.r ELSE f.r + 1 END,
+    CASE WHEN abs(i.c - f.s / f.n) <= tol THEN f.s + i.c ELSE i.c END, CASE WHEN abs(i.c - f.s / f.n) <= tol THEN f.n + 1 ELSE 1 END
+  FROM f JOIN i ON i.analysis_id = f.analysis_id AND i.k = f.k + 1 JOIN p ON p.analysis_id = f.analysis_id
+),
+t AS (SELECT *, min(y) OVER (PARTITION BY analysis_id, r) AS top FROM f)
+SELECT analysis_id, line_id, dense_rank() OVER (PARTITION BY analysis_id ORDER BY top, r) AS row, row_number() OVER (PARTITION BY analysis_id ORDER BY top, r, x, y, line_id) AS place FROM t
+""")
+def reading_order(spark: SparkSession, at: str) -> DataFrame:
+    return lines.reading_order(_page_lines(spark, at), ["analysis_id"], "line_id")
+
+
+_VALID = "length(regexp_replace(regexp_replace(text, '[\\s\\p{Z}]+', '', 'g'), '[^\\p{L}\\p{N}.,·:;!?%+\\-/()\\[\\]{}<>₩원년월일시분초]', '', 'g'))"
+
+
+@query("valid_char_ratio", f"SELECT analysis_id, id, round(CASE WHEN {_SEEN} = 0 THEN 0 ELSE {_VALID} / {_SEEN} END, 6) AS ratio FROM ocr_line")
+def valid_char_ratio(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "ocr_line").select("analysis_id", "id", F.round(text.valid_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query("candidate_score", f"""
+SELECT analysis_id, characters, round(v / characters, 6) AS valid_ratio, round(c, 6) AS confidence, round(0.80 * round(c, 6) + 15.0 * v / characters + 5.0 * least(1.0, ln(1 + characters) / ln(501)), 3) AS score
+FROM (SELECT analysis_id, sum({_SEEN})::BIGINT AS characters, sum({_VALID})::DOUBLE AS v, sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})) AS c FROM ocr_line GROUP BY 1)
+""")
+def candidate_score(spark: SparkSession, at: str) -> DataFrame:
+    return lines.score_pages(table(spark, at, "ocr_line"), ["analysis_id"])
+
+
+@query("choose_candidate", """
+SELECT user_id, event_type, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value + CASE WHEN event_type = 'view' THEN 3.0 ELSE 0.0 END DESC, event_id) AS place FROM events
+) WHERE place = 1
+""")
+def choose_candidate(spark: SparkSession, at: str) -> DataFrame:
+    return lines.choose_candidate(table(spark, at, "events"), ["user_id"], "event_type", "value", "event_id", "view").select("user_id", "event_type", "event_id")
+
+
+_K = "json_extract_string(props, '$.k')::INT"
+
+
+@query("candidate_routing", f"""
+SELECT event_id, concat_ws(',', CASE WHEN value < 72 OR k / 1000.0 >= 0.055 THEN 'normalized' END, CASE WHEN value < 72 THEN CASE WHEN k / 2000.0 <= 0.035 THEN 'sparse' ELSE 'block' END END,
+  CASE WHEN value < 72 AND k / 1000.0 >= 0.075 THEN 'binary' END) AS strategies FROM (SELECT event_id, value, {_K} AS k FROM events)
+""")
+def candidate_routing(spark: SparkSession, at: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, at, "events").select("event_id", F.array_join(lines.extra_strategies(F.col("value"), k / 2000, k / 1000), ",").alias("strategies"))
+
+
+@query("quality_verdict", f"""
+SELECT event_id, CASE WHEN b OR (value < 80 AND k / 4.0 < 12) THEN 'retake' ELSE 'pass' END AS verdict, concat_ws(',', CASE WHEN b THEN 'blank' END, CASE WHEN value < 80 THEN 'blurry' END, CASE WHEN k / 4.0 < 12 THEN 'low_contrast' END) AS reasons
+FROM (SELECT event_id, value, k, k / 100.0 < 0.001 OR k / 100.0 > 0.70 AS b FROM (SELECT event_id, value, {_K} AS k FROM events))
+""")
+def quality_verdict(spark: SparkSession, at: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    seen = (k / 100, F.col("value"), k / 4)
+    return table(spark, at, "events").select("event_id", quality.verdict(*seen).alias("verdict"), F.array_join(quality.reasons(*seen), ",").alias("reasons"))
+
+
+_NOSPACE = "regexp_replace({0}, '[\\s\\p{{Z}}]+', '', 'g')"
+
+
+@query("char_error_rate", f"SELECT p_partkey, round(levenshtein({_NOSPACE.format('p_type')}, {_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_type')}), 6) AS cer FROM part")
+def char_error_rate(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "part").select("p_partkey", F.round(metrics.character_error_rate(F.col("p_type"), F.col("p_name")), 6).alias("cer"))
+
+
+@query("word_error_rate")
+def word_error_rate(spark: SparkSession, at: str) -> DataFrame:
+    both = table(spark, at, "part").select("p_partkey", text.words(F.concat_ws(" ", "p_type", "p_name")).alias("r"), text.words(F.col("p_name")).alias("h"))
+    return both.select("p_partkey", F.round(metrics.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
+
+
+def _multiset(source: str, key: str, a: str, b: str, pattern: str) -> str:
+    return f"""
+WITH t AS (SELECT {key}, unnest(regexp_extract_all(lower({a}), '{pattern}')) AS t, 1 AS r, 0 AS h FROM {source} UNION ALL SELECT {key}, unnest(regexp_extract_all(lower({b}), '{pattern}')), 0, 1 FROM {source}),
+c AS (SELECT {key}, t, sum(r) AS r, sum(h) AS h FROM t GROUP BY ALL), s AS (SELECT {key}, sum(least(r, h)) AS m, sum(r) AS r, sum(h) AS h FROM c GROUP BY 1),
+f AS (SELECT {key}, coalesce(m, 0)::BIGINT AS matched, coalesce(r, 0)::BIGINT AS refs, coalesce(h, 0)::BIGINT AS hyps FROM (SELECT {key} FROM {source}) LEFT JOIN s USING ({key})),
+g AS (SELECT *, CASE WHEN hyps = 0 THEN (refs = 0)::INT::DOUBLE ELSE matched / hyps END AS p, CASE WHEN refs = 0 THEN (hyps = 0)::INT::DOUBLE ELSE matched / refs END AS q FROM f)
+SELECT {key}, matched, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM g
+"""
+
+
+@query("word_f1", _multiset("part", "p_partkey", "p_type || ' ' || p_name", "p_name || ' ' || p_brand", "[\\p{L}\\p{N}]+"))
+def word_f1(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("r"), F.concat_ws(" ", "p_name", "p_brand").alias("h"))
+    return metrics.word_scores(rows, ["p_partkey"], "r", "h").select("p_partkey", "matched", F.round("f1", 6).alias("f1"))
+
+
+@query("numeric_f1", _multiset("feedback", "id", "created_at", "analysis_id", "\\d+(?:[.,:/-]\\d+)*%?"))
+def numeric_f1(spark: SparkSession, at: str) -> DataFrame:
+    return metrics.numeric_scores(table(spark, at, "feedback"), ["id"], "created_at", "analysis_id").select("id", "matched", F.round("f1", 6).alias("f1"))
+
+
+@query("score_bundle")
+def score_bundle(spark: SparkSession, at: str) -> DataFrame:
+    return metrics.score_bundle(table(spark, at, "part"), ["p_partkey"], "p_type", "p_name", "p_retailprice")
+
+
+@query("length_ratio_flag", f"""
+SELECT p_partkey, ratio, cer > 1.0 AND raw >= 2.0 AS flagged FROM (
+  SELECT p_partkey, length({_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_brand')}) AS raw, round(length({_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_brand')}), 3) AS ratio,
+    round(levenshtein({_NOSPACE.format('p_brand')}, {_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_brand')}), 4) AS cer FROM part)
+""")
+def length_ratio_flag(spark: SparkSession, at: str) -> DataFrame:
+    ratio = text.visible_count(F.col("p_name")) / text.visible_count(F.col("p_brand"))
+    flagged = (F.round(metrics.character_error_rate(F.col("p_brand"), F.col("p_name")), 4) > 1.0) & (ratio >= 2.0)
+    return table(spark, at, "part").select("p_partkey", F.round(ratio, 3).alias("ratio"), flagged.alias("flagged"))
+
+
+_MARKED = "'# ' || lang || chr(10) || '- **' || coalesce(source, '') || '** [' || document_id || '](x) <b>' || coalesce(category, '') || '</b> ![i](y)'"
+
+
+@query("strip_markup", f"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKED}, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'),
+  '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>]+>', ' ', 'g'), '(?m)^\\s{{0,3}}#{{1,6}}\\s*', '', 'g'), '(?m)^\\s*[-+>]\\s+', '', 'g'), '[`*_~|]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS plain FROM documents
+""")
+def strip_markup(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "documents").select("doc_id", text.markdown_text(F.expr(_MARKED)).alias("plain"))
+
+
+@query("profile_report", f"""
+SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_rate, round(median(value), 4) AS median_rate, count(*) FILTER (k > 90) AS flagged,
+  round(avg(value) FILTER (NOT k > 90), 4) AS mean_unflagged, round(avg(k), 4) AS mean_k FROM (SELECT *, {_K} AS k FROM events) GROUP BY 1
+""")
+def profile_report(spark: SparkSession, at: str) -> DataFrame:
+    return report.profile_report(_events(spark, at), "event_type", "value", F.col("k") > 90, {"mean_k": "k"})
+
+
+def _events(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+@query("strategy_histogram", f"SELECT event_type, {_K} % 5 AS strategy, count(*) AS n FROM events GROUP BY ALL")
+def strategy_histogram(spark: SparkSession, at: str) -> DataFrame:
+    return report.histogram(_events(spark, at).withColumn("strategy", F.col("k") % 5), ["event_type", "strategy"])
+
+
+@query("condition_report", f"""
+SELECT event_type, light, deformation, CASE WHEN grouping(light) = 0 THEN 'light' WHEN grouping(deformation) = 0 THEN 'deformation' ELSE 'all' END AS level, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median
+FROM (SELECT event_type, value, user_id % 7 AS light, {_K} % 3 AS deformation FROM events) GROUP BY GROUPING SETS ((event_type), (light, event_type), (deformation, event_type))
+""")
+def condition_report(spark: SparkSession, at: str) -> DataFrame:
+    rows = _events(spark, at).select("event_type", "value", (F.col("user_id") % 7).alias("light"), (F.col("k") % 3).alias("deformation"))
+    return report.condition_report(rows, "event_type", ["light", "deformation"], "value")
+
+
+_MEANS = f"(SELECT user_id, event_type, round(avg(value), 6) AS value, round(avg({_K}), 6) AS k, count(*) AS n FROM events GROUP BY ALL)"
+
+
+def _means(spark: SparkSession, at: str) -> DataFrame:
+    return _events(spark, at).groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("value"), F.round(F.avg("k"), 6).alias("k"), F.count("*").alias("n"))
+
+
+@query("effects_vs_base", f"""
+SELECT v.event_type, count(*) AS documents, round(round(avg(v.value), 4) - round(avg(b.value), 4), 4) AS gain, count(*) FILTER (v.value > b.value) AS wins, count(*) FILTER (v.value < b.value) AS losses
+FROM {_MEANS} v JOIN {_MEANS} b ON v.user_id = b.user_id AND b.event_type = 'view' WHERE v.event_type <> 'view' GROUP BY 1
+""")
+def effects_vs_base(spark: SparkSession, at: str) -> DataFrame:
+    return report.effects(_means(spark, at), "user_id", "event_type", "view", "value")
+
+
+_RULES = {"always_base": "false", "always_other": "true", "higher_k": "o.k > b.k", "more_events": "o.n > b.n", "best": "o.value > b.value"}
+
+
+@query("selector_report", " UNION ALL ".join(f"""
+SELECT '{rule}' AS rule, round(avg(CASE WHEN {pick} THEN o.value ELSE b.value END), 4) AS mean, count(*) FILTER ({pick}) AS picks, count(*) FILTER (({pick}) = (o.value > b.value)) AS agreements, count(*) AS documents
+FROM {_MEANS} b JOIN {_MEANS} o ON b.user_id = o.user_id WHERE b.event_type = 'view' AND o.event_type = 'click'
+""" for rule, pick in _RULES.items()))
+def selector_report(spark: SparkSession, at: str) -> DataFrame:
+    rules = {"always_base": None, "always_other": None, "higher_k": "k", "more_events": "n", "best": "value"}
+    return report.selectors(_means(spark, at), "user_id", "event_type", "view", "click", "value", rules)
+
+
+@query("recognition_report", f"SELECT count(*) AS n, round(avg(levenshtein({_NOSPACE.format('p_type')}, {_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_type')})), 4) AS mean_rate, round(avg((p_type = p_name)::INT), 4) AS exact, round(avg(p_retailprice), 4) AS mean_confidence FROM part")
+def recognition_report(spark: SparkSession, at: str) -> DataFrame:
+    return report.recognition_report(table(spark, at, "part"), "p_type", "p_name", "p_retailprice", metrics.character_error_rate(F.col("p_type"), F.col("p_name")))
+
+
+@query("length_percentiles", f"""
+WITH l AS (SELECT length({_LABEL}) AS v FROM annotations), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM l WHERE v > 0)
+SELECT count(*) AS labels, round(avg(v), 3) AS mean, max(v) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95, max(v) FILTER (i = round_even(0.99 * (n - 1), 0)) AS p99, max(v) AS longest,
+  count(*) FILTER (v > 25) AS over, (SELECT count(*) FROM l WHERE v = 0) AS empty FROM o
+""")
+def length_percentiles(spark: SparkSession, at: str) -> DataFrame:
+    lengths = table(spark, at, "annotations").select(F.length(text.label_text(F.col("annotation.text"))).alias("v"))
+    return report.length_profile(lengths, "v")
+
+
+_ROW = "sha256('{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}')"
+
+
+@query("table_fingerprint", "SELECT count(*) AS rows, sha256(concat_ws('-', count(*), " + ", ".join(f"sum(('0x' || substr(d, {1 + 12 * i}, 12))::UBIGINT)" for i in range(5)) + f")) AS fingerprint FROM (SELECT {_ROW} AS d FROM region)")
+def table_fingerprint(spark: SparkSession, at: str) -> DataFrame:
+    return hashing.table_fingerprint(table(spark, at, "region"))
+
+
+_PAD = "greatest(2, round_even({0} * 0.06, 0))::BIGINT"
+_B = ["annotation.bbox[1]", "annotation.bbox[2]", "annotation.bbox[3]", "annotation.bbox[4]"]
+
+
+@query("crop_rect", f"""
+SELECT * FROM (SELECT ann_key, greatest(0, floor({_B[0]})::BIGINT - {_PAD.format(_B[2])}) AS "left", greatest(0, floor({_B[1]})::BIGINT - {_PAD.format(_B[3])}) AS "top",
+  least(1240, ceil({_B[0]} + {_B[2]})::BIGINT + {_PAD.format(_B[2])}) AS "right", least(1754, ceil({_B[1]} + {_B[3]})::BIGINT + {_PAD.format(_B[3])}) AS "bottom"
+  FROM (SELECT DISTINCT * FROM annotations) WHERE {_SOUND}) WHERE "right" - "left" >= 2 AND "bottom" - "top" >= 2
+""")
+def crop_rect(spark: SparkSession, at: str) -> DataFrame:
+    box = F.col("annotation.bbox")
+    rows = table(spark, at, "annotations").distinct().filter((F.size(box) == 4))
+    rectangle = geometry.crop_rectangle(*(F.try_element_at(box, F.lit(i)) for i in (1, 2, 3, 4)), F.lit(1240), F.lit(1754))
+    return rows.select("ann_key", rectangle.alias("_r")).filter("_r is not null").select("ann_key", "_r.*")
+
+
+_H = [1.02, 0.015, -8.0, -0.01, 0.99, 5.0, 0.00001, 0.00002, 1.0]
+
+
+def _projected(u: str, v: str, row: int) -> str:
+    a, b, c = _H[3 * row : 3 * row + 3]
+    return f"round(({a}::DOUBLE * ({u}) + {b}::DOUBLE * ({v}) + {c}::DOUBLE) / ({_H[6]}::DOUBLE * ({u}) + {_H[7]}::DOUBLE * ({v}) + {_H[8]}::DOUBLE), 6)"
+
+
+_CORNERS = [("bbox.x", "bbox.y"), ("bbox.x + bbox.width", "bbox.y"), ("bbox.x + bbox.width", "bbox.y + bbox.height"), ("bbox.x", "bbox.y + bbox.height")]
+_PX, _PY = (", ".join(_projected(u, v, r) for u, v in _CORNERS) for r in (0, 1))
+
+
+@query("project_boxes", f"""
+SELECT analysis_id, id, l AS x, t AS y, greatest(1, r - l) AS width, greatest(1, b - t) AS height FROM (
+  SELECT analysis_id, id, greatest(0, least(1653, floor(least({_PX}))::BIGINT)) AS l, greatest(0, least(2338, floor(least({_PY}))::BIGINT)) AS t,
+    greatest(0, least(1654, ceil(greatest({_PX}))::BIGINT)) AS r, greatest(0, least(2339, ceil(greatest({_PY}))::BIGINT)) AS b FROM ocr_line)
+""")
+def project_boxes(spark: SparkSession, at: str) -> DataFrame:
+    box = geometry.project_box(*(F.col(f"bbox.{c}").cast("double") for c in ("x", "y", "width", "height")), _H, 1654, 2339)
+    return table(spark, at, "ocr_line").select("analysis_id", "id", box.alias("_b")).select("analysis_id", "id", "_b.*")
+
+
+_NUMBERED = "(SELECT analysis_id, text, row_number() OVER (PARTITION BY analysis_id ORDER BY id, text) AS i FROM (SELECT DISTINCT analysis_id, id, coalesce(text, '') AS text FROM ocr_line))"
+
+
+@query("numbered_prompt", f"SELECT analysis_id, string_agg('[' || i || '] ' || text, chr(10) ORDER BY i) AS prompt FROM {_NUMBERED} GROUP BY 1")
+def numbered_prompt(spark: SparkSession, at: str) -> DataFrame:
+    return summary.page_lines(table(spark, at, "ocr_line"), ["analysis_id"], "id").select("analysis_id", summary.numbered_prompt(F.col("lines")).alias("prompt"))
+
+
+@query("fallback_summary", f"""
+WITH u AS (SELECT analysis_id, i, trim(text) AS t, row_number() OVER (PARTITION BY analysis_id ORDER BY i) AS n FROM {_NUMBERED} WHERE text <> ''),
+a AS (SELECT analysis_id, i, row_number() OVER (PARTITION BY analysis_id ORDER BY i) AS m FROM u WHERE regexp_matches(t, '신청|접수|제출|문의|기간')),
+b AS (SELECT analysis_id, string_agg(i, ',' ORDER BY i) AS actions, count(*) AS na FROM a WHERE m <= 4 GROUP BY 1)
+SELECT analysis_id, substr(max(t) FILTER (n = 1), 1, 80) AS title, substr(string_agg(t, ' ' ORDER BY n) FILTER (n <= 3), 1, 500) AS overview,
+  coalesce(string_agg(i, ',' ORDER BY n) FILTER (n BETWEEN 2 AND 5), '') AS points, coalesce(any_value(actions), '') AS actions, 100.0::DOUBLE AS coverage
+FROM u LEFT JOIN b USING (analysis_id) GROUP BY 1
+""")
+def fallback_summary(spark: SparkSession, at: str) -> DataFrame:
+    made = summary.extractive_summary(summary.page_lines(table(spark, at, "ocr_line"), ["analysis_id"], "id"))
+    cited = lambda c: F.array_join(F.transform(c, lambda f: f["ids"][0].cast("string")), ",")
+    return made.select("analysis_id", "title", "overview", cited("key_points").alias("points"), cited("actions").alias("actions"), summary.citation_coverage(F.col("overview_ids"), F.col("key_points"), F.col("actions")).alias("coverage"))
+
+
+@query("clean_citations", """
+SELECT analysis_id, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), '') AS ids FROM (
+  SELECT analysis_id, unnest([id % 7, id % 7, id * 3]) AS c, count(*) OVER (PARTITION BY analysis_id) AS n FROM (SELECT DISTINCT analysis_id, id FROM ocr_line)
+) WHERE c BETWEEN 1 AND n GROUP BY 1
+""")
+def clean_citations(spark: SparkSession, at: str) -> DataFrame:
+    pages = table(spark, at, "ocr_line").select("analysis_id", "id").distinct().groupBy("analysis_id").agg(F.flatten(F.collect_list(F.array(F.col("id") % 7, F.col("id") % 7, F.col("id") * 3))).alias("c"), F.count("*").alias("n"))
+    cleaned = pages.withColumn("c", summary.clean_ids(F.col("c"), F.col("n")))
+    return cleaned.filter(F.size("c") > 0).select("analysis_id", F.array_join(F.transform("c", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("feedback_valid", """
+SELECT coalesce(CASE WHEN NOT coalesce(length(analysis_id), 0) BETWEEN 1 AND 64 THEN 'invalid_id' WHEN coalesce(accepted, 0) = 0 AND trim(coalesce(corrected_text, '')) = '' THEN 'missing_correction'
+  WHEN length(corrected_text) > 100000 THEN 'too_long' END, 'valid') AS problem, count(*) AS n FROM feedback GROUP BY 1
+""")
+def feedback_valid(spark: SparkSession, at: str) -> DataFrame:
+    problem = files.feedback_problem(F.col("analysis_id"), F.col("accepted"), F.col("corrected_text"))
+    return table(spark, at, "feedback").groupBy(F.coalesce(problem, F.lit("valid")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, at: str) -> DataFrame:
+    counted = feedback.windowed_counts(table(spark, at, "events"), "ts", "event_type", "value")
+    return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("branch_metrics", """
+SELECT strategy, metric, value FROM (SELECT strategy, round(avg(confidence), 4) AS confidence, round(avg(width), 4) AS width, round(avg(length(text)), 4) AS characters FROM ocr_line_data GROUP BY 1)
+UNPIVOT (value FOR metric IN (confidence, width, characters))
+""")
+def branch_metrics(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "ocr_line_data").withColumn("characters", F.length("text"))
+    return report.branch_metrics(rows, "strategy", {"confidence": "confidence", "width": "width", "characters": "characters"})
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return references.orphan_references(table(spark, at, "manifest"), table(spark, at, "label_records"), table(spark, at, "archive_members"))
