@@ -292,7 +292,7 @@ def units_with_text(documents: DataFrame, key: str = "doc_id") -> DataFrame:
             rows, number, starts, units = [], [], [], []
             for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
                 found = unit_starts(text, lang)
-                for n, (a, b) in enumerate(zip(found, [*found[1:], len(text)], strict=True)):
+                for n, (a, b) in enumerate(zip(found, [*found[1:], len(text)], strict=False)):
                     rows.append(i)
                     number.append(n)
                     starts.append(a)
