@@ -129,10 +129,10 @@ def capped_train_dev(spark: SparkSession, at: str) -> DataFrame:
     return sampling.capped_train_dev(table(spark, at, "manifest"), "row_id", "category", "dataset_split", 300).select("row_id", "part")
 
 
-@query("final_topn", "SELECT row_id, row_number() OVER (ORDER BY sha256('final:' || category || ':' || row_id)) AS rank FROM (SELECT row_id, category FROM manifest WHERE dataset_split = 'final' ORDER BY sha256('final:' || category || ':' || row_id) LIMIT 120)")
+@query("final_topn", "SELECT row_id, row_number() OVER (ORDER BY sha256('final:' || coalesce(category, 'unknown') || ':' || row_id)) AS rank FROM (SELECT row_id, category FROM manifest WHERE dataset_split = 'final' ORDER BY sha256('final:' || coalesce(category, 'unknown') || ':' || row_id) LIMIT 120)")
 def final_topn(spark: SparkSession, at: str) -> DataFrame:
     final = table(spark, at, "manifest").filter("dataset_split = 'final'")
-    return sampling.top_by_hash(final, 120, "final", F.concat_ws(":", "category", F.col("row_id").cast("string"))).select("row_id", "rank")
+    return sampling.top_by_hash(final, 120, "final", F.concat_ws(":", F.coalesce("category", F.lit("unknown")), F.col("row_id").cast("string"))).select("row_id", "rank")
 
 
 _INDEX = 'SELECT row_id, "end" - n AS first, "end" FROM (SELECT row_id, sample_count::BIGINT AS n, (sum(sample_count) OVER (ORDER BY row_id))::BIGINT AS "end" FROM manifest WHERE sample_count > 0)'

@@ -122,7 +122,10 @@ def photo_groups(found: DataFrame) -> DataFrame:
 
 
 def uploads(spark: SparkSession, folder: str, most_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """(path, length, error_code) of files in a landing folder: 415 for other types, 400 for empty, 413 for too large."""
+    """(path, length, error_code) of files in a landing folder: 415 for other types, 400 for empty, 413 for too large.
+
+    Spark's listing leaves files of no bytes out; 400 is for sources that give them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     code = F.when(~F.lower("path").rlike("\\.(jpe?g|png)$"), 415).when(F.col("length") == 0, 400).when(F.col("length") > most_bytes, 413)
     return files.withColumn("error_code", code)
