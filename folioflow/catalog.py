@@ -612,24 +612,66 @@ def branch_metrics(spark: SparkSession, at: str) -> DataFrame:
     return report.branch_metrics(rows, "strategy", {"confidence": "confidence", "width": "width", "characters": "characters"})
 
 
-@query("p3_found")
+_OBJECTS = """
+o AS (SELECT label_id, scanned_at, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t::JSON END AS o FROM (
+  SELECT label_id, scanned_at, regexp_replace(CASE WHEN starts_with(b, '"') AND json_valid(b) THEN json_extract_string(b, '$') ELSE b END, '^[\\s\\x{FEFF}]+', '') AS t
+  FROM (SELECT label_id, scanned_at, regexp_replace(payload, '^[\\s\\x{FEFF}]+', '') AS b FROM label_records) WHERE b <> ''))
+"""
+
+
+def _places(name: str, source: str, field: str, place: str) -> str:
+    keep = "label_id" if source == "o" else "label_id, node"
+    items = f"CASE json_type({field}) WHEN 'ARRAY' THEN {field}::JSON[] WHEN 'OBJECT' THEN [{field}] ELSE [] END"
+    each = f"SELECT {keep}, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT {keep}, {items} AS l FROM {source})"
+    return f"{name} AS (SELECT label_id, {place} AS node, x FROM ({each}) WHERE json_type(x) = 'OBJECT')"
+
+
+_FLAT = f"""
+WITH {_OBJECTS}, {_places('images', 'o', "(o->'images')", 'i::VARCHAR')}, {_places('notes', 'o', "(o->'annotations')", 'i::VARCHAR')},
+{_places('words', 'notes', "(x->'annotation.words')", "node || '.' || i")}, {_places('others', 'words', "(x->'alternatives')", "node || '.' || i")}
+"""
+_CLEAN = "lower(nfc_normalize(replace({0}, '\\', '/')))"
+_ORPHANS = f"""
+WITH {_OBJECTS}, f AS (SELECT label_id, scanned_at, regexp_extract(replace(CASE json_type(o->'images') WHEN 'ARRAY' THEN json_extract_string(o, '$.images[0]."image.file.name"') ELSE json_extract_string(o, '$.images."image.file.name"') END, '\\', '/'), '[^/]*$') AS name FROM o),
+r AS (
+  SELECT 'manifest.image_member' AS ref_field, row_id, scanned_at, 'image|' || lower(image_zip) || '|' || {_CLEAN.format('image_member')} AS k FROM manifest WHERE trim(image_member) <> ''
+  UNION ALL SELECT 'manifest.label_member', row_id, scanned_at, 'label|' || lower(label_zip) || '|' || {_CLEAN.format('label_member')} FROM manifest WHERE trim(label_member) <> ''
+  UNION ALL SELECT 'image.file.name', label_id, scanned_at, 'name|' || lower(nfc_normalize(name)) FROM f WHERE trim(name) <> ''),
+m AS (
+  SELECT kind || '|' || lower(zip_path) || '|' || {_CLEAN.format('member_path')} AS k, added_at, deleted_at FROM archive_members
+  UNION ALL SELECT 'name|' || regexp_extract({_CLEAN.format('member_path')}, '[^/]*$'), added_at, deleted_at FROM archive_members WHERE kind = 'image'),
+s AS (SELECT ref_field, row_id, scanned_at, count(added_at) AS n, coalesce(bool_or(added_at <= scanned_at AND (deleted_at IS NULL OR deleted_at > scanned_at)), false) AS alive, coalesce(bool_or(added_at > scanned_at), false) AS comes
+  FROM r LEFT JOIN m USING (k) GROUP BY ALL)
+SELECT ref_field, row_id, strftime(scanned_at, '%Y-%m') AS ref_month, CASE WHEN n = 0 THEN 'missing' WHEN comes THEN 'late' ELSE 'deleted' END AS ref_state FROM s WHERE NOT alive
+"""
+
+
+@query("p3_found", _ORPHANS)
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return references.orphan_references(table(spark, at, "manifest"), table(spark, at, "label_records"), table(spark, at, "archive_members"))
 
 
-@query("p3_report")
+@query("p3_report", f"SELECT ref_field, ref_month, ref_state, count(*) AS n_refs FROM ({_ORPHANS}) GROUP BY ALL")
 def p3_report(spark: SparkSession, at: str) -> DataFrame:
     return references.orphan_report(p3_found(spark, at))
 
 
-@query("p4_found")
+@query("p4_found", _FLAT + "SELECT label_id, 'images' AS child, node FROM images UNION ALL SELECT label_id, 'annotations', node FROM notes UNION ALL SELECT label_id, 'words', node FROM words UNION ALL SELECT label_id, 'alternatives', node FROM others")
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
     return nested.nodes(table(spark, at, "label_records"))
 
 
+_PARENT = "CASE WHEN contains(node, '.') THEN regexp_replace(node, '\\.[^.]*$', '') END AS parent"
+_TEXT = "json_extract_string(x, '$.\"{0}\"') AS {1}"
+_LEVEL_SQL = {
+    "words": f"{_FLAT} SELECT label_id, node, {_PARENT}, {_TEXT.format('word', 'word')}, {_TEXT.format('conf', 'conf')} FROM words",
+    "alternatives": f"{_FLAT} SELECT label_id, node, {_PARENT}, {_TEXT.format('word', 'word')}, {_TEXT.format('score', 'score')} FROM others",
+}
+
+
 def _level(level: str) -> Query:
     return lambda spark, at: nested.flatten(table(spark, at, "label_records"), level)
 
 
 for _name in nested.LEVELS:
-    query(f"p4_{_name}")(_level(_name))
+    query(f"p4_{_name}", _LEVEL_SQL.get(_name))(_level(_name))
