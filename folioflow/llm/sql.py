@@ -17,4 +17,21 @@ SELECT src, key, strftime(batch, '%Y-%m-%d') AS batch FROM (
 ) WHERE batch < open_day AND place <= ceil(n * 0.05)
 """
 
-ORACLES: dict[str, str] = {"p7_sample": _SAMPLE}
+_WIDE = "translate({0}, 'ＳｓＰｐ０１２３４５６７８９', 'SsPp0123456789')"
+#: Reachability over shared entities; groups are small enough on these tables for all pairs of a group.
+_GROUPS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, dataset_split, regexp_replace(regexp_replace(lower(document_id), '[^0-9a-z]+', '', 'g'), 'p[0-9]{{1,4}}$', '') AS volume,
+  nullif(regexp_extract(regexp_replace(upper({_WIDE.format('author')}), '[^0-9A-Z가-힣]+', '', 'g'), '(?:^|[^A-Z])S([0-9]{{8}})(?:[^0-9]|$)', 1), '') AS staff FROM documents),
+e AS (SELECT doc_id, 'v' || volume AS entity FROM d WHERE volume <> '' UNION SELECT doc_id, 's' || staff FROM d WHERE staff IS NOT NULL),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT b.doc_id, r.root FROM r JOIN e a ON a.doc_id = r.doc_id JOIN e b ON b.entity = a.entity),
+g AS (SELECT doc_id, min(root) AS group_id FROM r GROUP BY 1)
+SELECT doc_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g JOIN d USING (doc_id) GROUP BY 1 HAVING count(DISTINCT dataset_split) > 1)
+"""
+#: In characters instead of tokens: which sources stay below their weight does not depend on the unit here.
+_STARVED = """
+WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS s, coalesce(length(text), 0) AS n FROM documents)
+SELECT source FROM source_targets LEFT JOIN (SELECT s, sum(n) AS n FROM d GROUP BY 1) ON s = source
+WHERE coalesce(n, 0) * max_repeats < weight * (SELECT sum(n) FROM d)
+"""
+
+ORACLES: dict[str, str] = {"p1_found": _GROUPS, "p7_sample": _SAMPLE, "p9_found": _STARVED}
