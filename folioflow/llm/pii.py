@@ -11,10 +11,10 @@ name stands there (``name_parts``), and then recognised anywhere.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,18 +114,22 @@ def labelled_names(text: str) -> Iterator[tuple[str, str]]:
             yield "given", name[len(family) :]
 
 
-@lru_cache(maxsize=4)
-def _name_pattern(given: frozenset[str], latin: frozenset[str]) -> re.Pattern | None:
-    options = []
-    if given:
-        family = "|".join(f if len(f) == 1 else f"{f}|{f[0]}\\s{{1,2}}{f[1:]}" for f in _FAMILY)
-        after = r"(?=[^가-힣]|$|주무관|은|는|이|가|을|를|의|님|씨|에게|께|와|과|도|로|라고)"
-        before = r"(?:(?<![가-힣])|(?<=담당)|(?<=성명)|(?<=신청인)|(?<=보호자)|(?<=본인)|(?<=예금주)|(?<=위임받은))"
-        options.append(f"{before}(?:{family})\\s{{0,2}}(?:{'|'.join(sorted(given))}){after}")
-    if latin:
-        part = "|".join(sorted(latin))
-        options.append(f"(?<![A-Za-z0-9@._-])(?i:(?:{part})\\s{{1,2}}(?:{part})|[A-Z]\\.\\s{{0,2}}(?:{part}))(?![A-Za-z0-9@_-]|\\.[A-Za-z])")
-    return re.compile("|".join(options)) if options else None
+_FAMILIES = "|".join(f if len(f) == 1 else f"{f}|{f[0]}\\s{{1,2}}{f[1:]}" for f in _FAMILY)
+_HANGUL_NAME = re.compile(
+    r"(?:(?<![가-힣])|(?<=담당)|(?<=성명)|(?<=신청인)|(?<=보호자)|(?<=본인)|(?<=예금주)|(?<=위임받은))"
+    rf"(?:{_FAMILIES})\s{{0,2}}([가-힣]{{2}})(?=[^가-힣]|$|주무관|은|는|이|가|을|를|의|님|씨|에게|께|와|과|도|로|라고)"
+)
+_LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@._-])([A-Za-z]{3,}\s{1,2}|[A-Za-z]\.\s{0,2})([A-Za-z]{3,})(?![A-Za-z0-9@_-]|\.[A-Za-z])")
+
+
+def _names(form: str, given: frozenset[str], latin: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Spans of names by shape whose parts are known; a shape with unknown parts is tried again one sign further."""
+    for pattern, known in ((_HANGUL_NAME, lambda m: m.group(1) in given), (_LATIN_NAME, lambda m: m.group(2).casefold() in latin and (m.group(1)[1] == "." or m.group(1).strip().casefold() in latin))):
+        m = pattern.search(form) if given or latin else None
+        while m:
+            if known(m):
+                yield m.span()
+            m = pattern.search(form, m.end() if known(m) else m.start() + 1)
 
 
 DETECTORS = (("EMAIL", EMAIL), ("ID_NUMBER", ID_NUMBER), ("PHONE", PHONE), ("ADDRESS", ADDRESS))
@@ -142,16 +146,15 @@ def mentions(text: str | None, given: frozenset[str] = frozenset(), latin: froze
         return []
     form, at = plain(text)
     found: list[tuple[int, int, str]] = []
-    name = _name_pattern(given, latin)
-    for kind, pattern in (*DETECTORS, *((("NAME", name),) if name else ())):
-        for m in pattern.finditer(form):
-            a, b = m.span()
-            while a < b and not form[a].isalnum():
-                a += 1
-            if a < b and all(b <= x or y <= a for x, y, _ in found):
-                found.append((a, b, kind))
+    spans = [(kind, m.span()) for kind, pattern in DETECTORS for m in pattern.finditer(form)] + [("NAME", span) for span in _names(form, given, latin)]
+    for kind, (a, b) in spans:
+        while a < b and not form[a].isalnum():
+            a += 1
+        i = bisect.bisect(found, (a, b, kind))
+        if a < b and (i == 0 or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+            found.insert(i, (a, b, kind))
     place = (lambda i: i) if at is None else (lambda i: int(at[i]))
-    return [(kind, place(a), place(b - 1) + 1) for a, b, kind in sorted(found)]
+    return [(kind, place(a), place(b - 1) + 1) for a, b, kind in found]
 
 
 def redacted(text: str | None, given: frozenset[str] = frozenset(), latin: frozenset[str] = frozenset()) -> str | None:
