@@ -55,11 +55,19 @@ _ENGLISH = (
 )
 _GERMAN = "dr|prof|hr|fr|st|str|nr|nrn|abs|art|ziff|bzw|gem|ca|vgl|ggf|evtl|inkl|exkl|zzgl|tel|bd|jh|mio|mrd|lt|sog|max|min|z|b|d|h|u|a|o|i|v|e|s"
 
+_MISREAD = {"o": "[o0]", "l": "[l1i]", "i": "[il1]", "e": "[ec]", "c": "[ce]", "s": "[s5]", "b": "[b8]"}
+
+
+def _noisy(words: str) -> str:
+    """Alternatives of words as they stand or with letters that scanning confuses."""
+    return "".join(_MISREAD.get(c, c) for c in words)
+
+
 LANGUAGES: dict[str, Table] = {
     "ko": Table((
         # Dates, decimals, section numbers: a figure never ends a sentence.
         (False, r"\d\.", r""),
-        (False, r"(?i:\b(?:vol|ver|rev|no|v|p|pp|dr|mr|mrs|ms|st|co|inc|ltd))\.", r"\s*\S"),
+        (False, rf"(?i:\b(?:{_noisy('vol|ver|rev|no')}|v|p|pp|dr|mr|mrs|ms|st|co|inc|ltd))\.", r"\s*\S"),
         # A sentence may end without a period.
         (False, r"니다|\u1102\u1175\u1103\u1161", r"\s*(?:라고|라는|라며|만\b)"),
         (True, r"니다|\u1102\u1175\u1103\u1161", r"\s"),
@@ -68,7 +76,7 @@ LANGUAGES: dict[str, Table] = {
         (True, r"[.!?。]+[)\]]*", r""),
     )),
     "en": Table((
-        (False, rf"(?i:(?<![a-z])(?:{_ENGLISH})\.)", r"\s*\S"),
+        (False, rf"(?i:(?<![a-z0-9])(?:{_noisy(_ENGLISH)})\.)", r"\s*\S"),
         (False, r"\b[ap]\.m\.", r"\s+[a-z(\d]"),
         (False, r"\b[AP]\.M\.", r"\s+(?:ON|LOCAL|SHARP|WITHOUT|AND|TO|AT|FOR|IN)\b"),
         (False, r"\b(?i:etc)\.", r"[\s)]*[a-z,;]"),
