@@ -46,24 +46,31 @@ def alphanumeric_tokens(text: Column) -> Column:
     return F.regexp_extract_all(nfkc_casefold(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), 1)
 
 
+#: A number with inner separators and an optional percent sign (fixed value).
+NUMBER = "((?U)\\d+(?:[.,:/-]\\d+)*%?)"
+
+
 def numeric_tokens(text: Column) -> Column:
     """Numbers with inner separators and an optional percent sign."""
-    return F.regexp_extract_all(nfkc_casefold(F.coalesce(text, F.lit(""))), F.lit("((?U)\\d+(?:[.,:/-]\\d+)*%?)"), 1)
+    return F.regexp_extract_all(nfkc_casefold(F.coalesce(text, F.lit(""))), F.lit(NUMBER), 1)
+
+
+#: Rewrites of Markdown to plain text, in order: images, links, tags, code blocks, headings, list marks, emphasis (fixed values).
+MARKDOWN = (
+    ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),
+    ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
+    ("<[^>]+>", " "),
+    ("(?s)```.*?```", " "),
+    ("(?m)^\\s{0,3}#{1,6}\\s*", ""),
+    ("(?m)^\\s*[-+>]\\s+", ""),
+    ("[`*_~|]+", " "),
+)
 
 
 def markdown_text(markdown: Column) -> Column:
-    """Plain text of Markdown: no images, tags, code blocks, heading and list marks or emphasis; links keep their text."""
-    steps = (
-        ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),
-        ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
-        ("<[^>]+>", " "),
-        ("(?s)```.*?```", " "),
-        ("(?m)^\\s{0,3}#{1,6}\\s*", ""),
-        ("(?m)^\\s*[-+>]\\s+", ""),
-        ("[`*_~|]+", " "),
-    )
+    """Plain text of Markdown: links and emphasis keep their text, white space is collapsed; null as empty."""
     text = nfc(F.coalesce(markdown, F.lit("")))
-    for pattern, to in steps:
+    for pattern, to in MARKDOWN:
         text = F.regexp_replace(text, pattern, to)
     return collapse(text)
 

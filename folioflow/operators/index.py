@@ -9,6 +9,8 @@ from folioflow.functions.hashing import stable_key
 from folioflow.plans.ranks import preceding_total
 
 BLOCK = 1 << 12
+#: Seed of replacement numbers (fixed value).
+RETRY = "stream-retry"
 
 
 def prefix_index(rows: DataFrame, key: str, size: str) -> DataFrame:
@@ -62,7 +64,7 @@ def rank_batches(rows: DataFrame, key: str, size: str, epoch: int, world: int, r
 
 def replacement(number: Column, split: Column, attempt: Column, total: Column) -> Column:
     """The sample number that stands in at an attempt: a hash of split, number and attempt, modulo the total."""
-    text = F.concat_ws(":", F.lit("stream-retry"), split, number.cast("string"), attempt.cast("string"))
+    text = F.concat_ws(":", F.lit(RETRY), split, number.cast("string"), attempt.cast("string"))
     return (F.conv(stable_key(text), 16, 10).cast("decimal(20,0)") % total).cast("long")
 
 
