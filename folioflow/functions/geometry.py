@@ -47,3 +47,9 @@ def project_box(x: Column, y: Column, width: Column, height: Column, matrix: lis
     left, top = clamp(F.floor(F.least(*xs)), image_width - 1), clamp(F.floor(F.least(*ys)), image_height - 1)
     right, bottom = clamp(F.ceil(F.greatest(*xs)), image_width), clamp(F.ceil(F.greatest(*ys)), image_height)
     return F.struct(left.alias("x"), top.alias("y"), F.greatest(F.lit(1), right - left).cast("long").alias("width"), F.greatest(F.lit(1), bottom - top).cast("long").alias("height"))
+
+
+def percent_box(x: Column, y: Column, width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """struct(left, top, width, height) of a box as percentages of its image, for overlays; null for an empty image."""
+    share = lambda v, whole: F.round(F.try_divide(100.0 * v, whole), 4)
+    return F.struct(share(x, image_width).alias("left"), share(y, image_height).alias("top"), share(width, image_width).alias("width"), share(height, image_height).alias("height"))

@@ -85,3 +85,11 @@ def valid_ratio(text: Column) -> Column:
     visible = F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, "")
     valid = F.length(F.regexp_replace(visible, f"[^\\p{{L}}\\p{{N}}{signs}]", ""))
     return F.coalesce(F.try_divide(valid, F.length(visible)), F.lit(0.0))
+
+
+def result_text(result: Column) -> Column:
+    """The Markdown of a recogniser's JSON result: an object's ``markdown_texts`` (a list is joined by line breaks), or the text itself."""
+    listed = F.from_json(F.get_json_object(result, "$.markdown_texts"), "array<string>")
+    single = F.get_json_object(result, "$.markdown_texts")
+    whole = F.when(F.ltrim(result).startswith("{"), F.when(F.ltrim(single).startswith("["), F.array_join(listed, "\n")).otherwise(F.coalesce(single, F.lit(""))))
+    return whole.otherwise(F.coalesce(result, F.lit("")))

@@ -53,3 +53,12 @@ def citation_coverage(overview_ids: Column, key_points: Column, actions: Column)
     """Percentage of overview, key points and actions that cite a line, one digit; null without a summary."""
     cited = F.when(F.size(overview_ids) > 0, 1).otherwise(0) + F.size(F.filter(key_points, lambda f: F.size(f["ids"]) > 0)) + F.size(F.filter(actions, lambda f: F.size(f["ids"]) > 0))
     return F.round(100 * cited / (1 + F.size(key_points) + F.size(actions)), 1)
+
+
+def cited_lines(facts: DataFrame, lines: DataFrame, keys: list[str], ids: str, line_id: str) -> DataFrame:
+    """(keys, fact, lines columns): the lines that each fact cites, by an equi join on the exploded ids.
+
+    ``facts`` has a column ``fact`` that names it within the page; ids without a line give no row.
+    """
+    each = facts.select(*keys, "fact", F.explode(ids).alias(line_id))
+    return each.join(lines, [*keys, line_id])

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where none is set (tests), a temporary one."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; only local sessions without one (tests) get a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="folioflow-checkpoint-"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -36,6 +37,26 @@ def split_of(path_column: str = "path"):
     return found
 
 
+def dataset_root(spark: SparkSession, folder: str) -> str:
+    """The folder itself, or its only child, that holds a validation folder with archives; else an error."""
+    names = "|".join(SPLIT_FOLDERS["validation"])
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(folder).select("path")
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    pattern = f"/{re.escape(base)}/(?:([^/]+)/)?[^/]*(?i:{names})[^/]*/"
+    roots = [r[0] for r in listed.filter(F.col("path").rlike(pattern)).select(F.regexp_extract("path", pattern, 1)).distinct().limit(2).collect()]
+    if len(roots) != 1:
+        raise ValueError(f"{folder} holds {len(roots) or 'no'} dataset roots")
+    return folder.rstrip("/") + (f"/{roots[0]}" if roots[0] else "")
+
+
+def unique_file(spark: SparkSession, folder: str, name: str) -> str:
+    """The path of the only file below a folder with exactly this name; else an error. Brackets are literal."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").filter(F.element_at(F.split("path", "/"), -1) == name).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{name} is {'missing' if not found else 'not unique'} below {folder}")
+    return found[0].path
+
+
 def members(files: DataFrame, payload: bool = False) -> DataFrame:
     """(archive, position, member, kind, size, payload) of all files in the archives, in their stored order.
 

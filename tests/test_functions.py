@@ -70,3 +70,21 @@ def test_fingerprint_ignores_order_but_counts_repeats(spark):
     print_of = lambda rows: hashing.table_fingerprint(spark.createDataFrame(rows, "a int, b string")).first().fingerprint
     assert print_of([(1, "x"), (2, None)]) == print_of([(2, None), (1, "x")])
     assert len({print_of([(1, "x")]), print_of([(1, "x")] * 2), print_of([(1, None)]), print_of([(1, "")]), print_of([])}) == 5
+
+
+def test_percent_boxes_and_results(spark):
+    box = geometry.percent_box(*(F.lit(v) for v in (10, 20, 30, 40)), F.lit(200), F.lit(400))
+    assert tuple(spark.range(1).select(box.alias("x")).first().x) == (5.0, 5.0, 15.0, 10.0)
+    assert one(spark, text.result_text(F.col("a")), a='{"markdown_texts": ["# a", "b"]}') == "# a\nb"
+    assert one(spark, text.result_text(F.col("a")), a='{"markdown_texts": "x"}') == "x"
+    assert one(spark, text.result_text(F.col("a")), a="plain") == "plain"
+
+
+def test_settings():
+    from folioflow.settings import Settings, unquoted
+
+    assert unquoted(" 'x' ") == "x" and unquoted('"') == '"'
+    got = Settings.load({"FOLIOFLOW_PRIMARY_BIAS": '"2.5"', "FOLIOFLOW_MAX_LABEL_LENGTH": "", "OTHER": "1"})
+    assert (got.primary_bias, got.max_label_length) == (2.5, 25)
+    with pytest.raises(ValueError):
+        Settings.load({"FOLIOFLOW_DEV_FRACTION": "0.7"})

@@ -178,3 +178,9 @@ def test_length_profile_is_nearest_rank(spark):
     kept = sorted(v for v in values if v)
     assert (row.labels, row.empty, row.p95, row.p99, row.longest, row.over) == (77, 2, kept[round(0.95 * 76)], kept[round(0.99 * 76)], kept[-1], sum(v > 25 for v in kept))
     assert report.length_profile(spark.createDataFrame([], "v int"), "v").first().labels == 0
+
+
+def test_cited_lines(spark):
+    facts = spark.createDataFrame([(1, "f", [2, 9]), (1, "g", [])], "p int, fact string, ids array<int>")
+    frame = spark.createDataFrame([(1, 2, "zwei"), (1, 3, "drei")], "p int, line_id int, text string")
+    assert [tuple(r) for r in summary.cited_lines(facts, frame, ["p"], "ids", "line_id").collect()] == [(1, 2, "f", "zwei")]

@@ -106,3 +106,19 @@ def test_feedback_stream_keeps_valid_rows_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 4]
     files.append_feedback(spark.createDataFrame([(9, "a", 1, None)], "id long, analysis_id string, accepted int, corrected_text string"), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def test_roots_and_unique_files(spark, tmp_path):
+    folder = tmp_path / "data" / "set" / "2.Validation"
+    folder.mkdir(parents=True)
+    with zipfile.ZipFile(folder / "a[1].zip", "w") as z:
+        z.writestr("x.jpg", b"1")
+    assert archives.dataset_root(spark, str(tmp_path / "data")) == f"{tmp_path}/data/set"
+    assert archives.dataset_root(spark, str(tmp_path / "data" / "set")) == f"{tmp_path}/data/set"
+    assert archives.unique_file(spark, str(tmp_path), "a[1].zip").endswith("set/2.Validation/a[1].zip")
+    with pytest.raises(ValueError):
+        archives.unique_file(spark, str(tmp_path), "none.zip")
+    (tmp_path / "data" / "two" / "valid").mkdir(parents=True)
+    (tmp_path / "data" / "two" / "valid" / "b.zip").write_bytes((folder / "a[1].zip").read_bytes())
+    with pytest.raises(ValueError):
+        archives.dataset_root(spark, str(tmp_path / "data"))
