@@ -110,21 +110,31 @@ def labelled_names(text: str) -> Iterator[tuple[str, str]]:
             continue
         name = name.replace(" ", "")
         family = next((f for f in _FAMILY if name.startswith(f) and len(name) - len(f) == 2), None)
-        if family:
+        # A long one that may be a short name with a particle teaches nothing.
+        if family and not (len(family) > 1 and name[0] in FAMILY and name[-1] in "은는이가을를의"):
             yield "given", name[len(family) :]
 
 
-_FAMILIES = "|".join(f if len(f) == 1 else f"{f}|{f[0]}\\s{{1,2}}{f[1:]}" for f in _FAMILY)
-_HANGUL_NAME = re.compile(
-    r"(?:(?<![가-힣])|(?<=담당)|(?<=성명)|(?<=신청인)|(?<=보호자)|(?<=본인)|(?<=예금주)|(?<=위임받은))"
-    rf"(?:{_FAMILIES})\s{{0,2}}([가-힣]{{2}})(?=[^가-힣]|$|주무관|은|는|이|가|을|를|의|님|씨|에게|께|와|과|도|로|라고)"
+
+
+def _hangul_name(families: str) -> re.Pattern:
+    return re.compile(
+        r"(?:(?<![가-힣])|(?<=담당)|(?<=성명)|(?<=신청인)|(?<=보호자)|(?<=본인)|(?<=예금주)|(?<=위임받은))"
+        rf"(?:{families})\s{{0,2}}([가-힣]{{2}})(?=[^가-힣]|$|주무관|은|는|이|가|을|를|의|님|씨|에게|께|와|과|도|로|라고)"
+    )
+
+
+#: Family names of two syllables, then of one: what is no known name with the one may be with the other.
+_HANGUL_NAMES = (
+    _hangul_name("|".join(f"{f}|{f[0]}\\s{{1,2}}{f[1:]}" for f in _FAMILY if len(f) > 1)),
+    _hangul_name("|".join(f for f in _FAMILY if len(f) == 1)),
 )
 _LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@._-])([A-Za-z]{3,}\s{1,2}|[A-Za-z]\.\s{0,2})([A-Za-z]{3,})(?![A-Za-z0-9@_-]|\.[A-Za-z])")
 
 
 def _names(form: str, given: frozenset[str], latin: frozenset[str]) -> Iterator[tuple[int, int]]:
     """Spans of names by shape whose parts are known; a shape with unknown parts is tried again one sign further."""
-    for pattern, known in ((_HANGUL_NAME, lambda m: m.group(1) in given), (_LATIN_NAME, lambda m: m.group(2).casefold() in latin and (m.group(1)[1] == "." or m.group(1).strip().casefold() in latin))):
+    for pattern, known in (*((p, lambda m: m.group(1) in given) for p in _HANGUL_NAMES), (_LATIN_NAME, lambda m: m.group(2).casefold() in latin and (m.group(1)[1] == "." or m.group(1).strip().casefold() in latin))):
         m = pattern.search(form) if given or latin else None
         while m:
             if known(m):
