@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.textforms import compact, folded, local_scores, rolling_hashes
 
 GRAM = 3
-GRID = 8
-WIDTHS = (8, 16, 32, 48, 64)
+GRID = 4
+WIDTHS = (8, 16, 24, 32, 48, 64)
 RADIUS = 3
 #: Characters of items that one scan's broadcast may hold (about 100 bytes of index each).
 ITEM_CHARS = 1_000_000
@@ -40,9 +40,9 @@ _ONES = np.uint64(0x0101010101010101)
 
 
 def item_width(size: int) -> tuple[int, int]:
-    """(width, grid) for an item of ``size`` shingles: at most a third of it, and half of it covers width + grid."""
+    """(width, grid) for an item of ``size`` shingles: at most a quarter of it, and half of it covers width + grid."""
     for width in reversed(WIDTHS):
-        if width * 3 <= size and (width + GRID) * 2 <= size:
+        if width * 4 <= size and (width + GRID) * 2 <= size:
             return width, GRID
     return max(1, size // 2), 1
 
