@@ -182,6 +182,22 @@ def test_mixture_respects_quotas_repeats_and_reports_shares(spark):
     assert report["absent"].tokens == 0 and abs(sum(r.share for r in report.values()) - 1) < 1e-4
 
 
+def test_starved_sources_agree_with_counting_tokens_of_each_source(spark):
+    from folioflow.llm.tokens import VOCABULARY, _encoding
+
+    rng = random.Random(7)
+    rows = [(i, f"q-{i}", rng.choice(["a", "A ", "b-x", "b_x", "c", None]), rng.choice(["한 글 문장 ", "words of text ", "x1 "]) * rng.randrange(0, 30), DAY, "t", "p") for i in range(200)]
+    targets = [("a", 0.5, 1), ("b_x", 0.2, 2), ("c", 0.9, 3), ("none", 0.01, 9), ("free", 0.0, 1)]
+    count, total = Counter(), 0
+    for _, _, source, text, *_ in rows:
+        n = len(_encoding(VOCABULARY).encode_ordinary(text))
+        count[mixture_key(source)] += n
+        total += n
+    want = {s for s, w, r in targets if count[s] * r < round(w * total)}
+    got = mixture.starved_sources(spark.createDataFrame(rows, TEXTS), spark.createDataFrame(targets, "source string, weight double, max_repeats int"))
+    assert {r.source for r in got.collect()} == want and 0 < len(want) < len(targets)
+
+
 def mixture_key(source):
     return source and source.strip().lower().replace("-", "_") or None
 
