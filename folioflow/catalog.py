@@ -302,7 +302,7 @@ def _page_lines(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query("words_to_lines", f"""
-SELECT analysis_id, string_agg(text, ' ' ORDER BY line_id, text) AS text, round(sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})), 2) AS confidence,
+SELECT analysis_id, string_agg(text, ' ' ORDER BY line_id, text) AS text, round(sum(confidence::DECIMAL(18, 6) * greatest(1, {_SEEN}))::DOUBLE / sum(greatest(1, {_SEEN})), 2) AS confidence,
   min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, min(line_id) AS first
 FROM {_LINES} WHERE trim(text) <> '' AND confidence >= 0 GROUP BY 1
 """)
@@ -310,7 +310,7 @@ def words_to_lines(spark: SparkSession, at: str) -> DataFrame:
     return lines.words_to_lines(_page_lines(spark, at), ["analysis_id"], "line_id", "text")
 
 
-@query("weighted_confidence", f"SELECT analysis_id, count(*) AS n, round(sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})), 6) AS confidence FROM ocr_line GROUP BY 1")
+@query("weighted_confidence", f"SELECT analysis_id, count(*) AS n, round(sum(confidence::DECIMAL(18, 6) * greatest(1, {_SEEN}))::DOUBLE / sum(greatest(1, {_SEEN})), 6) AS confidence FROM ocr_line GROUP BY 1")
 def weighted_confidence(spark: SparkSession, at: str) -> DataFrame:
     return lines.weighted_confidence(table(spark, at, "ocr_line"), ["analysis_id"])
 
@@ -342,7 +342,7 @@ def valid_char_ratio(spark: SparkSession, at: str) -> DataFrame:
 
 @query("candidate_score", f"""
 SELECT analysis_id, characters, round(v / characters, 6) AS valid_ratio, round(c, 6) AS confidence, round(0.80 * round(c, 6) + 15.0 * v / characters + 5.0 * least(1.0, ln(1 + characters) / ln(501)), 3) AS score
-FROM (SELECT analysis_id, sum({_SEEN})::BIGINT AS characters, sum({_VALID})::DOUBLE AS v, sum(confidence * greatest(1, {_SEEN})) / sum(greatest(1, {_SEEN})) AS c FROM ocr_line GROUP BY 1)
+FROM (SELECT analysis_id, sum({_SEEN})::BIGINT AS characters, sum({_VALID})::DOUBLE AS v, sum(confidence::DECIMAL(18, 6) * greatest(1, {_SEEN}))::DOUBLE / sum(greatest(1, {_SEEN})) AS c FROM ocr_line GROUP BY 1)
 """)
 def candidate_score(spark: SparkSession, at: str) -> DataFrame:
     return lines.score_pages(table(spark, at, "ocr_line"), ["analysis_id"])

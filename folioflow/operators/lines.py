@@ -12,6 +12,11 @@ def _weight(text: Column) -> Column:
     return F.greatest(F.lit(1), visible_count(text))
 
 
+def _weighted_mean(confidence: str, weight: Column) -> Column:
+    """Mean of confidences by weight; null for nothing. Summed as decimals, so that the order of rows does not matter."""
+    return F.try_divide(F.sum(F.col(confidence).cast("decimal(18,6)") * weight).cast("double"), F.sum(weight))
+
+
 def words_to_lines(words: DataFrame, keys: list[str], position: str, text: str = "word", confidence: str = "confidence") -> DataFrame:
     """One row a line: text, confidence, x, y, width, height, first position; words in order of position.
 
@@ -21,7 +26,7 @@ def words_to_lines(words: DataFrame, keys: list[str], position: str, text: str =
     w = _weight(F.col(text))
     return used.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), " ").alias("text"),
-        F.round(F.sum(F.col(confidence) * w) / F.sum(w), 2).alias("confidence"),
+        F.round(_weighted_mean(confidence, w), 2).alias("confidence"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
         (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"), F.min(position).alias("first"),
     )
@@ -30,7 +35,7 @@ def words_to_lines(words: DataFrame, keys: list[str], position: str, text: str =
 def weighted_confidence(lines: DataFrame, keys: list[str], text: str = "text", confidence: str = "confidence") -> DataFrame:
     """(keys, n, confidence): confidence weighted by visible characters; 0 for nothing."""
     w = _weight(F.col(text))
-    return lines.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.coalesce(F.try_divide(F.sum(F.col(confidence) * w), F.sum(w)), F.lit(0.0)), 6).alias("confidence"))
+    return lines.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.coalesce(_weighted_mean(confidence, w), F.lit(0.0)), 6).alias("confidence"))
 
 
 def reading_order(boxes: DataFrame, page: list[str], box: str, share: float = 0.55, least: float = 3.0) -> DataFrame:
@@ -70,7 +75,7 @@ def score_pages(lines: DataFrame, keys: list[str], text: str = "text", confidenc
     """(keys, characters, valid_ratio, confidence, score) of each page or candidate."""
     w = _weight(F.col(text))
     page = lines.groupBy(*keys).agg(
-        F.round(F.coalesce(F.try_divide(F.sum(F.col(confidence) * w), F.sum(w)), F.lit(0.0)), 6).alias("confidence"),
+        F.round(F.coalesce(_weighted_mean(confidence, w), F.lit(0.0)), 6).alias("confidence"),
         F.sum(visible_count(F.col(text))).alias("characters"), F.sum(valid_ratio(F.col(text)) * visible_count(F.col(text))).alias("_valid"),
     )
     ratio = F.coalesce(F.try_divide(F.col("_valid"), F.col("characters")), F.lit(0.0))
