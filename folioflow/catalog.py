@@ -599,8 +599,7 @@ def feedback_valid(spark: SparkSession, at: str) -> DataFrame:
 
 @query("windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, at: str) -> DataFrame:
-    counted = feedback.windowed_counts(table(spark, at, "events"), "ts", "event_type", "value")
-    return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return feedback.windowed_counts(table(spark, at, "events"), "ts", "event_type", "value")
 
 
 @query("branch_metrics", """

@@ -27,6 +27,10 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(start, kind, n, total) per window; windows close ``late`` after their end. Works on batches and streams."""
-    timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
-    return timed.groupBy(F.window("_t", width), kind).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+    """(start, kind, n, total) per window; windows close ``late`` after their end. Works on batches and streams, on
+    instants and on zone-less times."""
+    kind_of_time = events.schema[time].dataType.simpleString()
+    # A watermark needs instants; zone-less times of a stream are taken in the session's zone and given back in it.
+    timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late) if events.isStreaming else events.withColumn("_t", F.col(time))
+    counted = timed.groupBy(F.window("_t", width), kind).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+    return counted.select(F.col("window.start").cast(kind_of_time).alias("start"), kind, "n", "total")

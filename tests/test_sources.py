@@ -122,3 +122,14 @@ def test_roots_and_unique_files(spark, tmp_path):
     (tmp_path / "data" / "two" / "valid" / "b.zip").write_bytes((folder / "a[1].zip").read_bytes())
     with pytest.raises(ValueError):
         archives.dataset_root(spark, str(tmp_path / "data"))
+
+
+def test_windows_of_a_stream_close_late(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=h), "a", 1.0) for h in range(60)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, kind string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp_ntz, kind string, value double").parquet(str(tmp_path / "in"))
+    counted = feedback.windowed_counts(stream, "ts", "kind", "value")
+    counted.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.start.day, r.n) for r in spark.table("closed").collect()) == [(1, 24), (2, 24)]
