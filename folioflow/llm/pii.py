@@ -39,7 +39,7 @@ _ONE = {**HOMOGLYPHS, **DASHES}
 _PLAIN = re.compile(r"[\x00-\x7f가-힣]*\Z")
 _REWRITES: tuple[tuple[re.Pattern, object], ...] = (
     # Letters that stand for digits, within a number of five or more signs.
-    (re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoQIl|BSZ() .+-]*\d[0-9OoQIl|BSZ() .+-]*\d)(?:[0-9OoQIl|BSZ]{2,14}[-) .]{1,2}){1,3}[0-9OoQIl|BSZ]{4,14}(?![A-Za-z0-9])", re.ASCII), LOOKALIKE),
+    (re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoQIl|BSZ() .+-]{0,24}\d[0-9OoQIl|BSZ() .+-]{0,24}\d)(?:[0-9OoQIl|BSZ]{2,14}[-) .]{1,2}){1,3}[0-9OoQIl|BSZ]{4,14}(?![A-Za-z0-9])", re.ASCII), LOOKALIKE),
     # Digits spelled out one by one.
     (re.compile(r"(?<![가-힣])[공영][일이삼사오육칠팔구공영]{1,2}[- .]?[공영일이삼사오육칠팔구]{3,4}[- .]?[공영일이삼사오육칠팔구]{4}"), SPELLED),
     # At signs in disguise, then dots in what follows them.
@@ -80,7 +80,7 @@ def plain(text: str) -> tuple[str, np.ndarray | None]:
 PHONE = re.compile(
     r"(?<![\w+./-])(?:\+\d{1,3}[ -]?\(?\d{1,4}\)?[ -]{1,2}\d{3,4}[ -]{1,2}\d{4}|\(?0\d{1,2}\)?[-. ]{0,2}\d{3,4}[-. ]{0,2}\d{4}|\(\d{3}\)\s{0,2}\d{3}-\d{4}|\d{3}-\d{4})(?![\d]|-\d|[.]\d)"
 )
-EMAIL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9_.+-]*[A-Za-z0-9_])?@[A-Za-z0-9][A-Za-z0-9-]*(?:\s?\.\s?[A-Za-z][A-Za-z0-9-]*)+")
+EMAIL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9_.+-]{0,63}[A-Za-z0-9_])?@[A-Za-z0-9][A-Za-z0-9-]*(?:\s?\.\s?[A-Za-z][A-Za-z0-9-]*)+")
 ID_NUMBER = re.compile(
     r"(?<![\w-])(?:\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\s{0,2}-?\s{0,2}[1-8]\d{6}|\d{2}-\d{2}-\d{6}-\d{2}|[MSRGD]\d{8})(?![\w]|-\d)(?<!\d{14})"
     r"|(?<=번호)(?:\d{6}-?[1-8]\d{6}|\d{2}-\d{2}-\d{6}-\d{2}|[MSRGD]\d{8})(?!\w)"

@@ -12,6 +12,7 @@ as ITEM and as a position's table choice.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _HAS_WIDE = re.compile("[\uff01-\uff5e]")
 _BLANK = re.compile("[\\s\ufeff\u200b]*")
 _LINE = re.compile("[^\\n]*\\n?")
+_BREAK = re.compile("\\n")
 
 Rule = tuple[bool, str, str]
 
@@ -226,6 +228,7 @@ def unit_starts(text: str, lang: str | None) -> list[int]:
         inside = [(m.start(), m.end()) for m in rules.quotes.finditer(text)]
         ends = {b: a for a, b in inside}
     starts, q, last_at = [start], 0, -1
+    breaks = [-1, *(m.start() for m in _BREAK.finditer(text))] if items else []
     for m in rules.scan.finditer(text):
         at = m.end() if m.group().strip() or m.end() == m.start() else m.start()
         if at <= last_at:
@@ -247,7 +250,7 @@ def unit_starts(text: str, lang: str | None) -> list[int]:
         low = max(from_line, at - REACH, 0)
         before = text[low:at]
         if items:
-            line = text.rfind("\n", 0, at) + 1
+            line = breaks[bisect.bisect_left(breaks, at) - 1] + 1
             first = _BLANK.match(text, line).end()
             if first in items and first < at:
                 before = "\n" + ITEM + (before[first - low :] if first >= low else before)

@@ -198,3 +198,17 @@ def test_units_of_a_table(spark):
     assert sorted(tuple(r) for r in sentences.sentence_units(frame).collect()) == [(1, 0), (1, 5), (4, 0), (4, 0), (4, 3), (4, 3)]
     assert [r.unit for r in sentences.units_with_text(frame).filter("doc_id = 1").orderBy("unit_no").collect()] == ["One.", "Two."]
     assert sentences.sentence_units(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x" * 60_000, ". " * 30_000, "a." * 30_000, " " * 100_000, "1-" * 30_000, "가" * 60_000, "\"a. " * 20_000, "(at) " * 20_000, "0 " * 30_000, "1. x\n" + "y. " * 30_000, "\n" * 60_000])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.mentions(text, GIVEN, LATIN)
+    list(pii.labelled_names(text))
+    for lang in ("ko", "en", "de", "zh", "ja", "th"):
+        sentences.unit_starts(text, lang)
+    list(leakage.ItemIndex.build([(1, "abc def ghi jkl mno")]).search([text]))
+    overlap.fingerprints(textforms.compact(text))
+    assert time.process_time() - began < 20
