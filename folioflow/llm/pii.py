@@ -204,7 +204,11 @@ def name_parts(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
-    """(src, row_id, pii_type, start_pos, end_pos) of all mentions in both tables."""
+    """(src, row_id, pii_type, start_pos, end_pos) of all mentions in both tables.
+
+    Null and blank texts have none, exactly repeated rows count once, rows of one key with different texts count each
+    (equal mentions of them once), other columns are not read; empty tables give no rows.
+    """
     texts = free_texts(annotations, feedback)
     given, latin = name_parts(texts)
     shared = texts.sparkSession.sparkContext.broadcast((given, latin))
@@ -223,7 +227,7 @@ def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def deidentify(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
-    """(src, row_id, text) with typed placeholders."""
+    """(src, row_id, text) with typed placeholders, one row for each distinct text of a key; null texts are left out."""
     texts = free_texts(annotations, feedback)
     shared = texts.sparkSession.sparkContext.broadcast(name_parts(texts))
 

@@ -85,7 +85,11 @@ def document_groups(documents: DataFrame) -> DataFrame:
 
 
 def broken_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of all documents of a group whose non-null delivered dataset_splits differ."""
+    """(doc_id, group_id) of all documents of a group whose non-null delivered dataset_splits differ.
+
+    Documents without split are listed with their group but do not make it differ. doc_id is unique; rows without it are
+    left out. Blank and unknown authors and null document_ids link nothing; other columns are not read.
+    """
     groups = document_groups(documents)
     labelled = groups.join(documents.select("doc_id", "dataset_split"), "doc_id")
     mixed = labelled.groupBy("group_id").agg(F.min("dataset_split").alias("_a"), F.max("dataset_split").alias("_b")).filter("_a <> _b").select("group_id")
