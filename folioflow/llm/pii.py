@@ -5,8 +5,8 @@ it came from: compatibility forms and homoglyphs, letters that stand for digits
 at and dot disguises. Detectors work on the plain form; the spans they find are mapped back, so offsets and
 replacements refer to the source as it was delivered.
 
-Names have no shape of their own. Their parts are learned from the corpus, where a form's label or title says that a
-name stands there (``name_parts``), and then recognised anywhere.
+Names have no shape of their own. Where a form's label or a title announces one it is a name, however rare
+(``_announced``). Elsewhere it is one if labels announce its parts often enough in the corpus (``counted_parts``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ FAMILY = (
     "김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황 안 송 류 유 홍 전 고 문 양 손 배 백 허 남 심 노 하 곽 성 차 주 우 구 민 진 지 엄 채 원 천 방 공 현 함 변 염 여 추 도 소 석 선 설 마 길 연 위 표 명 기 반 왕 금 옥 육 인 맹 제 모 탁 국 "
     "남궁 제갈 선우 황보 독고 사공 서문 동방"
 ).split()
-#: Name parts kept on the driver and broadcast, most frequent first; parts seen less often than LEAST are no names.
+#: Up to MOST_PARTS name parts are broadcast, more are joined to the texts. Parts announced less often than LEAST are not
+#: looked for where nothing announces a name.
 MOST_PARTS, LEAST = 200_000, 3
 STREETS = "Road|Street|Lane|Avenue|Court|Quay|Row|Drive|Close|Way|Place|Terrace|Square|Hill|Gardens|Crescent|Walk|Mews|Boulevard"
 
@@ -95,6 +97,18 @@ _LATIN = r"[A-Z][a-z]+\s[A-Z][a-z]+|[A-Z]{3,}\s[A-Z][a-z]+|[A-Z]\.\s[A-Z][a-z]+"
 _LABELS = r"성명|신청인|담당|보호자|예금주|위임받은|본인|이름은|Applicant|reads"
 _LABELLED = re.compile(rf"(?:(?:{_LABELS})\s?:?\s)([가-힣]{{1,2}}\s?[가-힣]{{2,3}}|{_LATIN})(?=\s*(?:\(인\)|주무관|,|$|은\(는\)|이고|\(|\s))")
 _FAMILY = sorted(FAMILY, key=len, reverse=True)
+#: Words of forms that look like a name behind a label: whole ones, and nouns that a particle follows.
+FORM_WORDS = frozenset("주무관 공무원 조사관 심사관 연구원 상담원 안내원 전문가 지도사 위원장 이사장 구청장 신청인 신청자 신청서 신분증 연락처 서명란 성명란 명의자 전화번 주민번 인감증 이메일 이용자 임차인 임대인 기재란".split())
+FORM_NOUNS = frozenset("주소 서명 성명 성함 이름 명의 전화 신분 여부 지역 기관 인감 정보 연락 장소 현장 진술 기록 인적 고지 진단 신고 신청 지원 소속 심사 조사 안내 전부".split())
+ENGLISH_FORM_WORDS = frozenset("name number address phone mobile email date signature office department code section title service services report".split())
+
+
+def _form_word(name: str) -> bool:
+    """Whether what a label seems to announce is another word of the form, not a name."""
+    if name[0].isascii():
+        return any(w in ENGLISH_FORM_WORDS for w in name.casefold().replace(".", " ").split())
+    return name[:3] in FORM_WORDS or (len(name) == 3 and name[:2] in FORM_NOUNS and name[2] in "은는이가을를의로도에와과란")
+
 
 
 def labelled_names(text: str) -> Iterator[tuple[str, str]]:
@@ -103,6 +117,8 @@ def labelled_names(text: str) -> Iterator[tuple[str, str]]:
         return
     for m in _LABELLED.finditer(plain(text)[0]):
         name = m.group(1)
+        if _form_word(name.replace(" ", "") if not name[0].isascii() else name):
+            continue
         if name[0].isascii():
             for part in name.replace(".", " ").split():
                 if len(part) > 2:
@@ -115,8 +131,6 @@ def labelled_names(text: str) -> Iterator[tuple[str, str]]:
             yield "given", name[len(family) :]
 
 
-
-
 def _hangul_name(families: str) -> re.Pattern:
     return re.compile(
         r"(?:(?<![가-힣])|(?<=담당)|(?<=성명)|(?<=신청인)|(?<=보호자)|(?<=본인)|(?<=예금주)|(?<=위임받은))"
@@ -132,6 +146,26 @@ _HANGUL_NAMES = (
 _LATIN_NAME = re.compile(r"(?<![A-Za-z0-9@._-])([A-Za-z]{3,}\s{1,2}|[A-Za-z]\.\s{0,2})([A-Za-z]{3,})(?![A-Za-z0-9@_-]|\.[A-Za-z])")
 
 
+_FAMILIES = ("|".join(f"{f}|{f[0]}\\s{{1,2}}{f[1:]}" for f in _FAMILY if len(f) > 1), "|".join(f for f in _FAMILY if len(f) == 1))
+_AFTER = r"(?=[^가-힣]|$|주무관|은|는|이|가|을|를|의|님|씨|에게|께|와|과|도|로|라고)"
+_ENDS = r"(?![A-Za-z0-9@_-]|\.[A-Za-z])"
+_LABEL = re.compile(r"(?<![A-Za-z가-힣])(?:성명|신청인|담당자?|보호자|예금주|위임받은|본인|이름은|Applicant|(?:[Ss]ignature|[Nn]ame)\s+reads)(?:\s{0,2}:\s{0,2}|\s{1,2})")
+_ANNOUNCED = tuple(re.compile(p) for p in (*(rf"(?:{f})\s{{0,2}}[가-힣]{{2}}{_AFTER}" for f in _FAMILIES), rf"(?:[A-Z][a-z]+\s{{1,2}}[A-Z][a-z]+|[A-Z]{{3,}}\s{{1,2}}[A-Z][a-z]+|[A-Z]\.\s{{0,2}}[A-Z][a-z]+){_ENDS}"))
+#: Behind a title the name is one word in Hangul: a family name's syllable that stands apart may be any word.
+_TITLE = re.compile(r"(?:\s?주무관|\s[님씨](?![가-힣]{3}))")
+_TITLED = re.compile(rf"(?:(?<![가-힣])(?:{'|'.join(_FAMILY)})[가-힣]{{2}}|(?<![A-Za-z0-9@._-])(?:[A-Z][a-z]+\s|[A-Z]{{3,}}\s|[A-Z]\.\s?)[A-Z][a-z]+)(?={_TITLE.pattern})")
+
+
+def _announced(form: str) -> Iterator[tuple[int, int]]:
+    """Spans of names that a label stands before or a title behind, whatever their parts."""
+    for label in _LABEL.finditer(form):
+        m = next(filter(None, (p.match(form, label.end()) for p in _ANNOUNCED)), None)
+        if m and not _form_word(re.sub(r"\s", " " if m.group()[0].isascii() else "", m.group())):
+            yield m.span()
+    if _TITLE.search(form):
+        yield from (m.span() for m in _TITLED.finditer(form) if not _form_word(m.group()))
+
+
 def _names(form: str, given: frozenset[str], latin: frozenset[str]) -> Iterator[tuple[int, int]]:
     """Spans of names by shape whose parts are known; a shape with unknown parts is tried again one sign further."""
     for pattern, known in (*((p, lambda m: m.group(1) in given) for p in _HANGUL_NAMES), (_LATIN_NAME, lambda m: m.group(2).casefold() in latin and (m.group(1)[1] == "." or m.group(1).strip().casefold() in latin))):
@@ -142,6 +176,18 @@ def _names(form: str, given: frozenset[str], latin: frozenset[str]) -> Iterator[
             m = pattern.search(form, m.end() if known(m) else m.start() + 1)
 
 
+def asked_parts(text: str | None) -> set[tuple[str, str]]:
+    """(kind, part) of all that ``_names`` may look up for a text."""
+    asked: set[tuple[str, str]] = set()
+    form = plain(text)[0] if text and _HINT.search(text) else ""
+    for pattern in (*_HANGUL_NAMES, _LATIN_NAME):
+        m = pattern.search(form)
+        while m:
+            asked.update([("given", m.group(1))] if pattern is not _LATIN_NAME else [("latin", g.strip().casefold()) for g in m.groups()])
+            m = pattern.search(form, m.start() + 1)
+    return asked
+
+
 DETECTORS = (("EMAIL", EMAIL), ("ID_NUMBER", ID_NUMBER), ("PHONE", PHONE), ("ADDRESS", ADDRESS))
 _HINT = re.compile(r"[0-9０-９@＠]|골뱅이|[공영]일|[가-힣]{3}|[가-힣]{1,2} [가-힣]{2}|[A-Za-zＡ-Ｚａ-ｚ]{3}")
 
@@ -156,7 +202,7 @@ def mentions(text: str | None, given: frozenset[str] = frozenset(), latin: froze
         return []
     form, at = plain(text)
     found: list[tuple[int, int, str]] = []
-    spans = [(kind, m.span()) for kind, pattern in DETECTORS for m in pattern.finditer(form)] + [("NAME", span) for span in _names(form, given, latin)]
+    spans = [(kind, m.span()) for kind, pattern in DETECTORS for m in pattern.finditer(form)] + [("NAME", span) for span in (*_names(form, given, latin), *_announced(form))]
     for kind, (a, b) in spans:
         while a < b and not form[a].isalnum():
             a += 1
@@ -187,20 +233,52 @@ def free_texts(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     return notes.filter("text is not null").distinct().unionAll(feedback.select(F.lit("feedback"), "id", "corrected_text").filter("corrected_text is not null"))
 
 
-def name_parts(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(given names in Hangul, parts of Latin names) that labels announce at least LEAST times in all texts.
+def _pairs(texts: DataFrame, of: Callable[[str], Iterable[tuple[str, str]]]) -> DataFrame:
+    """(digest, kind, part) of the name parts that ``of`` finds in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *p) for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["digest", "kind", "part"])
+
+    return texts.mapInArrow(run, "digest string, kind string, part string")
+
+
+def counted_parts(texts: DataFrame) -> DataFrame:
+    """(kind, part): given names in Hangul and parts of Latin names that labels announce at least LEAST times in all texts."""
+    counted = _pairs(texts.select(F.lit(None).cast("string").alias("digest"), "text"), labelled_names).groupBy("kind", "part").count()
+    return counted.filter(F.col("count") >= LEAST).select("kind", "part")
+
+
+def _sets(parts: Iterable) -> tuple[frozenset[str], frozenset[str]]:
+    parts = [tuple(p) for p in parts]
+    return frozenset(p for k, p in parts if k == "given"), frozenset(p for k, p in parts if k == "latin")
+
+
+def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, Iterable], pa.RecordBatch], schema: str) -> DataFrame:
+    """``act`` on batches of texts and, for each text, the known parts of names (at least those it may ask for).
 
-    Counts are aggregated on the executors; MOST_PARTS bounds what the driver gets and broadcasts.
+    Up to MOST_PARTS parts are broadcast; more never reach the driver, each text is joined to those it asks for.
     """
+    parts = counted_parts(texts)
+    rows = parts.limit(MOST_PARTS + 1).collect()
+    if len(rows) <= MOST_PARTS:
+        shared = texts.sparkSession.sparkContext.broadcast(_sets(rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield act(batch, repeat(shared.value))
+
+        return texts.mapInArrow(run, schema)
+    marked = texts.withColumn("digest", F.sha2("text", 256))
+    known = _pairs(marked.select("digest", "text").distinct(), asked_parts).join(parts, ["kind", "part"])
+    known = known.groupBy("digest").agg(F.collect_list(F.array("kind", "part")).alias("known"))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [p for t in batch.column("text").to_pylist() for p in labelled_names(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())], names=["kind", "part"])
+            yield act(batch, [_sets(k or ()) for k in batch.column("known").to_pylist()])
 
-    counted = texts.select("text").mapInArrow(run, "kind string, part string").groupBy("kind", "part").count().filter(F.col("count") >= LEAST)
-    rows = counted.orderBy(F.desc("count"), "kind", "part").limit(MOST_PARTS).collect()
-    return frozenset(r["part"] for r in rows if r["kind"] == "given"), frozenset(r["part"] for r in rows if r["kind"] == "latin")
+    return marked.join(known, "digest", "left").select("src", "row_id", "text", "known").mapInArrow(run_joined, schema)
 
 
 def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -209,31 +287,23 @@ def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     Null and blank texts have none, exactly repeated rows count once, rows of one key with different texts count each
     (equal mentions of them once), other columns are not read; empty tables give no rows.
     """
-    texts = free_texts(annotations, feedback)
-    given, latin = name_parts(texts)
-    shared = texts.sparkSession.sparkContext.broadcast((given, latin))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        for batch in batches:
-            rows = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in mentions(t, *names)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("src").take(at), batch.column("row_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
-                names=["src", "row_id", "pii_type", "start_pos", "end_pos"],
-            )
+    def act(batch: pa.RecordBatch, names: Iterable) -> pa.RecordBatch:
+        rows = [(i, *m) for i, (t, n) in enumerate(zip(batch.column("text").to_pylist(), names)) for m in mentions(t, *n)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("src").take(at), batch.column("row_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
+            names=["src", "row_id", "pii_type", "start_pos", "end_pos"],
+        )
 
-    return texts.mapInArrow(run, "src string, row_id bigint, pii_type string, start_pos bigint, end_pos bigint").dropDuplicates(["src", "row_id", "pii_type", "start_pos"])
+    found = _with_names(free_texts(annotations, feedback), act, "src string, row_id bigint, pii_type string, start_pos bigint, end_pos bigint")
+    return found.dropDuplicates(["src", "row_id", "pii_type", "start_pos"])
 
 
 def deidentify(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     """(src, row_id, text) with typed placeholders, one row for each distinct text of a key; null texts are left out."""
-    texts = free_texts(annotations, feedback)
-    shared = texts.sparkSession.sparkContext.broadcast(name_parts(texts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("row_id"), pa.array([redacted(t, *names) for t in batch.column("text").to_pylist()], pa.string())], names=["src", "row_id", "text"])
+    def act(batch: pa.RecordBatch, names: Iterable) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("src"), batch.column("row_id"), pa.array([redacted(t, *n) for t, n in zip(batch.column("text").to_pylist(), names)], pa.string())], names=["src", "row_id", "text"])
 
-    return texts.mapInArrow(run, "src string, row_id bigint, text string")
+    return _with_names(free_texts(annotations, feedback), act, "src string, row_id bigint, text string")

@@ -164,6 +164,29 @@ def test_placeholders_and_whole_tables(spark):
     assert pii.find_mentions(frame.limit(0), back.limit(0)).count() == 0
 
 
+RARE = ["신청인 임로운", "성명: 한가람", "위 본인 남궁로운은(는) 이에 동의함", "Applicant: PENWICK Hollis", "위임받은 T. Penwick에게", "담당 한가람 주무관", "어제 류새온 씨가", "The signature reads Orla Dovecote, not"]
+
+
+@pytest.mark.parametrize("text", RARE)
+def test_announced_names_need_no_count(text):
+    assert [k for k, _, _ in pii.mentions(text)] == ["NAME"]
+
+
+@pytest.mark.parametrize("text", ["담당 주무관 부재", "신청인 연락처 없음", "본인 주소는 같음", "신청인 정보를 적음", "Applicant: Phone Number", "일본인 정치가는", "The heading reads Market Square", "전 담당 주무관", "임로운"])
+def test_form_words_are_no_names(text):
+    assert pii.mentions(text) == []
+
+
+def test_names_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    texts = [*RARE[:2], *["성명: 김가온", "신청인 Orla Quillby", "담당 박세찬 주무관"] * 3, "이가온과 남 궁세찬, ORLA Quillby", "정가온은 Q. Quillby의 대리", None, ""]
+    notes = spark.createDataFrame([(i, "d", 1, (t, None), "x") for i, t in enumerate(texts)], "ann_key long, document_id string, id int, annotation struct<text:string,bbox:array<double>>, src string")
+    back = spark.createDataFrame([(1, "a", 0, "어제 이가온 Orla Quillby nuri@mail.example", None), (2, "a", 0, None, None)], "id long, analysis_id string, accepted int, corrected_text string, text string")
+    want = [sorted(map(tuple, f(notes, back).collect())) for f in (pii.find_mentions, pii.deidentify)]
+    assert sum(r[2] == "NAME" for r in want[0]) == 18
+    monkeypatch.setattr(pii, "MOST_PARTS", 1)
+    assert [sorted(map(tuple, f(notes, back).collect())) for f in (pii.find_mentions, pii.deidentify)] == want
+
+
 @pytest.mark.parametrize(
     ("lang", "units"),
     [
