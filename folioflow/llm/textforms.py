@@ -82,8 +82,8 @@ def local_scores(pairs: list[tuple[np.ndarray, np.ndarray]], mismatch: int = 2,
     return best
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Unit-cost edit distance of two code point arrays, a row at a time."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
+    """Unit-cost edit distance of two code point arrays, a row at a time, or a number above ``most``."""
     if len(a) > len(b):
         a, b = b, a
     slope = np.arange(len(b) + 1)
@@ -93,4 +93,6 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
         new[0] = i + 1
         np.minimum(last[1:] + 1, last[:-1] + (b != x), out=new[1:])
         last = np.minimum.accumulate(new - slope) + slope
+        if most is not None and last.min() > most:
+            return most + 1
     return int(last[-1])

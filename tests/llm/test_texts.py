@@ -130,6 +130,24 @@ def test_overlaps_agree_with_all_pairs(spark):
     assert overlap.found_pairs(frames[0].limit(0), frames[1]).count() == overlap.found_pairs(frames[0], frames[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "rate", "least"), [((90, 240), 0.18, 30), ((62, 66), 0.1, 40)])
+def test_near_same_pages_with_spread_differences(spark, sizes, rate, least):
+    rng = random.Random(7)
+    signs = [chr(c) for c in range(0xAC00, 0xAC00 + 900)]
+    pages, notes = [], []
+    for i in range(40):
+        text = [rng.choice(signs) for _ in range(rng.randint(*sizes))]
+        other = text[: 59 if rate == 0.1 else None]
+        for j in rng.sample(range(len(other)), int((rate * len(text)) - (len(text) - len(other)))):
+            other[j] = rng.choice(signs)
+        for side, t in enumerate((text, other)):
+            page = f"ab12-{2 * i + side:09d}-p001"
+            pages.append((2 * i + side, page, ("train", "dev")[side], "s", "x"))
+            notes.append((2 * i + side, page, 0, ("".join(t), None), "x", "y"))
+    got = {tuple(r) for r in overlap.found_pairs(spark.createDataFrame(pages, PAGES), spark.createDataFrame(notes, NOTES)).collect()}
+    assert len(got) >= least and got <= {(2 * i, 2 * i + 1) for i in range(40)}
+
+
 GIVEN, LATIN = frozenset({"가온", "세찬"}), frozenset({"orla", "quillby"})
 
 
