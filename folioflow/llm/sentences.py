@@ -117,8 +117,9 @@ QUOTATIONS: dict[str, Table] = {
     "th": LANGUAGES["th"],
 }
 
-#: Where a quotation opens and closes. It does not cross a blank line.
-_INNER = r"(?:[^{0}\n]|\n(?![^\S\n]*\n)){{0,400}}"
+#: Where a quotation opens and closes, however long it is. It does not cross a blank line. What is inside holds no sign of
+#: the kind, so it is never read again (possessive) and all quotations of a text take linear time.
+_INNER = r"[^{0}\n]*+(?:\n(?![^\S\n]*\n)[^{0}\n]*+)*+"
 _CURLY = "“" + _INNER.format("“”") + "”"
 _STRAIGHT = r"(?:(?<=[\s(])|^)\"(?=\S)" + _INNER.format('"') + r"(?<=\S)\""
 _STRAIGHT_CJK = r"\"" + _INNER.format('"') + r"\""
@@ -264,7 +265,13 @@ def unit_starts(text: str, lang: str | None) -> list[int]:
         answer = decide(rules.shared, before, text, at)
         if answer is None:
             if closing:
-                answer = decide(rules.quotation, text[max(0, at - 420) : at] if lang == "zh" else before, text, at)
+                if lang == "zh":
+                    # From the sign before the quotation on.
+                    opening = inside[q][0]
+                    while opening and text[opening - 1].isspace():
+                        opening -= 1
+                    before = text[max(0, opening - 1) : at]
+                answer = decide(rules.quotation, before, text, at)
             elif m.group().strip() or m.end() == m.start():
                 answer = decide(rules.language, before, text, at)
             elif lang == "th":

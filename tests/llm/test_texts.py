@@ -224,6 +224,14 @@ def test_units_stand_where_rules_say(lang, units):
     assert sentences.unit_starts(text, lang) == want
 
 
+@pytest.mark.parametrize(
+    ("lang", "text", "want"),
+    [("en", "He wrote: “" + "It is so. " * 100 + "End.” Then he left.", 2), ("de", "Er schrieb: „" + "So ist es. " * 100 + "Ende.“ Dann ging er.", 2), ("zh", "他说：“" + "结束了。" * 200 + "”然后走了。", 2), ("ja", "「" + "終わります。" * 100 + "」という意見がある。", 1), ("ko", "“" + "왜 안 됩니까? " * 100 + "네.”라는 질문이 있었다.", 1), ("en", "“Open. " + "It is so. " * 60 + "\n\nNext ”here.", 62)],
+)
+def test_a_long_quotation_belongs_to_its_sentence(lang, text, want):
+    assert len(sentences.unit_starts(text, lang)) == want
+
+
 def test_units_of_lists_headings_wraps_and_nothing():
     text = "정비 계획\n1. 대상: 시민\n2. 기간: 2024. 1. 2.\n3. 문의: 12. 3.부터\n\n새벽에 12.\n10.부터 멈춘다. 다음입니다 끝"
     cut = sentences.unit_starts(text, "ko")
