@@ -2,6 +2,7 @@
 
 The evaluation items are the stated query set. Each gets SimHash fingerprints of all its windows of one width, which
 follows from the item's size: whatever stretch holds half of the item also holds such a window on the corpus grid.
+Items with wider windows than NOISY also get those of NOISY, for leaks whose errors leave no longer run clean.
 Corpus texts are fingerprinted at every ``GRID``-th position for each width in use. Fingerprints are cut into
 RADIUS + 1 blocks; two that differ in at most RADIUS bits agree in a block, so looking all blocks up finds every window
 pair within the radius. Candidates are verified by idf-weighted shingle containment and then local alignment.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from folioflow.llm.textforms import compact, folded, local_scores, rolling_hashe
 GRAM = 3
 GRID = 4
 WIDTHS = (8, 16, 24, 32, 48, 64)
+NOISY = 24
 RADIUS = 3
-#: Characters of items that one scan's broadcast may hold (about 100 bytes of index each).
+#: Characters of items that one scan's broadcast may hold (about 150 bytes of index each).
 ITEM_CHARS = 1_000_000
 #: Share of the item that must stand in one stretch, in units of the alignment score (matches less two an error).
 SHARE = 0.5
@@ -47,6 +49,11 @@ def item_width(size: int) -> tuple[int, int]:
     return max(1, size // 2), 1
 
 
+def item_widths(size: int) -> list[tuple[int, int]]:
+    own = item_width(size)
+    return [own, (NOISY, GRID)] if own[0] > NOISY else [own]
+
+
 def simhashes(grams: np.ndarray, width: int, grid: int) -> np.ndarray:
     """64-bit SimHash of each window of ``width`` grams, at every ``grid``-th gram.
 
@@ -76,6 +83,8 @@ class ItemIndex:
     points: list[np.ndarray]
     weights: dict[int, float]
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]
+    #: (shingles, their whole weight) of the items asked for so far.
+    shingles: dict[int, tuple[Counter[int], float]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
@@ -85,10 +94,9 @@ class ItemIndex:
             if not len(p):
                 continue
             grams = rolling_hashes(p, min(GRAM, len(p)))
-            width, grid = item_width(len(grams))
             seen.update(set(grams.tolist()))
-            prints = simhashes(grams, width, 1)
-            windows[width, grid].append((len(ids), prints))
+            for width, grid in item_widths(len(grams)):
+                windows[width, grid].append((len(ids), simhashes(grams, width, 1)))
             ids.append(item)
             points.append(p)
         tables = {}
@@ -127,8 +135,11 @@ class ItemIndex:
     def contained(self, item: int, stretch: np.ndarray) -> float:
         """Weighted share of the item's shingles (as a multiset) that the stretch holds."""
         k = min(GRAM, len(self.points[item]))
-        own, there = Counter(rolling_hashes(self.points[item], k).tolist()), Counter(rolling_hashes(stretch, k).tolist())
-        whole = sum(n * self.weights[g] for g, n in own.items())
+        if item not in self.shingles:
+            own = Counter(rolling_hashes(self.points[item], k).tolist())
+            self.shingles[item] = own, sum(n * self.weights[g] for g, n in own.items())
+        own, whole = self.shingles[item]
+        there = Counter(rolling_hashes(stretch, k).tolist())
         return sum(min(n, there[g]) * self.weights[g] for g, n in own.items() if g in there) / whole
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:

@@ -148,6 +148,16 @@ def test_near_same_pages_with_spread_differences(spark, sizes, rate, least):
     assert len(got) >= least and got <= {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+@pytest.mark.parametrize("every", [24, 30, 45, 60])
+def test_noisy_leaks_of_long_items(every):
+    rng = random.Random(every)
+    signs = [chr(c) for c in range(0xAC00, 0xAC00 + 900)]
+    items = [(i, "".join(rng.choice(signs) for _ in range(600))) for i in range(20)]
+    texts = ["".join(rng.choice(signs) if j % every == every // 2 else c for j, c in enumerate(t)) for _, t in items]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(90))) + t for t in texts]
+    assert set(leakage.ItemIndex.build(items).search(texts)) == {(i, i) for i in range(20)}
+
+
 GIVEN, LATIN = frozenset({"가온", "세찬"}), frozenset({"orla", "quillby"})
 
 
