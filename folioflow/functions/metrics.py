@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import alphanumeric_tokens, characters, numeric_tokens, words
 
 
+#: Distinct tokens of a pair that characters below the surrogates can stand for (from U+0100 on).
+MOST_TOKENS = 0xD800 - 0x100
+
+
 def error_rate(distance: Column, reference_size: Column, hypothesis_size: Column) -> Column:
     """distance / reference size; an empty reference gives 0 for an empty hypothesis, else 1. May exceed 1."""
     return F.when(reference_size == 0, F.when(hypothesis_size == 0, 0.0).otherwise(1.0)).otherwise(distance / reference_size)
@@ -26,10 +30,11 @@ def _as_characters(tokens: Column, known: Column) -> Column:
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance over tokens: distinct tokens are mapped to characters, then compared by the built-in function.
 
-    Holds for up to 55,000 distinct tokens a pair (the characters below the surrogates).
+    A pair with more than MOST_TOKENS distinct tokens is an error.
     """
     known = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(_as_characters(a, known), _as_characters(b, known))
+    distance = F.levenshtein(_as_characters(a, known), _as_characters(b, known))
+    return F.when(F.size(known) > MOST_TOKENS, F.raise_error(F.lit(f"a pair of more than {MOST_TOKENS} distinct tokens has no token distance")).cast("int")).otherwise(distance)
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

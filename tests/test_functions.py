@@ -24,6 +24,15 @@ def test_word_error_rate(spark, a, b, want):
     assert frame.select(metrics.word_error_rate(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(want)
 
 
+def test_token_distance_fails_beyond_its_characters(spark, monkeypatch):
+    frame = spark.createDataFrame([(["a", "b"], ["a", "c"])], "a array<string>, b array<string>")
+    monkeypatch.setattr(metrics, "MOST_TOKENS", 3)
+    assert frame.select(metrics.token_distance(F.col("a"), F.col("b"))).first()[0] == 1
+    monkeypatch.setattr(metrics, "MOST_TOKENS", 2)
+    with pytest.raises(Exception, match="distinct tokens"):
+        frame.select(metrics.token_distance(F.col("a"), F.col("b"))).collect()
+
+
 def test_multiset_scores(spark):
     rows = [(1, "Alpha beta", "BETA alpha"), (2, "x x y", "x y"), (3, "", ""), (4, "a", None), (5, None, "b"), (6, "ß", "SS")]
     got = {r.k: (r.precision, round(r.recall, 4), round(r.f1, 4)) for r in metrics.word_scores(spark.createDataFrame(rows, "k int, a string, b string"), ["k"], "a", "b").collect()}
