@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,9 +37,16 @@ def test_edit_distance():
     assert [textforms.edit_distance(points(a), points(b)) for a, b in (("kitten", "sitting"), ("", "abc"), ("한글날", "한굴"), ("", ""))] == [3, 3, 2, 0]
 
 
+def item_index(items):
+    texts = [(i, textforms.compact(t)) for i, t in items]
+    grams = [(i, t, textforms.rolling_hashes(textforms.folded(t), min(leakage.GRAM, max(1, len(t)))).tolist()) for i, t in texts]
+    held = Counter(g for _, _, all_ in grams for g in set(all_))
+    return leakage.ItemIndex.build([(i, t, {g: held[g] for g in all_}) for i, t, all_ in grams])
+
+
 def test_simhash_lookup_finds_all_windows_within_the_radius():
     rng = random.Random(2)
-    index = leakage.ItemIndex.build([(1, sentence(rng, 60)), (2, sentence(rng, 30))])
+    index = item_index([(1, sentence(rng, 60)), (2, sentence(rng, 30))])
     for key, (prints, *_) in index.tables.items():
         probe = prints[:: max(1, len(prints) // 20)].copy()
         for i in range(len(probe)):
@@ -52,8 +60,8 @@ def test_simhash_lookup_finds_all_windows_within_the_radius():
 def test_simhash_windows_agree_with_bit_counting():
     rng = np.random.default_rng(3)
     grams = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    for width, grid in ((8, 8), (32, 8), (32, 1), (5, 1)):
-        got = leakage.simhashes(grams, width, grid)
+    for width, grid in ((8, 8), (32, 8), (32, 1), (5, 1), (40, 4)):
+        got = leakage.simhashes(leakage.bit_counts(grams, grid), width, grid)
         bits = ((grams[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int)
         # Bits come in the order of the counters: eight lanes of every eighth bit.
         want = [sum(1 << (b % 8 * 8 + b // 8) for b in range(64) if bits[s : s + width, b].sum() > width // 2) for s in range(0, (len(grams) // grid - width // grid) * grid + 1, grid)]
@@ -209,6 +217,39 @@ def test_near_same_pages_with_spread_differences(spark, sizes, rate, least):
     assert len(got) >= least and got <= {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+@pytest.mark.parametrize("size", [24, 40, 60, 99, 120, 180, 240, 480, 1000, 4000])
+def test_items_with_a_tenth_of_wrong_letters(size):
+    rng = random.Random(size)
+    signs = [chr(c) for c in range(0xAC00, 0xAC00 + 900)]
+    tries = 40 if size < 1000 else 10
+    for rate, part, share in ((0.05, 1, 0.95), (0.1, 1, 0.9), (0.06, 0.8, 0.9)):
+        if size < 60 and part < 1:
+            continue
+        items = [(i, "".join(rng.choice(signs) for _ in range(size))) for i in range(tries)]
+        texts = []
+        for _, t in items:
+            kept = list(t[: int(size * part)])
+            for j in rng.sample(range(len(kept)), int(len(kept) * rate)):
+                kept[j] = rng.choice(signs)
+            texts.append("".join(rng.choice(signs) for _ in range(rng.randrange(90))) + "".join(kept) + "".join(rng.choice(signs) for _ in range(200)))
+        hits = set(item_index(items).search(texts))
+        assert hits <= {(i, i) for i in range(tries)}
+        assert len(hits) >= share * tries - 2, (rate, part, len(hits))
+
+
+def test_shingles_are_needed_for_a_score():
+    rng = random.Random(12)
+    for _ in range(400):
+        item = "".join(rng.choices("abcdefgh", k=rng.randrange(8, 60)))
+        text = list(item[rng.randrange(3) :])
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(len(text))] = rng.choice(["", "x", "ab"])
+        a, b = (textforms.code_points(t) for t in (item, "".join(text) or "x"))
+        if textforms.local_scores([(a, b)])[0] > leakage.SHARE * len(a):
+            own, there = (Counter(textforms.rolling_hashes(t, leakage.GRAM).tolist()) for t in (a, b))
+            assert (own & there).total() >= leakage.needed(len(a))
+
+
 @pytest.mark.parametrize("every", [24, 30, 45, 60])
 def test_noisy_leaks_of_long_items(every):
     rng = random.Random(every)
@@ -216,7 +257,7 @@ def test_noisy_leaks_of_long_items(every):
     items = [(i, "".join(rng.choice(signs) for _ in range(600))) for i in range(20)]
     texts = ["".join(rng.choice(signs) if j % every == every // 2 else c for j, c in enumerate(t)) for _, t in items]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(90))) + t for t in texts]
-    assert set(leakage.ItemIndex.build(items).search(texts)) == {(i, i) for i in range(20)}
+    assert set(item_index(items).search(texts)) == {(i, i) for i in range(20)}
 
 
 GIVEN, LATIN = frozenset({"가온", "세찬"}), frozenset({"orla", "quillby"})
@@ -329,6 +370,6 @@ def test_long_odd_texts_take_linear_time(text):
     list(pii.labelled_names(text))
     for lang in ("ko", "en", "de", "zh", "ja", "th"):
         sentences.unit_starts(text, lang)
-    list(leakage.ItemIndex.build([(1, "abc def ghi jkl mno")]).search([text]))
+    list(item_index([(1, "abc def ghi jkl mno")]).search([text]))
     overlap.fingerprints(textforms.compact(text))
     assert time.process_time() - began < 20
