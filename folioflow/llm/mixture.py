@@ -9,8 +9,9 @@ two-level prefix sums.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,8 @@ from folioflow.llm.tokens import VOCABULARY, token_count
 from folioflow.plans.lineage import cut_lineage
 from folioflow.plans.ranks import preceding_total
 
-#: Patterns are sets of target sources; more of them than this do not belong on the driver.
-MAX_PATTERNS = 50_000
-
+#: Stretches of tape that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 def source_key(source: Column) -> Column:
     """A source apart from letter case, outer blanks and ``-`` for ``_``; blank is null."""
@@ -29,69 +29,104 @@ def source_key(source: Column) -> Column:
     return F.when(key != "", key)
 
 
-@dataclass
-class FlowNetwork:
-    """Minimum-cost maximum flow by successive shortest paths (integer capacities, non-negative costs)."""
-
-    size: int
-    heads: list[int] = field(default_factory=list)
-    room: list[int] = field(default_factory=list)
-    cost: list[int] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.out: list[list[int]] = [[] for _ in range(self.size)]
-
-    def arc(self, tail: int, head: int, capacity: int, cost: int = 0) -> int:
-        for a, b, c, w in ((tail, head, capacity, cost), (head, tail, 0, -cost)):
-            self.out[a].append(len(self.heads))
-            self.heads.append(b)
-            self.room.append(c)
-            self.cost.append(w)
-        return len(self.heads) - 2
-
-    def flow(self, arc: int) -> int:
-        return self.room[arc ^ 1]
-
-    def solve(self, start: int, end: int) -> int:
-        import heapq
-
-        lift, moved = [0] * self.size, 0
-        while True:
-            reach, via = [None] * self.size, [-1] * self.size
-            reach[start], queue = 0, [(0, start)]
-            while queue:
-                far, at = heapq.heappop(queue)
-                if far > reach[at]:
-                    continue
-                for k in self.out[at]:
-                    if self.room[k] > 0:
-                        to = self.heads[k]
-                        cost = far + self.cost[k] + lift[at] - lift[to]
-                        if reach[to] is None or cost < reach[to]:
-                            reach[to], via[to] = cost, k
-                            heapq.heappush(queue, (cost, to))
-            if reach[end] is None:
-                return moved
-            lift = [p + r if r is not None else p for p, r in zip(lift, reach, strict=True)]
-            step, at = None, end
-            while at != start:
-                step = self.room[via[at]] if step is None else min(step, self.room[via[at]])
-                at = self.heads[via[at] ^ 1]
-            at = end
-            while at != start:
-                self.room[via[at]] -= step
-                self.room[via[at] ^ 1] += step
-                at = self.heads[via[at] ^ 1]
-            moved += step
+class PatternFlow:
+    """Minimum-cost maximum flow of tokens from patterns to source quotas.
+
+    Only the uses of a pattern cost, each more than the one before, so the flow is cheapest if uses are opened one level
+    at a time and each level is filled as far as it goes. Sources are few, patterns many: a level is filled along paths
+    from source to source (a gives up tokens of some patterns for b, whose quota is open), and all patterns that a step
+    of the path may use are moved at once.
+    """
+
+    def __init__(self, tokens: dict[str, int], repeats: dict[str, int], quota: dict[str, int]) -> None:
+        self.names, self.sources = sorted(tokens), sorted(quota)
+        self.tokens = np.array([tokens[n] for n in self.names], np.int64)
+        number = {s: i for i, s in enumerate(self.sources)}
+        members = [[number[s] for s in n.split("|") if s in number] for n in self.names]
+        self.most = np.array([max((repeats[self.sources[i]] for i in m), default=0) for m in members], np.int64)
+        held: list[list[int]] = [[] for _ in self.sources]
+        for p, m in enumerate(members):
+            for i in m:
+                held[i].append(p)
+        #: Patterns of each source, ascending; what flows from each and how much more may.
+        self.patterns = [np.array(h, np.int64) for h in held]
+        self.flow = [np.zeros(len(h), np.int64) for h in held]
+        self.room = [self.tokens[h] * repeats[s] for h, s in zip(self.patterns, self.sources, strict=True)]
+        self.open = [quota[s] for s in self.sources]
+        self.free = np.zeros(len(self.names), np.int64)
+        self.common: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def solve(self) -> dict[tuple[str, str], int]:
+        """Tokens of each (pattern, source) that has some."""
+        level = 0
+        while any(self.open) and (self.most > level).any():
+            self.free += np.where(self.most > level, self.tokens, 0)
+            for i in range(len(self.sources)):
+                self._give(i, self.open[i])
+            while self._reroute():
+                pass
+            level += 1
+        return {(self.names[p], s): int(f) for s, h, flow in zip(self.sources, self.patterns, self.flow, strict=True) for p, f in zip(h.tolist(), flow.tolist(), strict=True) if f}
+
+    def _give(self, i: int, most: int) -> None:
+        """Up to ``most`` free tokens to a source."""
+        part = _first(np.minimum(self.free[self.patterns[i]], self.room[i]), most)
+        self.flow[i] += part
+        self.room[i] -= part
+        self.free[self.patterns[i]] -= part
+        self.open[i] -= int(part.sum())
+
+    def _both(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if (i, j) not in self.common:
+            self.common[i, j] = np.intersect1d(self.patterns[i], self.patterns[j], assume_unique=True, return_indices=True)[1:]
+        return self.common[i, j]
+
+    def _movable(self, i: int, j: int) -> np.ndarray:
+        x, y = self._both(i, j)
+        return np.minimum(self.flow[i][x], self.room[j][y])
+
+    def _reroute(self) -> bool:
+        """One shortest path from free tokens to an open quota; False if there is none."""
+        spare = [int(np.minimum(self.free[h], r).sum()) for h, r in zip(self.patterns, self.room, strict=True)]
+        queue = [i for i, n in enumerate(spare) if n]
+        via: dict[int, int | None] = dict.fromkeys(queue)
+        for i in queue:
+            if self.open[i]:
+                path = [i]
+                while via[path[-1]] is not None:
+                    path.append(via[path[-1]])
+                steps = list(zip(path[1:], path))
+                amount = min(self.open[i], spare[path[-1]], *(int(self._movable(a, b).sum()) for a, b in steps))
+                for a, b in steps:
+                    x, y = self._both(a, b)
+                    part = _first(self._movable(a, b), amount)
+                    self.flow[a][x] -= part
+                    self.room[a][x] += part
+                    self.flow[b][y] += part
+                    self.room[b][y] -= part
+                self.open[path[-1]] += amount
+                self._give(path[-1], amount)
+                self.open[i] -= amount
+                return True
+            for j in range(len(self.sources)):
+                if j not in via and self._movable(i, j).any():
+                    via[j] = i
+                    queue.append(j)
+        return False
+
+
+def _first(amounts: np.ndarray, most: int) -> np.ndarray:
+    """The part of each amount that goes into ``most``, from the first on."""
+    ends = np.cumsum(amounts)
+    return np.clip(most - (ends - amounts), 0, amounts)
 
 
 @dataclass
 class Mixture:
-    """What the flow decided: quotas, capacities and shares of sources, and tokens of each (pattern, source)."""
+    """What the flow decided: quotas of sources, and tokens of each (pattern, source)."""
 
     total: int
     quota: dict[str, int]
-    capacity: dict[str, int]
     routed: dict[tuple[str, str], int]
     tokens: dict[str, int]
 
@@ -118,31 +153,19 @@ def sized_documents(documents: DataFrame, targets: DataFrame, vocabulary: str =
 
 
 def route(sized: DataFrame, targets: DataFrame) -> Mixture:
-    """Solve the flow over membership patterns. The mix is as large, in tokens, as all documents once."""
-    patterns = sized.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    """Solve the flow over membership patterns. The mix is as large, in tokens, as all documents once.
+
+    Patterns are sets of target sources, at most two to the power of their number, whatever the documents; one row each
+    reaches the driver.
+    """
+    patterns = sized.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()
     wanted = targets.select(source_key(F.col("source")).alias("source"), "weight", "max_repeats").filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("repeats")).collect()
     total = sum(p["tokens"] for p in patterns)
     tokens = {p["pattern"]: p["tokens"] for p in patterns if p["pattern"] and p["tokens"] > 0}
     weight = {r["source"]: r["weight"] or 0.0 for r in wanted}
     repeats = {r["source"]: max(0, r["repeats"] or 0) for r in wanted}
-    quota = {s: round(w * total) for s, w in weight.items()}
-    sources, names = sorted(quota), sorted(tokens)
-    at = {s: 2 + len(names) + i for i, s in enumerate(sources)}
-    net = FlowNetwork(2 + len(names) + len(sources))
-    arcs, capacity = {}, dict.fromkeys(sources, 0)
-    for i, name in enumerate(names):
-        members = name.split("|")
-        for use in range(max((repeats[s] for s in members), default=0)):
-            net.arc(0, 2 + i, tokens[name], use)
-        for s in members:
-            arcs[name, s] = net.arc(2 + i, at[s], tokens[name] * repeats[s])
-            capacity[s] += tokens[name] * repeats[s]
-    for s in sources:
-        net.arc(at[s], 1, quota[s])
-    net.solve(0, 1)
-    return Mixture(total, quota, capacity, {k: net.flow(a) for k, a in arcs.items() if net.flow(a)}, tokens)
+    quota = {s: max(0, round(w * total)) for s, w in weight.items()}
+    return Mixture(total, quota, PatternFlow(tokens, repeats, quota).solve(), tokens)
 
 
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, Mixture]:
@@ -152,9 +175,13 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
 
 
 def starved_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(source) whose arcs cannot carry their quota even with all documents repeated as often as allowed."""
+    """(source) whose quota the flow cannot fill even with all documents repeated as often as allowed.
+
+    Where sources share documents that are too few for all of them, the flow is largest however it divides these; the
+    last ones by name stay short.
+    """
     _, mixture = mix(documents, targets, vocabulary)
-    short = [(s,) for s in sorted(mixture.quota) if mixture.capacity[s] < mixture.quota[s]]
+    short = [(s,) for s in sorted(mixture.quota) if mixture.given(s) < mixture.quota[s]]
     return documents.sparkSession.createDataFrame(short, "source string")
 
 
@@ -174,7 +201,7 @@ def selected_documents(documents: DataFrame, targets: DataFrame, seed: str = "mi
     ordered = preceding_total(sized.filter("pattern <> '' and tokens > 0").withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(seed), "unit"), 256)), ["pattern"], ["_hash", "unit"], "_hash", "tokens")
     laps = lambda edge: F.greatest(F.lit(0), F.ceil((F.col(edge) - F.col("preceding")) / F.col("lap")))
     return (
-        ordered.join(F.broadcast(tape), "pattern")
+        ordered.join(F.broadcast(tape) if len(stretches) <= MOST_BROADCAST else tape, "pattern")
         .select("doc_id", "source", (laps("end") - laps("begin")).cast("long").alias("copies"), "tokens")
         .filter("copies > 0")
     )

@@ -175,9 +175,9 @@ def test_mixture_respects_quotas_repeats_and_reports_shares(spark):
     for source, quota in mix.quota.items():
         # A stretch's last copy may overshoot, its first may be owed to the source before.
         assert abs(spent[source] - mix.given(source)) <= 2 * 60
-        assert mix.given(source) == min(quota, mix.capacity[source])
+        assert mix.given(source) == min(quota, room(mix, source, limits))
     short = {r.source for r in mixture.starved_sources(frame, targets).collect()}
-    assert short == {s for s in mix.quota if mix.capacity[s] < mix.quota[s]} and "absent" in short
+    assert short == {s for s in mix.quota if room(mix, s, limits) < mix.quota[s]} and "absent" in short
     report = {r.source: r for r in mixture.share_report(chosen, targets).collect()}
     assert report["absent"].tokens == 0 and abs(sum(r.share for r in report.values()) - 1) < 1e-4
 
@@ -198,6 +198,11 @@ def test_starved_sources_agree_with_counting_tokens_of_each_source(spark):
     assert {r.source for r in got.collect()} == want and 0 < len(want) < len(targets)
 
 
+def room(mix, source, limits):
+    """Tokens of a source if it had all its documents for itself."""
+    return sum(n for p, n in mix.tokens.items() if source in p.split("|")) * limits[source]
+
+
 def mixture_key(source):
     return source and source.strip().lower().replace("-", "_") or None
 
@@ -209,12 +214,63 @@ def test_mixture_of_nothing(spark):
     assert mixture.starved_sources(frame.limit(0), targets).count() == 0
 
 
+class FlowNetwork:
+    """Minimum-cost maximum flow by successive shortest paths, arc by arc; what the pattern flow is held against."""
+
+    def __init__(self, size):
+        self.size, self.heads, self.room, self.cost = size, [], [], []
+        self.out = [[] for _ in range(size)]
+
+    def arc(self, tail: int, head: int, capacity: int, cost: int = 0) -> int:
+        for a, b, c, w in ((tail, head, capacity, cost), (head, tail, 0, -cost)):
+            self.out[a].append(len(self.heads))
+            self.heads.append(b)
+            self.room.append(c)
+            self.cost.append(w)
+        return len(self.heads) - 2
+
+    def flow(self, arc: int) -> int:
+        return self.room[arc ^ 1]
+
+    def solve(self, start: int, end: int) -> int:
+        import heapq
+
+        lift, moved = [0] * self.size, 0
+        while True:
+            reach, via = [None] * self.size, [-1] * self.size
+            reach[start], queue = 0, [(0, start)]
+            while queue:
+                far, at = heapq.heappop(queue)
+                if far > reach[at]:
+                    continue
+                for k in self.out[at]:
+                    if self.room[k] > 0:
+                        to = self.heads[k]
+                        cost = far + self.cost[k] + lift[at] - lift[to]
+                        if reach[to] is None or cost < reach[to]:
+                            reach[to], via[to] = cost, k
+                            heapq.heappush(queue, (cost, to))
+            if reach[end] is None:
+                return moved
+            lift = [p + r if r is not None else p for p, r in zip(lift, reach, strict=True)]
+            step, at = None, end
+            while at != start:
+                step = self.room[via[at]] if step is None else min(step, self.room[via[at]])
+                at = self.heads[via[at] ^ 1]
+            at = end
+            while at != start:
+                self.room[via[at]] -= step
+                self.room[via[at] ^ 1] += step
+                at = self.heads[via[at] ^ 1]
+            moved += step
+
+
 def test_flow_is_cheapest():
     rng = random.Random(8)
     for _ in range(60):
         supply, demand = [rng.randrange(1, 4) for _ in range(2)], [rng.randrange(1, 5) for _ in range(2)]
         cost = [[rng.randrange(4) for _ in range(2)] for _ in range(2)]
-        net = mixture.FlowNetwork(6)
+        net = FlowNetwork(6)
         for i in range(2):
             net.arc(0, 2 + i, supply[i])
             net.arc(4 + i, 1, demand[i])
@@ -227,3 +283,95 @@ def test_flow_is_cheapest():
              if a + b <= supply[0] and c + d <= supply[1] and a + c <= demand[0] and b + d <= demand[1])
         )
         assert (-moved, total) == best
+
+
+def plain_flow(tokens, repeats, quota):
+    """(moved, cost) of the same problem as a network of single arcs."""
+    names, sources = sorted(tokens), sorted(quota)
+    net = FlowNetwork(2 + len(names) + len(sources))
+    uses = []
+    for i, name in enumerate(names):
+        members = [s for s in name.split("|") if s in quota]
+        uses += [(net.arc(0, 2 + i, tokens[name], k), k) for k in range(max((repeats[s] for s in members), default=0))]
+        for s in members:
+            net.arc(2 + i, 2 + len(names) + sources.index(s), tokens[name] * repeats[s])
+    for j, s in enumerate(sources):
+        net.arc(2 + len(names) + j, 1, quota[s])
+    return net.solve(0, 1), sum(net.flow(a) * k for a, k in uses)
+
+
+def cost_of(routed, tokens):
+    used, cost = Counter(), 0
+    for (name, _), n in routed.items():
+        used[name] += n
+    for name, n in used.items():
+        whole, rest = divmod(n, tokens[name])
+        cost += sum(range(whole)) * tokens[name] + whole * rest
+    return cost
+
+
+def test_pattern_flow_is_largest_and_cheapest():
+    rng = random.Random(11)
+    for _ in range(300):
+        sources = "abcde"[: rng.randrange(1, 6)]
+        tokens = {"|".join(sorted(rng.sample(sources, rng.randrange(1, len(sources) + 1)))): rng.randrange(1, 30) for _ in range(rng.randrange(1, 12))}
+        repeats = {s: rng.randrange(4) for s in sources}
+        quota = {s: rng.randrange(60) for s in sources}
+        routed = mixture.PatternFlow(tokens, repeats, quota).solve()
+        given = Counter()
+        for (name, source), n in routed.items():
+            assert source in name and 0 < n <= tokens[name] * repeats[source]
+            given[source] += n
+        assert all(given[s] <= quota[s] for s in sources)
+        assert (sum(given.values()), cost_of(routed, tokens)) == plain_flow(tokens, repeats, quota)
+
+
+def test_many_patterns_take_seconds():
+    import time
+
+    rng = random.Random(12)
+    sources = [f"s{i:02d}" for i in range(24)]
+    tokens = {"|".join(sorted(rng.sample(sources, rng.randrange(1, 6)))): rng.randrange(1, 10**6) for _ in range(40_000)}
+    quota = {s: round(sum(tokens.values()) * rng.random() / 10) for s in sources}
+    began = time.process_time()
+    routed = mixture.PatternFlow(tokens, {s: rng.randrange(1, 5) for s in sources}, quota).solve()
+    assert len(tokens) > 10_000 and sum(routed.values()) == sum(quota.values()) and time.process_time() - began < 10
+
+
+def test_sources_that_share_too_little_stay_short(spark):
+    rows = [(i, f"r-{i // 2}", "ab"[i % 2], "word " * 30, DAY, None, None) for i in range(20)] + [(99, "r-99", "c", "word " * 30, DAY, None, None)]
+    frame = spark.createDataFrame(rows, TEXTS)
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.7, 1), ("c", 0.05, 1)], "source string, weight double, max_repeats int")
+    _, mix = mixture.mix(frame, targets)
+    assert mix.given("a") + mix.given("b") == mix.tokens["a|b"] and mix.given("c") == mix.quota["c"]
+    assert [r.source for r in mixture.starved_sources(frame, targets).collect()] == ["b"]
+
+
+def test_the_mix_holds_every_document_as_often_as_a_plain_walk_over_the_tape(spark):
+    from hashlib import sha256
+
+    rows, frame = corpus(spark)
+    targets = spark.createDataFrame(TARGETS, "source string, weight double, max_repeats int, tokens string")
+    sized, mix = mixture.mix(frame, targets)
+    tapes = {}
+    for r in sized.collect():
+        if r.pattern and r.tokens:
+            tapes.setdefault(r.pattern, []).append((sha256(f"mix:{r.unit}".encode()).hexdigest(), r.unit, r.doc_id, r.tokens))
+    want, end = Counter(), Counter()
+    for (name, source), amount in sorted(mix.routed.items()):
+        begin, end[name] = end[name], end[name] + amount
+        at = 0
+        while at < end[name]:
+            for _, _, doc, tokens in sorted(tapes[name]):
+                if begin <= at < end[name]:
+                    want[doc, source] += 1
+                at += tokens
+    chosen = mixture.selected_documents(frame, targets)
+    assert {(r.doc_id, r.source): r.copies for r in chosen.collect()} == dict(want)
+    sizes = {r.doc_id: r.tokens for r in sized.collect()}
+    spent = Counter()
+    for (doc, source), n in want.items():
+        spent[source] += sizes[doc] * n
+    for r in mixture.share_report(chosen, targets).collect():
+        if r.source:
+            assert r.tokens == spent[r.source] and abs(r.share - spent[r.source] / sum(spent.values())) < 1e-6
