@@ -2,12 +2,12 @@
 
 Pages are the unit of work. A first pass reads only their edges: bare page numbers are validated by their sequence
 within a volume, which also gives the bands of the page where they stand; what stands at an edge besides them is a
-running header or footer if it is repeated, up to recognition noise, on enough pages of the volume. The second pass
-classifies whole pages, joins words broken at line ends by the vocabulary, and finds words that are near neighbours of
-a vocabulary form. Words that go on across pages are settled by a join of neighbouring pages.
+running header or footer if it is repeated, up to recognition noise, on enough of the pages around (``BLOCK``). The
+second pass classifies whole pages, joins words broken at line ends by the vocabulary, and finds words that are near
+neighbours of a vocabulary form. Words that go on across pages are settled by a join of neighbouring pages.
 
-A volume that holds a third of all lines is only ever aggregated (edge forms and page-number offsets) or joined by
-page, never gathered.
+A volume that holds a third of all lines is only ever aggregated (edge forms by block of pages, page-number offsets) or
+joined by page, never gathered.
 """
 
 from __future__ import annotations
@@ -15,29 +15,30 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.ocrwords import Lexicon, core, within
+from folioflow.llm.textforms import letter_masks, masked_distance
 from folioflow.plans.lineage import cut_lineage
 
-#: Bands (lowest and highest y) of page numbers, where no volume tells.
-TOP_BAND, BOTTOM_BAND = (0, 48), (2100, 2339)
 SLACK = 12
-#: Forms of edge lines a volume keeps for comparison, most frequent first.
-MOST_FORMS = 20
-#: A running line stands on at least two pages and this share of its volume's pages.
-REPEATED = 0.12
+#: Pages in a block. Forms of running lines are compared with those of their block and its two neighbours, so chapters
+#: may have lines of their own, and work on a volume grows with its pages.
+BLOCK = 32
+#: A running line stands on at least two pages and this share of those around it; on three and FREQUENT of them, it may be
+#: of vocabulary words only and stand anywhere at the edge.
+REPEATED, FREQUENT = 0.12, 0.3
+#: Where this share of the pages around (two at least) has a line that stands apart, a line behind a page number may have
+#: a form of its own: with few pages left and right ones do not repeat.
+SLOTTED = 0.5
 #: A running line is at most this long, against the page's longest other line, unless it stands in a number band.
 SHORT = 0.75
-#: Longer lines are no running lines.
-LONGEST = 200
-#: In volumes of up to so many pages running lines may alternate, so that none is repeated; two of them are enough.
-FEW_PAGES = 4
 #: Greatest edit distance of two folded forms of one running line, as a share of the longer.
 NOISE = 0.34
 #: A vocabulary of up to so many terms is broadcast (some 2 KB of index a term).
@@ -76,101 +77,169 @@ def edge_form(text: str) -> str:
 
 def alike(a: str, b: str) -> bool:
     """Whether two forms are the same running line up to noise."""
-    return within(a, b, int(max(len(a), len(b)) * NOISE))
+    most = int(max(len(a), len(b)) * NOISE)
+    if abs(len(a) - len(b)) > most:
+        return False
+    return masked_distance(letter_masks(a), len(a), b) <= most
+
+
+def repeated_forms(forms: list[tuple[str, int]], pages: int) -> tuple[list[str], list[str]]:
+    """(running, frequent) forms among (form, pages that have it), counting the pages of all forms alike.
+
+    A bitmap of letters bounds the distance of two forms from below, so only few are compared letter by letter, the most
+    frequent ones first and no more than needed.
+    """
+    need, often = max(2, math.ceil(pages * REPEATED)), max(3, math.ceil(pages * FREQUENT))
+    forms = sorted(forms, key=lambda f: (-f[1], f[0]))
+    letters = np.zeros((len(forms), 2), np.uint64)
+    for i, (form, _) in enumerate(forms):
+        for c in set(form):
+            k = ord(c) * 40503 % 128
+            letters[i, k >> 6] |= np.uint64(1 << (k & 63))
+    sizes = np.array([len(f) for f, _ in forms])
+    running, frequent = [], []
+    for i, (form, n) in enumerate(forms):
+        if n < often:
+            most = (np.maximum(sizes, len(form)) * NOISE).astype(int)
+            more, less = (np.bitwise_count(x).sum(axis=1) for x in (letters[i] & ~letters, letters & ~letters[i]))
+            masks = letter_masks(form)
+            for j in np.flatnonzero((np.abs(sizes - len(form)) <= most) & (more <= most) & (less <= most)).tolist():
+                if j != i and masked_distance(masks, len(form), forms[j][0]) <= most[j]:
+                    n += forms[j][1]
+                    if n >= often:
+                        break
+        if n >= need:
+            running.append(form)
+        if n >= often:
+            frequent.append(form)
+    return running, frequent
 
 
 def scanned_pages(ocr_line_data: DataFrame, ocr_line: DataFrame) -> DataFrame:
     """One row per page of both tables: (src, volume, page_no, analysis_id, lines), exact repeats counted once.
 
-    ``lines`` holds (id, y, height, width, text) in reading order. Lines without text are kept as empty; pages without
-    volume stand alone.
+    ``lines`` holds (id, y, width, text) in reading order. Lines without text are kept as empty; pages without volume or
+    number stand alone.
     """
     volume = ocr_line_data.select(
-        F.lit("ocr_line_data").alias("src"), F.col("volume_id").alias("volume"), "page_no", "analysis_id",
-        F.struct(F.col("line_id").alias("id"), "y", "height", "width", F.coalesce("text", F.lit("")).alias("text")).alias("line"),
+        F.lit("ocr_line_data").alias("src"), F.when(F.col("page_no").isNotNull(), F.col("volume_id")).alias("volume"), "page_no", "analysis_id",
+        F.struct(F.col("line_id").alias("id"), "y", "width", F.coalesce("text", F.lit("")).alias("text")).alias("line"),
     )
     single = ocr_line.select(
         F.lit("ocr_line").alias("src"), F.lit(None).cast("string").alias("volume"), F.lit(None).cast("int").alias("page_no"), "analysis_id",
-        F.struct("id", F.col("bbox.y").alias("y"), F.col("bbox.height").alias("height"), F.col("bbox.width").alias("width"), F.coalesce("text", F.lit("")).alias("text")).alias("line"),
+        F.struct("id", F.col("bbox.y").alias("y"), F.col("bbox.width").alias("width"), F.coalesce("text", F.lit("")).alias("text")).alias("line"),
     )
     return volume.unionAll(single).filter("analysis_id is not null").groupBy("src", "volume", "page_no", "analysis_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _edges(lines: list[dict]) -> tuple[list[int], list[int]]:
-    """Positions of the two first and the two last lines, outermost first."""
-    n = len(lines)
+def _edges(n: int) -> tuple[list[int], list[int]]:
+    """Positions of the two first and the two last of ``n`` lines, outermost first."""
     return list(range(min(2, n))), [i for i in range(n - 1, max(n - 3, 1 if n > 1 else 0) - 1, -1) if i > 1 or n <= 2]
 
 
-def _structs(column: pa.ListArray) -> list[list[dict] | None]:
-    """A list column of structs as Python lists, field by field (a nested conversion costs several times as much)."""
-    flat = column.flatten()
-    names = [f.name for f in flat.type]
-    each = [dict(zip(names, values, strict=True)) for values in zip(*(flat.field(n).to_pylist() for n in names), strict=True)]
-    sizes = column.value_lengths().to_pylist()
-    out, at = [], 0
-    for size in sizes:
-        out.append(None if size is None else each[at : at + size])
+def _nested(column: pa.ListArray) -> list[list]:
+    """A list column as Python lists, from its flat values (a nested conversion costs several times as much)."""
+    flat, out, at = column.flatten().to_pylist(), [], 0
+    for size in column.value_lengths().to_pylist():
+        out.append(flat[at : at + (size or 0)])
         at += size or 0
     return out
 
 
 def may_run(text: str) -> bool:
     """Whether a line has letters enough for a running line and does not end a sentence."""
-    return len(text) <= LONGEST and not text.rstrip().endswith((".", ",")) and sum(c.isalpha() for c in text) >= 5
+    return not text.rstrip().endswith((".", ",")) and sum(map(str.isalpha, text)) >= 5
 
 
-def stands_apart(lines: list[dict], i: int) -> bool:
+def stands_apart(text: str, longest: int) -> bool:
     """Whether a line is no part of a wrapped paragraph: clearly shorter than the page's lines, without a sentence end."""
-    text = lines[i]["text"].strip()
-    longest = max((len(x["text"]) for n, x in enumerate(lines) if n != i), default=0)
-    return may_run(text) and len(text) <= SHORT * longest
+    text = text.strip()
+    return len(text) <= SHORT * longest and may_run(text)
+
+
+def _longest_other(longest: list[int], size: int) -> int:
+    """The size of the longest other line, given those of the two longest lines."""
+    return (longest[1] if len(longest) > 1 else 0) if longest and size == longest[0] else longest[0] if longest else 0
 
 
 def _edge_rows(pages: DataFrame) -> DataFrame:
     """(volume, page_no, place, y, number, form, apart, behind) of the edge lines of volume pages.
 
-    ``behind`` marks lines right below a page number at the top that may be running ones.
+    ``behind`` marks lines right below a page number at the top that may be running ones. Only edge lines leave the JVM.
     """
+    names = ("volume", "page_no", "place", "y", "number", "form", "apart", "behind")
+    schema = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for volume, page, lines in zip(batch.column("volume").to_pylist(), batch.column("page_no").to_pylist(), _structs(batch.column("lines")), strict=True):
-                for place, positions in zip(("top", "bottom"), _edges(lines), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("volume", "page_no", "n")] + [_nested(batch.column(c)) for c in ("texts", "ys", "longest")]
+            for volume, page, n, texts, ys, longest in zip(*columns, strict=True):
+                for place, positions in zip(("top", "bottom"), _edges(n), strict=True):
                     for order, i in enumerate(positions):
-                        number = page_number(lines[i]["text"])
-                        if order and (number is not None or page_number(lines[positions[0]]["text"]) is None):
+                        # The first two lines, then the last two.
+                        text, y = (v[i if i < 2 else len(v) - n + i] for v in (texts, ys))
+                        number = page_number(text)
+                        if order == 0:
+                            numbered = number is not None
+                        elif number is not None or not numbered:
                             continue
-                        rows.append((volume, page, place, lines[i]["y"], number, None if number is not None or len(lines[i]["text"]) > LONGEST else edge_form(lines[i]["text"]), stands_apart(lines, i), order > 0 and place == "top" and may_run(lines[i]["text"])))
-            yield pa.RecordBatch.from_pylist([dict(zip(("volume", "page_no", "place", "y", "number", "form", "apart", "behind"), r, strict=True)) for r in rows], schema=pa.schema([("volume", pa.string()), ("page_no", pa.int32()), ("place", pa.string()), ("y", pa.int32()), ("number", pa.int64()), ("form", pa.string()), ("apart", pa.bool_()), ("behind", pa.bool_())]))
+                        rows.append((volume, page, place, y, number, None if number is not None else edge_form(text), stands_apart(text, _longest_other(longest, len(text))), order > 0 and place == "top" and may_run(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(len(names))], schema=schema)
+
+    ends = F.when(F.size("lines") <= 2, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, 2), F.slice("lines", F.greatest(F.size("lines") - 1, F.lit(3)), 2)))
+    sizes = F.slice(F.sort_array(F.transform("lines", lambda x: F.length(x["text"])), False), 1, 2)
+    cut = pages.filter("volume is not null").select("volume", "page_no", F.size("lines").alias("n"), ends.alias("_ends"), sizes.alias("longest"))
+    return cut.select("volume", "page_no", "n", F.col("_ends.text").alias("texts"), F.col("_ends.y").alias("ys"), "longest").mapInArrow(run, "volume string, page_no int, place string, y int, number long, form string, apart boolean, behind boolean")
 
-    return pages.filter("volume is not null").select("volume", "page_no", "lines").mapInArrow(run, "volume string, page_no int, place string, y int, number long, form string, apart boolean, behind boolean")
 
+def _block() -> Column:
+    return F.floor(F.col("page_no") / BLOCK).alias("block")
 
-def volume_marks(edges: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """((volume, pages, shift, support, forms, banded, loose), bands): what each volume's edges tell, and where page numbers stand.
 
-    shift is the difference of printed and counted page numbers that most (``support``) of the volume's pages share;
-    forms are those of lines that may be running ones, banded and loose how many pages have such a line.
+def _around(counts: DataFrame, *keys: str) -> DataFrame:
+    """Sums over each block and its two neighbours."""
+    spread = counts.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    return spread.groupBy("volume", "block", *keys).agg(*(F.sum(c).alias(c) for c in counts.columns if c not in ("volume", "block", *keys)))
+
+
+def volume_marks(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
+    """((volume, shift, support), (volume, block, pages, banded, loose, running, frequent), bands): what edges tell.
+
+    shift is the difference of printed and counted page numbers that most (``support``) of the volume's pages share.
+    Around each block of pages: how many pages there are, how many have a line in a number band or one that may be a
+    running one, and which forms are repeated. bands say where page numbers stand.
     """
     numbered = edges.filter("number is not null").withColumn("shift", F.col("number") - F.col("page_no"))
     shifts = numbered.groupBy("volume", "shift").agg(F.countDistinct("page_no").alias("_pages"))
     best = shifts.groupBy("volume").agg(F.max(F.struct("_pages", -F.abs("shift"), "shift")).alias("_best")).select("volume", "_best.shift", F.col("_best._pages").alias("support"))
     held = numbered.join(best.filter("support > 1"), ["volume", "shift"])
-    found = {r["place"]: (r["low"], r["high"]) for r in held.groupBy("place").agg(F.percentile_approx("y", 0.01).alias("low"), F.percentile_approx("y", 0.99).alias("high")).collect()}
-    bands = {"top": found.get("top", TOP_BAND), "bottom": found.get("bottom", BOTTOM_BAND)}
+    spans = lambda rows: {r["place"]: (r["low"], r["high"]) for r in rows.groupBy("place").agg(F.percentile_approx("y", 0.01).alias("low"), F.percentile_approx("y", 0.99).alias("high")).collect() if r["low"] is not None}
+    # Where no volume has a sequence, all that look like page numbers tell.
+    bands = spans(held) or spans(numbered)
     banded = F.lit(False)
     for place, (low, high) in bands.items():
         banded = banded | ((F.col("place") == place) & F.col("y").between(low - SLACK, high + SLACK))
-    running = edges.filter("form <> ''").withColumn("banded", banded).filter("banded or apart or behind")
-    forms = running.groupBy("volume", "form").agg(F.countDistinct("page_no").alias("n"))
-    rank = Window.partitionBy("volume").orderBy(F.desc("n"), "form")
-    kept = forms.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= MOST_FORMS)
-    lists = kept.groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("n", "form"))).alias("forms"))
-    sizes = edges.groupBy("volume").agg(F.countDistinct("page_no").alias("pages"))
-    loose = running.groupBy("volume").agg(F.countDistinct(F.when(F.col("banded"), F.col("page_no"))).alias("banded"), F.countDistinct(F.when(F.expr("banded or apart"), F.col("page_no"))).alias("loose"))
-    return sizes.join(best, "volume", "left").join(lists, "volume", "left").join(loose, "volume", "left"), bands
+    lines = edges.withColumn("_may", F.col("form") != "").withColumn("banded", banded)
+    in_band, apart = F.col("_may") & F.col("banded"), F.col("_may") & F.expr("banded or apart")
+    by_page = lines.groupBy("volume", "page_no").agg(F.max(in_band).cast("int").alias("banded"), F.max(apart).cast("int").alias("loose"))
+    sizes = _around(by_page.groupBy("volume", _block()).agg(F.count("*").alias("pages"), F.sum("banded").alias("banded"), F.sum("loose").alias("loose")))
+    forms = lines.filter("_may and (banded or apart or behind)").select("volume", "page_no", "form").distinct().groupBy("volume", _block(), "form").agg(F.count("*").alias("n"))
+    lists = _around(forms, "form").groupBy("volume", "block").agg(F.collect_list(F.struct("form", "n")).alias("forms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, kept = batch.column("forms").flatten(), []
+            pairs, at = list(zip(flat.field("form").to_pylist(), flat.field("n").to_pylist(), strict=True)), 0
+            for size, pages in zip(batch.column("forms").value_lengths().to_pylist(), batch.column("pages").to_pylist(), strict=True):
+                kept.append(repeated_forms(pairs[at : at + size], pages))
+                at += size
+            names = ("volume", "block", "pages", "banded", "loose")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([k[i] for k in kept], pa.list_(pa.string())) for i in (0, 1))], names=[*names, "running", "frequent"])
+
+    # Forms of a block are those of its pages and their neighbours' pages.
+    about = sizes.join(lists, ["volume", "block"], "left").select("volume", "block", "pages", "banded", "loose", F.coalesce("forms", F.array().cast("array<struct<form:string,n:bigint>>")).alias("forms"))
+    return best, about.mapInArrow(run, "volume string, block bigint, pages bigint, banded bigint, loose bigint, running array<string>, frequent array<string>"), bands
 
 
 class PageReader:
@@ -179,13 +248,18 @@ class PageReader:
     def __init__(self, lexicon: Lexicon, bands: dict[str, tuple[int, int]]) -> None:
         self.lexicon, self.bands = lexicon, bands
 
-    def _numbered(self, line: dict, place: str, page: int | None, shift: int | None, support: int | None) -> bool:
-        number = page_number(line["text"])
+    def _inside(self, y: int | None, place: str) -> bool:
+        if place not in self.bands:
+            return False
         low, high = self.bands[place]
-        if number is None or not low - SLACK <= (line["y"] or 0) <= high + SLACK:
+        return low - SLACK <= (y or 0) <= high + SLACK
+
+    def _numbered(self, text: str, y: int | None, place: str, page: int | None, mark: dict | None) -> bool:
+        number = page_number(text)
+        if number is None or not self._inside(y, place):
             return False
-        clean = not re.search(r"[OoQIl|!SBZ]", re.sub(r"(?i)page|p\.", "", line["text"]))
-        return page is None or not clean or not support or support < 2 or number - page == shift
+        clean = not re.search(r"[OoQIl|!SBZ]", re.sub(r"(?i)page|p\.", "", text))
+        return page is None or not clean or not mark or not mark["support"] or mark["support"] < 2 or number - page == mark["shift"]
 
     def _foreign(self, text: str) -> int:
         """2 if a word of the line is neither of the vocabulary nor a figure or a place, 1 if it may be a misread one.
@@ -197,38 +271,45 @@ class PageReader:
             word = core(token)
             if word[:1].isascii() and word[:1].islower() and len(word) > 1:
                 return 0
-            if sum(c.isalpha() for c in word) < 2 or word in self.lexicon or word.casefold() in self.lexicon.folded:
+            if sum(map(str.isalpha, word)) < 2 or word in self.lexicon or word.casefold() in self.lexicon.folded:
                 continue
             if not re.fullmatch(r"[가-힣]{1,4}[시군구]|제?\d+\w{0,2}", word):
                 most = max(most, 2 if self.lexicon.correction(token) is None else 1)
         return most
 
-    def _running(self, lines: list[dict], i: int, place: str, behind_number: bool, mark: dict) -> bool:
-        if len(lines[i]["text"]) > LONGEST:
+    def _running(self, text: str, y: int | None, longest: int, place: str, behind_number: bool, mark: dict) -> bool:
+        form = edge_form(text)
+        if len(form) < 3:
             return False
-        low, high = self.bands[place]
-        inside = low - SLACK <= (lines[i]["y"] or 0) <= high + SLACK
-        form = edge_form(lines[i]["text"])
-        apart, behind = stands_apart(lines, i), behind_number and place == "top" and may_run(lines[i]["text"])
-        foreign = 2 if inside else self._foreign(lines[i]["text"]) if apart or behind else 0
-        if len(form) < 3 or not foreign:
+        if self._inside(y, place):
+            return (mark["banded"] or 0) > 1 or form in mark["running"]
+        apart, behind = stands_apart(text, longest), behind_number and place == "top" and may_run(text)
+        if not apart and not behind:
             return False
-        if inside and (mark["banded"] or 0) > 1:
-            return True
-        if behind and apart and foreign > 1 and (mark["pages"] or 0) <= FEW_PAGES and (mark["loose"] or 0) > 1:
+        if form in mark["frequent"]:
             return True
-        return sum(f["n"] for f in mark["forms"] or () if alike(form, f["form"])) >= max(2, math.ceil((mark["pages"] or 1) * REPEATED))
-
-    def kinds(self, lines: list[dict], page: int | None = None, mark: dict | None = None) -> dict[int, str]:
+        pages = mark["pages"] or 1
+        alone = behind and apart and math.ceil(pages * REPEATED) <= 1 and (mark["loose"] or 0) >= max(2, pages * SLOTTED)
+        if not alone and form not in mark["running"]:
+            return False
+        if form in mark["running"]:
+            return self._foreign(text) > 0
+        # Without a repetition the line may be running text; what a word broken on the page before left of it tells nothing.
+        parts = text.split()
+        begun = len(parts) > 1 and not parts[0].isascii()
+        return self._foreign(" ".join(parts[begun:])) > 1 and not any(t.endswith((".", ",")) and core(t) in self.lexicon for t in parts)
+
+    def kinds(self, texts: list[str], ys: list[int | None], page: int | None = None, mark: dict | None = None) -> dict[int, str]:
         """header or page_number of the page's edge lines, by position."""
         found: dict[int, str] = {}
-        for place, positions in zip(("top", "bottom"), _edges(lines), strict=True):
+        longest = sorted(map(len, texts), reverse=True)[:2]
+        for place, positions in zip(("top", "bottom"), _edges(len(texts)), strict=True):
             for order, i in enumerate(positions):
                 if i in found or order and positions[0] not in found:
                     continue
-                if "page_number" not in (found.get(p) for p in positions) and self._numbered(lines[i], place, page, mark and mark["shift"], mark and mark["support"]):
+                if "page_number" not in (found.get(p) for p in positions) and self._numbered(texts[i], ys[i], place, page, mark):
                     found[i] = "page_number"
-                elif mark and self._running(lines, i, place, order > 0, mark):
+                elif mark and self._running(texts[i], ys[i], _longest_other(longest, len(texts[i])), place, order > 0, mark):
                     found[i] = "header"
         return found
 
@@ -246,138 +327,159 @@ def _indexed(terms: tuple[str, ...]) -> Lexicon:
     return Lexicon(list(terms))
 
 
-_BODY = "src string, volume string, page_no int, analysis_id string, noise array<struct<line_id:int,noise:string>>, first_id int, first_token string, last_id int, last_token string, first_misread boolean, last_misread boolean, text string"
-
-
-def read_pages(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Each page with what is settled within it: noise of its lines, its text, and the open ends for its neighbours.
+class Page:
+    """What is settled within a page: noise of its lines, its text, and the open ends for its neighbours.
 
-    first_/last_token belong to the first and last line of running text; whether they are misread whole words depends on
-    the neighbouring page and is given apart.
+    ``first`` and ``last`` are (line id, token, whether it is a misread whole word unless it goes on from or on the
+    neighbouring page), of the first and last line of running text.
     """
-    spark = pages.sparkSession
-    marks, bands = volume_marks(cut_lineage(_edge_rows(pages)))
-    terms = _lexicon(spark, lexicon)
-    joined = pages.join(marks, "volume", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _indexed(terms.value)
-        reader = PageReader(words, bands)
-        for batch in batches:
-            flat = [n for n in batch.schema.names if n not in ("lines", "forms")]
-            rows = batch.select(flat).to_pylist()
-            for row, lines, forms in zip(rows, _structs(batch.column("lines")), _structs(batch.column("forms")), strict=True):
-                row["lines"], row["forms"] = lines, forms
-            yield pa.RecordBatch.from_pylist([_read(reader, words, row) for row in rows], schema=_SCHEMA)
-
-    return joined.select("src", "volume", "page_no", "analysis_id", "lines", "pages", "shift", "support", "forms", "banded", "loose").mapInArrow(run, _BODY)
-
-
-_SCHEMA = pa.schema([
-    ("src", pa.string()), ("volume", pa.string()), ("page_no", pa.int32()), ("analysis_id", pa.string()),
-    ("noise", pa.list_(pa.struct([("line_id", pa.int32()), ("noise", pa.string())]))),
-    ("first_id", pa.int32()), ("first_token", pa.string()), ("last_id", pa.int32()), ("last_token", pa.string()),
-    ("first_misread", pa.bool_()), ("last_misread", pa.bool_()), ("text", pa.string()),
-])
-
-
-def _read(reader: PageReader, words: Lexicon, row: dict) -> dict:
-    lines = row["lines"]
-    kinds = reader.kinds(lines, row["page_no"], row if row["volume"] is not None else None)
-    noise = [{"line_id": lines[i]["id"], "noise": kind} for i, kind in kinds.items()]
-    body = [i for i in range(len(lines)) if i not in kinds and lines[i]["text"].strip()]
-    tokens = {i: lines[i]["text"].split() for i in body}
-    out = {"src": row["src"], "volume": row["volume"], "page_no": row["page_no"], "analysis_id": row["analysis_id"], "noise": noise, "first_id": None, "first_token": None, "last_id": None, "last_token": None, "first_misread": False, "last_misread": False}
-    broken: dict[int, str] = {}
-    for i, j in zip(body, body[1:]):
-        whole = words.broken(tokens[i][-1], tokens[j][0])
-        if whole:
-            broken[i] = whole
-            noise.append({"line_id": lines[i]["id"], "noise": "broken_word"})
-    continued = {j for i, j in zip(body, body[1:]) if i in broken}
-    repaired: list[list[str]] = []
-    for n, i in enumerate(body):
-        parts = tokens[i]
-        fixed = [words.correction(t) for t in parts]
-        first_open, last_open = n == 0, n == len(body) - 1
-        inner = range(1 if i in continued or first_open else 0, len(parts) - (1 if i in broken or last_open else 0))
-        if any(fixed[k] for k in inner):
-            noise.append({"line_id": lines[i]["id"], "noise": "misread"})
-        if first_open:
-            out |= {"first_id": lines[i]["id"], "first_token": parts[0], "first_misread": bool(fixed[0]) and (len(parts) > 1 or not last_open)}
-            if len(parts) == 1 and i in broken:
-                out["first_misread"] = False
-        if last_open:
-            out |= {"last_id": lines[i]["id"], "last_token": parts[-1], "last_misread": bool(fixed[-1]) and (i not in continued or len(parts) > 1)}
-        line = [t if not w else t.replace(core(t), w) for t, w in zip(parts, fixed, strict=True)]
-        if i in continued:
-            line = line[1:]
-        if i in broken:
-            tail = re.sub(r"^.*?(\W*)$", r"\1", tokens[body[n + 1]][0])
-            line[-1:] = [re.match(r"\W*", parts[-1]).group() + broken[i] + tail] if line or i not in continued else [broken[i] + tail]
-        repaired.append(line)
-    out["text"] = _paragraphs(repaired, [lines[i] for i in body])
-    return out
-
-
-def _paragraphs(parts: list[list[str]], lines: list[dict]) -> str:
+    __slots__ = ("noise", "first", "last", "text")
+
+    def __init__(self, reader: PageReader, texts: list[str], ids: list, ys: list, widths: list | None, page: int | None, mark: dict | None) -> None:
+        words = reader.lexicon
+        kinds = reader.kinds(texts, ys, page, mark)
+        self.noise = [(ids[i], kind) for i, kind in kinds.items()]
+        self.first = self.last = self.text = None
+        body, tokens = [], []
+        for i, text in enumerate(texts):
+            parts = text.split() if i not in kinds else None
+            if parts:
+                body.append(i)
+                tokens.append(parts)
+        known, correction = words.known, words.correction
+        broken = [words.broken(tokens[n][-1], tokens[n + 1][0]) for n in range(len(body) - 1)]
+        self.noise += [(ids[i], "broken_word") for i, whole in zip(body, broken) if whole]
+        final, repaired = len(body) - 1, []
+        for n, (i, parts) in enumerate(zip(body, tokens, strict=True)):
+            fixed = [known[t] if t in known else correction(t) for t in parts]
+            begins, ends = n > 0 and broken[n - 1], n < final and broken[n]
+            inner = fixed[1 if begins or n == 0 else 0 : len(fixed) - (1 if ends or n == final else 0)]
+            if any(inner):
+                self.noise.append((ids[i], "misread"))
+            if n == 0:
+                self.first = ids[i], parts[0], bool(fixed[0]) and (len(parts) > 1 or n != final and not ends)
+            if n == final:
+                self.last = ids[i], parts[-1], bool(fixed[-1]) and (not begins or len(parts) > 1)
+            if widths is not None:
+                line = [t if not w else t.replace(core(t), w) for t, w in zip(parts, fixed, strict=True)]
+                if begins:
+                    line = line[1:]
+                if ends:
+                    tail = re.sub(r"^.*?(\W*)$", r"\1", tokens[n + 1][0])
+                    line[-1:] = [re.match(r"\W*", parts[-1]).group() + broken[n] + tail] if line or not begins else [broken[n] + tail]
+                repaired.append(line)
+        if widths is not None:
+            self.text = _paragraphs(repaired, [widths[i] or 0 for i in body])
+
+
+def _paragraphs(parts: list[list[str]], widths: list[int]) -> str:
     """Lines joined to paragraphs: a line that ends a sentence well before the margin ends its paragraph."""
-    margin = max((x["width"] or 0 for x in lines), default=0)
+    margin = max(widths, default=0)
     out: list[list[str]] = [[]]
-    for words, line in zip(parts, lines, strict=True):
+    for words, width in zip(parts, widths, strict=True):
         out[-1] += words
-        if words and words[-1].endswith((".", "!", "?", "。")) and (line["width"] or 0) < 0.8 * margin:
+        if words and words[-1].endswith((".", "!", "?", "。")) and width < 0.8 * margin:
             out.append([])
     return "\n\n".join(" ".join(p) for p in out if p)
 
 
-def _across(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The pages with ``whole``: the word that a page's last line breaks off, completed by the next page; and
-    ``before``: the same of the page before."""
+_PAGE = (("src", pa.string()), ("volume", pa.string()), ("page_no", pa.int32()), ("analysis_id", pa.string()))
+
+
+def read_pages(pages: DataFrame, lexicon: DataFrame, made: Callable[[tuple, Page], Iterator[tuple]], columns: tuple, kinds: str, texts: bool = False) -> DataFrame:
+    """Rows that ``made`` gives for each page's key (src, volume, page_no, analysis_id) and reading, after that key."""
+    shifts, marks, bands = volume_marks(cut_lineage(_edge_rows(pages)))
     terms = _lexicon(pages.sparkSession, lexicon)
-    volumes = pages.filter("volume is not null and first_id is not null")
-    heads = volumes.groupBy("volume", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("analysis_id", "first_token")).alias("_next")).select("volume", "page_no", "_next.first_token")
-    ends = volumes.select("volume", "page_no", "analysis_id", "last_token").join(heads, ["volume", "page_no"])
+    joined = pages.withColumn("block", _block()).join(shifts, "volume", "left").join(marks, ["volume", "block"], "left")
+    fields = [*_PAGE, *columns]
+    mark_names = ("shift", "support", "pages", "banded", "loose")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _indexed(terms.value)
+        reader = PageReader(_indexed(terms.value), bands)
         for batch in batches:
-            rows = [r | {"whole": words.broken(r["last_token"], r["first_token"])} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("volume", "page_no", "analysis_id", "whole")} for r in rows if r["whole"]], schema=pa.schema([("volume", pa.string()), ("page_no", pa.int32()), ("analysis_id", pa.string()), ("whole", pa.string())]))
+            keys = list(zip(*(batch.column(c).to_pylist() for c, _ in _PAGE), strict=True))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in mark_names), strict=True))
+            lines = [_nested(batch.column(c)) for c in ("texts", "ids", "ys", "widths")]
+            running, frequent = (_nested(batch.column(c)) for c in ("running", "frequent"))
+            rows = []
+            for key, mark, text, ids, ys, widths, r, f in zip(keys, marks, *lines, running, frequent, strict=True):
+                about = None if key[1] is None else dict(zip(mark_names, mark, strict=True)) | {"running": r, "frequent": f}
+                rows += [(*key, *row) for row in made(key, Page(reader, text, ids, ys, widths if texts else None, key[2], about))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
-    wholes = ends.select("volume", "page_no", "analysis_id", "last_token", "first_token").mapInArrow(run, "volume string, page_no int, analysis_id string, whole string")
-    before = wholes.groupBy("volume", (F.col("page_no") + 1).alias("page_no")).agg(F.min("whole").alias("before"))
-    return pages.join(wholes, ["volume", "page_no", "analysis_id"], "left").join(before, ["volume", "page_no"], "left")
+    width = F.col("lines.width") if texts else F.array().cast("array<int>")
+    return joined.select(*(c for c, _ in _PAGE), *mark_names, "running", "frequent", F.col("lines.text").alias("texts"), F.col("lines.id").alias("ids"), F.col("lines.y").alias("ys"), width.alias("widths")).mapInArrow(run, "src string, volume string, page_no int, analysis_id string, " + kinds)
 
 
-def pages_read(ocr_line_data: DataFrame, ocr_line: DataFrame, lexicon: DataFrame) -> DataFrame:
-    pages = cut_lineage(scanned_pages(ocr_line_data, ocr_line))
-    return _across(cut_lineage(read_pages(pages, lexicon)), lexicon)
+def _across(ends: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(volume, page_no, analysis_id, whole): the words that a page's last line breaks off, completed by the next page.
+
+    ``ends``: volume, page_no, analysis_id, first_token, last_token of pages with running text.
+    """
+    terms = _lexicon(ends.sparkSession, lexicon)
+    heads = ends.groupBy("volume", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("analysis_id", "first_token")).alias("_next")).select("volume", "page_no", "_next.first_token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _indexed(terms.value)
+        for batch in batches:
+            wholes = [words.broken(a, b) for a, b in zip(batch.column("last_token").to_pylist(), batch.column("first_token").to_pylist(), strict=True)]
+            at = pa.array([i for i, w in enumerate(wholes) if w], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("volume", "page_no", "analysis_id")), pa.array([w for w in wholes if w], pa.string())], names=["volume", "page_no", "analysis_id", "whole"])
+
+    return ends.select("volume", "page_no", "analysis_id", "last_token").join(heads, ["volume", "page_no"]).mapInArrow(run, "volume string, page_no int, analysis_id string, whole string")
 
 
 def find_noise(ocr_line_data: DataFrame, ocr_line: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(src, analysis_id, line_id, noise) of all noisy lines; see the module for the kinds.
 
     Exactly repeated rows count once; lines without text or number in the page are kept in their place and are not noisy;
-    rows without analysis_id are no page; pages without volume stand alone. Of two pages of one number the one with the
-    smaller analysis_id goes on from the page before. Empty tables, and an empty lexicon, give what is left to find.
+    rows without analysis_id are no page; pages without volume or number stand alone. Of two pages of one number the one
+    with the smaller analysis_id goes on from the page before. Empty tables, and an empty lexicon, give what is left to
+    find.
     """
-    read = pages_read(ocr_line_data, ocr_line, lexicon)
-    row = lambda line, kind, when: F.when(when, F.struct(F.col(line).alias("line_id"), F.lit(kind).alias("noise")))
-    open_ends = F.array(
-        row("last_id", "broken_word", F.col("whole").isNotNull()),
-        row("first_id", "misread", F.col("first_misread") & F.col("before").isNull()),
-        row("last_id", "misread", F.col("last_misread") & F.col("whole").isNull()),
-    )
-    return read.select("src", "analysis_id", F.explode(F.array_distinct(F.array_compact(F.concat("noise", open_ends)))).alias("n")).select("src", "analysis_id", "n.line_id", "n.noise")
+
+    def made(key: tuple, page: Page) -> Iterator[tuple]:
+        noise = set(page.noise)
+        if page.first and key[1] is None:
+            noise.update((i, "misread") for i, _, misread in (page.first, page.last) if misread)
+        elif page.first:
+            yield page.first[0], "first", page.first[1], page.first[2]
+            yield page.last[0], "last", page.last[1], page.last[2]
+        for line, kind in noise:
+            yield line, kind, None, None
+
+    pages = cut_lineage(scanned_pages(ocr_line_data, ocr_line))
+    read = cut_lineage(read_pages(pages, lexicon, made, (("line_id", pa.int32()), ("noise", pa.string()), ("token", pa.string()), ("misread", pa.bool_())), "line_id int, noise string, token string, misread boolean"))
+    first, last = read.filter("noise = 'first'"), read.filter("noise = 'last'")
+    ends = last.select("volume", "page_no", "analysis_id", F.col("token").alias("last_token")).join(first.select("volume", "page_no", "analysis_id", F.col("token").alias("first_token")), ["volume", "page_no", "analysis_id"])
+    wholes = _across(ends, lexicon)
+    before = wholes.select("volume", (F.col("page_no") + 1).alias("page_no"))
+    row = lambda rows, kind: rows.select("src", "analysis_id", "line_id", F.lit(kind).alias("noise"))
+    return (
+        read.filter("token is null").select("src", "analysis_id", "line_id", "noise")
+        .unionAll(row(last.join(wholes, ["volume", "page_no", "analysis_id"], "left_semi"), "broken_word"))
+        .unionAll(row(last.filter("misread").join(wholes, ["volume", "page_no", "analysis_id"], "left_anti"), "misread"))
+        .unionAll(row(first.filter("misread").join(before, ["volume", "page_no"], "left_anti"), "misread"))
+        .distinct()
+    )
 
 
 def readable_pages(ocr_line_data: DataFrame, ocr_line: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(src, volume, page_no, analysis_id, text): each page's running text in paragraphs, words whole and corrected.
 
-    A word that goes on on the next page stands on the page where it begins.
+    A word that goes on on the next page stands on the page where it begins. Pages without running text are empty.
     """
-    read = pages_read(ocr_line_data, ocr_line, lexicon)
+
+    def made(key: tuple, page: Page) -> Iterator[tuple]:
+        yield page.first and page.first[1], page.last and page.last[1], page.text
+
+    pages = cut_lineage(scanned_pages(ocr_line_data, ocr_line))
+    columns = (("first_token", pa.string()), ("last_token", pa.string()), ("text", pa.string()))
+    read = cut_lineage(read_pages(pages, lexicon, made, columns, "first_token string, last_token string, text string", texts=True))
+    wholes = _across(read.filter("volume is not null and first_token is not null").drop("src", "text"), lexicon)
+    before = wholes.groupBy("volume", (F.col("page_no") + 1).alias("page_no")).agg(F.min("whole").alias("before"))
+    both = read.join(wholes, ["volume", "page_no", "analysis_id"], "left").join(before, ["volume", "page_no"], "left")
     text = F.when(F.col("before").isNotNull(), F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
     text = F.when(F.col("whole").isNotNull(), F.concat(F.regexp_replace(text, r"\S+$", ""), F.col("whole"))).otherwise(text)
-    return read.select("src", "volume", "page_no", "analysis_id", text.alias("text"))
+    return both.select("src", "volume", "page_no", "analysis_id", text.alias("text"))

@@ -96,3 +96,27 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
         if most is not None and last.min() > most:
             return most + 1
     return int(last[-1])
+
+
+def letter_masks(text: str) -> dict[str, int]:
+    """For each letter the places where it stands in the text, as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(text):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def masked_distance(masks: dict[str, int], size: int, other: str) -> int:
+    """Edit distance of the text of ``size`` letters that ``masks`` stand for and another (columns of bits, after Myers)."""
+    full = (1 << size) - 1
+    last, up, down, far = 1 << size >> 1, full, 0, size
+    if not size:
+        return len(other)
+    for c in other:
+        same = masks.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        far += bool(more & last) - bool(less & last)
+        more, less, same = more << 1 | 1, less << 1, same | down
+        up, down = (less | ~(same | more)) & full, more & same & full
+    return far

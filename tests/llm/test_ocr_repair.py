@@ -102,7 +102,55 @@ def test_long_odd_lines_take_linear_time(text):
     import time
 
     began = time.process_time()
-    line = {"id": 1, "y": 30, "height": 1, "width": 1, "text": text}
-    row = {"src": "s", "volume": "v", "page_no": 1, "analysis_id": "a", "lines": [line, line, line], "pages": 3, "shift": 0, "support": 2, "forms": [{"n": 2, "form": "x" * 50}], "banded": 2, "loose": 2}
-    ocr_repair._read(ocr_repair.PageReader(LEX, {"top": (0, 48), "bottom": (2100, 2339)}), LEX, row)
+    mark = {"pages": 3, "shift": 0, "support": 2, "banded": 2, "loose": 2, "running": ["x" * 50], "frequent": []}
+    ocr_repair.Page(ocr_repair.PageReader(LEX, {"top": (0, 48), "bottom": (2100, 2339)}), [text] * 3, [1, 2, 3], [30] * 3, [1] * 3, 1, mark)
+    ocr_repair.repeated_forms([(ocr_repair.edge_form(text), 2), ("x" * 50, 1)], 3)
     assert time.process_time() - began < 10
+
+
+def scanned(pages, title, rng, chapter=None):
+    """Lines of a volume whose every page bears a number and ``title``, two letters of it wrong on each page."""
+    out = []
+    for page in range(1, pages + 1):
+        head = list(title if chapter is None or page // chapter % 2 else "위원회는 교육과정은 보고한다")
+        for at in rng.sample([i for i, c in enumerate(head) if c != " "], 2):
+            head[at] = chr(0xAC00 + rng.randrange(11172))
+        body = [" ".join(rng.choices(TERMS, k=9)) for _ in range(3)]
+        for i, (text, y) in enumerate([(f"- {page} -", 20), ("".join(head), 80), *((b, 140 + 50 * k) for k, b in enumerate(body))], 1):
+            out.append(("v", page, "s", f"a{page}", i, text, 90.0, 100, y, 13 * len(text), 30))
+    return out
+
+
+@pytest.mark.parametrize(("pages", "title", "chapter"), [(5, "단비시의회 재무위원회 임시회 회의록", None), (300, "단비시의회 재무위원회 임시회 회의록", None), (300, "재적위원 과반수의 출석으로 교육과정은 위원회는", None), (10_000, "단비시의회 재무위원회 임시회 회의록", 40)])
+def test_headers_with_wrong_letters_on_every_page(spark, pages, title, chapter):
+    lines = scanned(pages, title, random.Random(pages), chapter)
+    data = spark.createDataFrame(lines, DATA)
+    terms = spark.createDataFrame([(t, "ko") for t in TERMS], "term string, lang string")
+    found = [tuple(r) for r in ocr_repair.find_noise(data, spark.createDataFrame([], ONE), terms).filter("noise = 'header'").select("analysis_id", "line_id").collect()]
+    assert set(found) <= {(f"a{p}", 2) for p in range(1, pages + 1)} and len(found) == len(set(found)) >= 0.99 * pages
+
+
+def test_repeated_forms_agree_with_comparing_all():
+    rng = random.Random(4)
+    for _ in range(60):
+        base = ["".join(rng.choices("abcdefghijkl", k=rng.randrange(3, 30))) for _ in range(4)]
+        forms = {}
+        for _ in range(rng.randrange(1, 40)):
+            form = list(rng.choice(base))
+            for _ in range(rng.randrange(4)):
+                form[rng.randrange(len(form))] = rng.choice(["", "x", "yz"])
+            if "".join(form):
+                forms["".join(form)] = rng.randrange(1, 3)
+        pages = rng.randrange(1, 60)
+        total = {a: sum(n for b, n in forms.items() if a == b or ocr_repair.alike(a, b)) for a in forms}
+        running, frequent = ocr_repair.repeated_forms(list(forms.items()), pages)
+        assert set(running) == {f for f, n in total.items() if n >= max(2, -(-pages * 12 // 100))}
+        assert set(frequent) == {f for f, n in total.items() if n >= max(3, -(-pages * 3 // 10))}
+
+
+def test_pages_without_number_and_of_one_number(spark):
+    lines, noise = volume()
+    lines += [("v1", None, "s", "none", 1, "- 3 -", 90.0, 1, 2240, 9, 9), ("v1", 2, "s", "z2", 1, "수의 출석으로 개의한다.", 90.0, 1, 90, 9, 9)]
+    terms = spark.createDataFrame([(t, "ko") for t in TERMS], "term string, lang string")
+    found = sorted(tuple(r) for r in ocr_repair.find_noise(spark.createDataFrame(lines, DATA), spark.createDataFrame([], ONE), terms).collect())
+    assert found == sorted([*noise, ("ocr_line_data", "none", 1, "page_number")])

@@ -37,6 +37,13 @@ def test_edit_distance():
     assert [textforms.edit_distance(points(a), points(b)) for a, b in (("kitten", "sitting"), ("", "abc"), ("한글날", "한굴"), ("", ""))] == [3, 3, 2, 0]
 
 
+def test_distance_by_bits_agrees_with_rows():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc가나", k=rng.randrange(90))) for _ in range(2))
+        assert textforms.masked_distance(textforms.letter_masks(a), len(a), b) == textforms.edit_distance(textforms.code_points(a), textforms.code_points(b))
+
+
 def item_index(items):
     texts = [(i, textforms.compact(t)) for i, t in items]
     grams = [(i, t, textforms.rolling_hashes(textforms.folded(t), min(leakage.GRAM, max(1, len(t)))).tolist()) for i, t in texts]
