@@ -203,8 +203,8 @@ def _around(counts: DataFrame, *keys: str) -> DataFrame:
     return spread.groupBy("volume", "block", *keys).agg(*(F.sum(c).alias(c) for c in counts.columns if c not in ("volume", "block", *keys)))
 
 
-def volume_marks(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
-    """((volume, shift, support), (volume, block, pages, banded, loose, running, frequent), bands): what edges tell.
+def volume_marks(edges: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """((volume, block, shift, support, pages, banded, loose, running, frequent), bands): what edges tell.
 
     shift is the difference of printed and counted page numbers that most (``support``) of the volume's pages share.
     Around each block of pages: how many pages there are, how many have a line in a number band or one that may be a
@@ -234,12 +234,12 @@ def volume_marks(edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, tupl
             for size, pages in zip(batch.column("forms").value_lengths().to_pylist(), batch.column("pages").to_pylist(), strict=True):
                 kept.append(repeated_forms(pairs[at : at + size], pages))
                 at += size
-            names = ("volume", "block", "pages", "banded", "loose")
+            names = ("volume", "block", "shift", "support", "pages", "banded", "loose")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([k[i] for k in kept], pa.list_(pa.string())) for i in (0, 1))], names=[*names, "running", "frequent"])
 
     # Forms of a block are those of its pages and their neighbours' pages.
-    about = sizes.join(lists, ["volume", "block"], "left").select("volume", "block", "pages", "banded", "loose", F.coalesce("forms", F.array().cast("array<struct<form:string,n:bigint>>")).alias("forms"))
-    return best, about.mapInArrow(run, "volume string, block bigint, pages bigint, banded bigint, loose bigint, running array<string>, frequent array<string>"), bands
+    about = sizes.join(lists, ["volume", "block"], "left").join(best, "volume", "left").select("volume", "block", "shift", "support", "pages", "banded", "loose", F.coalesce("forms", F.array().cast("array<struct<form:string,n:bigint>>")).alias("forms"))
+    return about.mapInArrow(run, "volume string, block bigint, shift bigint, support bigint, pages bigint, banded bigint, loose bigint, running array<string>, frequent array<string>"), bands
 
 
 class PageReader:
@@ -389,9 +389,9 @@ _PAGE = (("src", pa.string()), ("volume", pa.string()), ("page_no", pa.int32()),
 
 def read_pages(pages: DataFrame, lexicon: DataFrame, made: Callable[[tuple, Page], Iterator[tuple]], columns: tuple, kinds: str, texts: bool = False) -> DataFrame:
     """Rows that ``made`` gives for each page's key (src, volume, page_no, analysis_id) and reading, after that key."""
-    shifts, marks, bands = volume_marks(cut_lineage(_edge_rows(pages)))
+    marks, bands = volume_marks(cut_lineage(_edge_rows(pages)))
     terms = _lexicon(pages.sparkSession, lexicon)
-    joined = pages.withColumn("block", _block()).join(shifts, "volume", "left").join(marks, ["volume", "block"], "left")
+    joined = pages.withColumn("block", _block()).join(marks, ["volume", "block"], "left")
     fields = [*_PAGE, *columns]
     mark_names = ("shift", "support", "pages", "banded", "loose")
 
