@@ -284,10 +284,26 @@ def test_mentions(text, want):
     assert [(k, a) for k, a, _ in pii.mentions(text, GIVEN, LATIN)] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("john at example dot com", [("EMAIL", 0, 23)]), ("write to jane dot doe at mail dot example dot org today", [("EMAIL", 9, 49)]), ("anna punkt maier ät post punkt de", [("EMAIL", 0, 33)]), ("nuri 골뱅이 mail 점 example", [("EMAIL", 0, 23)]),
+        ("nuri(アット)mail(ドット)example", [("EMAIL", 0, 25)]), ("look at this dot on the map", []), ("arrive at nine dot", []),
+        ("call zero one zero, five five two one, nine nine zero four", [("PHONE", 5, 58)]), ("null eins sieben drei vier fünf sechs sieben acht neun", [("PHONE", 0, 54)]), ("공 일 공 오 오 이 일 구 구 영 사", [("PHONE", 0, 21)]),
+        ("电话〇一〇五五二一九九〇四", [("PHONE", 2, 13)]), ("ศูนย์ แปด หนึ่ง สอง สาม สี่ ห้า หก เจ็ด แปด", [("PHONE", 0, 43)]), ("one two three four", []), ("二〇二四年", []),
+        ("wohnhaft Lindenstraße 12, 10115 Berlin", [("ADDRESS", 9, 38)]), ("Am Markt 3 b", [("ADDRESS", 0, 12)]), ("住在北京市海淀区中关村大街27号", [("ADDRESS", 0, 16)]), ("東京都千代田区丸の内1丁目9番1号", [("ADDRESS", 0, 17)]), ("อยู่ 99/1 หมู่ 4 ถนนพหลโยธิน", [("ADDRESS", 5, 28)]), ("im Jahr 2024 und Absatz 3", []),
+        ("Contact: Imogen Farrow", [("NAME", 9, 22)]), ("대리인: 표다온", [("NAME", 5, 8)]), ("Ansprechpartner: Jürgen Köhler", [("NAME", 17, 30)]), ("姓名：王小明", [("NAME", 3, 6)]), ("氏名: 山田 太郎", [("NAME", 4, 9)]), ("ชื่อ: นายสมชาย ใจดี", [("NAME", 9, 19)]),
+        ("Contact the office", []), ("이름은 없음", []), ("姓名不详", []), ("Name: n/a", []),
+    ],
+)
+def test_mentions_in_words_and_other_languages(text, want):
+    assert pii.mentions(text) == want
+
+
 def test_plain_form_maps_back():
     for text in ("Ｓ–００１ ﬁn ㎏ nuri @ mail.example", "가나 공일공-공팔육오-구팔삼팔 x (at) y", "á plain"):
         form, at = pii.plain(text)
-        assert at is None or (len(at) == len(form) and (np.diff(at) >= 0).all() and at.max(initial=0) < len(text))
+        assert at is None or (at.shape == (len(form), 2) and (np.diff(at, axis=0) >= 0).all() and (at[:, 0] < at[:, 1]).all() and at.max(initial=0) <= len(text))
 
 
 def test_placeholders_and_whole_tables(spark):
