@@ -15,8 +15,9 @@ import bisect
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import repeat
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,14 @@ FAMILY = (
 #: Up to MOST_PARTS name parts are broadcast, more are joined to the texts.
 MOST_PARTS = 200_000
 STREETS = "Road|Street|Lane|Avenue|Court|Quay|Row|Drive|Close|Way|Place|Terrace|Square|Hill|Gardens|Crescent|Walk|Mews|Boulevard"
-#: Words that stand before a name, by language; those that may do so without a colon first.
+#: Words that stand before a name, by language: those that need no colon, then those that do.
 LABELS: dict[str, tuple[str, str]] = {
-    "ko": ("성명|신청인|담당자?|보호자|예금주|위임받은|본인|이름은|신고인|대리인|민원인|수령인|청구인|임차인|임대인|대표자|작성자|제출자", "이름|성함|연락인|수신인|발신인|세대주|책임자|확인자"),
-    "en": ("Applicant|(?:[Ss]ignature|[Nn]ame)\\s+reads|[Ss]igned\\s+by|[Pp]repared\\s+by", "[Nn]ame|Contact|Guardian|Recipient|Attn|Attention|Claimant|Representative|Tenant|Landlord|Resident"),
-    "de": ("Antragsteller(?:in)?|Sachbearbeiter(?:in)?|[Uu]nterzeichnet\\s+von", "Name|Kontakt|Ansprechpartner(?:in)?|Empfänger(?:in)?|Mieter(?:in)?|Vertreter(?:in)?"),
-    "zh": ("", "姓名|联系人|申请人|负责人|代理人|收件人|监护人"),
-    "ja": ("", "氏名|名前|申請者|申請人|担当者?|保護者|代理人|受取人"),
-    "th": ("", "ชื่อ|ชื่อ-สกุล|ผู้ติดต่อ|ผู้ยื่นคำขอ|ผู้รับ|ผู้ปกครอง"),
+    "ko": ("성명, 신청인, 담당자, 담당, 보호자, 예금주, 위임받은, 본인, 이름은, 신고인, 대리인, 민원인, 수령인, 청구인, 임차인, 임대인, 대표자, 작성자, 제출자", "이름, 성함, 연락인, 수신인, 발신인, 세대주, 책임자, 확인자"),
+    "en": ("Applicant, Signature reads, signature reads, Name reads, name reads, Signed by, signed by, Prepared by, prepared by", "Name, name, Contact, Guardian, Recipient, Attn, Attention, Claimant, Representative, Tenant, Landlord, Resident"),
+    "de": ("Antragsteller, Antragstellerin, Sachbearbeiter, Sachbearbeiterin, Unterzeichnet von, unterzeichnet von", "Name, Kontakt, Ansprechpartner, Ansprechpartnerin, Empfänger, Empfängerin, Mieter, Mieterin, Vertreter, Vertreterin"),
+    "zh": ("", "姓名, 联系人, 申请人, 负责人, 代理人, 收件人, 监护人"),
+    "ja": ("", "氏名, 名前, 申請者, 申請人, 担当, 担当者, 保護者, 代理人, 受取人"),
+    "th": ("", "ชื่อ, ชื่อ-สกุล, ผู้ติดต่อ, ผู้ยื่นคำขอ, ผู้รับ, ผู้ปกครอง"),
 }
 #: Words for the at sign and the dot in mail addresses.
 AT_WORDS, DOT_WORDS = "at|ät|aet|골뱅이|アット|艾特|แอท", "dot|punkt|점|닷|ドット|点|จุด"
@@ -222,30 +223,36 @@ _ENDS = r"(?![A-Za-z0-9@_-]|\.[A-Za-z])"
 _TAUGHT = re.compile(r"\s*(?:\(인\)|주무관|,|$|은\(는\)|이고|\(|\s)")
 
 
-def _label(bare: str, colon: str) -> re.Pattern:
-    kinds = [rf"(?:{bare})(?:\s{{0,2}}[:：]\s{{0,2}}|\s{{1,2}})"] if bare else []
-    return re.compile(r"(?<![A-Za-zÄÖÜäöüß가-힣一-鿿\u0e00-\u0e7f])(?:" + "|".join([*kinds, rf"(?:{bare + '|' if bare else ''}{colon})\s{{0,2}}[:：]\s{{0,2}}"]) + ")")
+def _label(*languages: str) -> tuple[re.Pattern, frozenset[str]]:
+    """(the languages' labels with what follows, those that need no colon); letters before them are looked for by hand."""
+    bare, colon = ([w for g in languages for w in LABELS[g][i].split(", ") if w] for i in (0, 1))
+    words = "|".join(w.replace(" ", r"\s+") for w in sorted({*bare, *colon}, key=lambda w: (-len(w), w)))
+    return re.compile(rf"({words})(\s{{0,2}}[:：]\s{{0,2}}|\s{{1,2}})"), frozenset(bare)
 
 
+_LETTER = re.compile(r"[A-Za-zÄÖÜäöüß가-힣一-鿿\u0e00-\u0e7f]")
 _LATIN_SHAPE = rf"(?:[A-ZÄÖÜ][a-zäöüß]+\s{{1,2}}[A-ZÄÖÜ][a-zäöüß]+|[A-Z]{{3,}}\s{{1,2}}[A-Z][a-z]+|[A-Z]\.\s{{0,2}}[A-Z][a-z]+){_ENDS}"
 #: (labels, shapes of names behind them) for names in Hangul and Latin letters, in Chinese, Japanese and Thai.
 _ANNOUNCED = (
-    (_label("|".join(LABELS[g][0] for g in ("ko", "en", "de")), "|".join(LABELS[g][1] for g in ("ko", "en", "de"))), tuple(re.compile(p) for p in (*(rf"(?:{f})\s{{0,2}}[가-힣]{{2}}{_AFTER}" for f in _FAMILIES), _LATIN_SHAPE))),
-    (_label(*LABELS["zh"]), (re.compile(r"[一-鿿]{2,4}(?![一-鿿ぁ-んァ-ヶ])"),)),
-    (_label(*LABELS["ja"]), (re.compile(r"[一-鿿]{1,4}(?:[ \u3000][一-鿿ぁ-んァ-ヶ]{1,6}|[一-鿿]{0,3}(?![一-鿿ぁ-んァ-ヶ]))"),)),
-    (_label(*LABELS["th"]), (re.compile(r"(?:นางสาว|นาย|นาง)?\s?[\u0e00-\u0e7f]{2,30}\s[\u0e00-\u0e7f]{2,40}(?![\u0e00-\u0e7f])"),)),
+    (_label("ko", "en", "de"), tuple(re.compile(p) for p in (*(rf"(?:{f})\s{{0,2}}[가-힣]{{2}}{_AFTER}" for f in _FAMILIES), _LATIN_SHAPE))),
+    (_label("zh"), (re.compile(r"[一-鿿]{2,4}(?![一-鿿ぁ-んァ-ヶ])"),)),
+    (_label("ja"), (re.compile(r"[一-鿿]{1,4}(?:[ \u3000][一-鿿ぁ-んァ-ヶ]{1,6}|[一-鿿]{0,3}(?![一-鿿ぁ-んァ-ヶ]))"),)),
+    (_label("th"), (re.compile(r"(?:นางสาว|นาย|นาง)?\s?[\u0e00-\u0e7f]{2,30}\s[\u0e00-\u0e7f]{2,40}(?![\u0e00-\u0e7f])"),)),
 )
 _THAI_TITLE = re.compile(r"(?:นางสาว|นาย|นาง)\s?")
 _FAR_SCRIPT = re.compile(r"[一-鿿\u0e00-\u0e7f]")
 #: Behind a title the name is one word in Hangul: a family name's syllable that stands apart may be any word.
+_TITLE_HINT = re.compile("주무관|[님씨]")
 _TITLE = re.compile(r"(?:\s?주무관|\s[님씨](?![가-힣]{3}))")
 _TITLED = re.compile(rf"(?:(?<![가-힣])(?:{'|'.join(_FAMILY)})[가-힣]{{2}}|(?<![A-Za-z0-9@._-])(?:[A-Z][a-z]+\s|[A-Z]{{3,}}\s|[A-Z]\.\s?)[A-Z][a-z]+)(?={_TITLE.pattern})")
 
 
 def _labelled(form: str) -> Iterator[tuple[int, int]]:
     """Spans of names that a label stands before."""
-    for label, shapes in _ANNOUNCED if _FAR_SCRIPT.search(form) else _ANNOUNCED[:1]:
+    for (label, bare), shapes in _ANNOUNCED if _FAR_SCRIPT.search(form) else _ANNOUNCED[:1]:
         for at in label.finditer(form):
+            if (not at.group(2).strip() and " ".join(at.group(1).split()) not in bare) or (at.start() and _LETTER.match(form, at.start() - 1)):
+                continue
             m = next(filter(None, (p.match(form, at.end()) for p in shapes)), None)
             if m and not _form_word(re.sub(r"\s", " " if m.group()[0].isascii() else "", m.group())):
                 title = _THAI_TITLE.match(form, m.start(), m.end())
@@ -255,7 +262,7 @@ def _labelled(form: str) -> Iterator[tuple[int, int]]:
 def _announced(form: str) -> Iterator[tuple[int, int]]:
     """Spans of names that a label stands before or a title behind, whatever their parts."""
     yield from _labelled(form)
-    if _TITLE.search(form):
+    if _TITLE_HINT.search(form) and _TITLE.search(form):
         yield from (m.span() for m in _TITLED.finditer(form) if not _form_word(m.group()))
 
 
@@ -344,8 +351,9 @@ def announced_parts(texts: DataFrame) -> DataFrame:
 
     Only texts with a word of LABELS, or with signs that may be one in disguise, leave the JVM.
     """
-    words = "|".join(w for g in ("ko", "en", "de") for w in LABELS[g] if w)
-    asked = texts.filter(F.col("text").rlike(rf"(?:{words})\s*[:：]?\s") | F.col("text").rlike(rf"(?:{words})\s*[:：]") | F.col("text").rlike("[^\\x00-\\x7f가-힣]"))
+    words = sorted({w.split(" ")[-1] for g in ("ko", "en", "de") for i in (0, 1) for w in LABELS[g][i].split(", ") if w})
+    said = reduce(or_, (F.contains("text", F.lit(w)) for w in words if not any(v in w and v != w for v in words)))
+    asked = texts.filter(said | F.col("text").rlike("[^\\x00-\\x7f가-힣]"))
     return _pairs(asked.select(F.lit(None).cast("string").alias("digest"), "text"), labelled_names).select("kind", "part").distinct()
 
 
@@ -359,7 +367,7 @@ def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, Iterable], pa.R
 
     Up to MOST_PARTS parts are broadcast; more never reach the driver, each text is joined to those it asks for.
     """
-    parts = announced_parts(texts)
+    parts = announced_parts(texts.select("text"))
     rows = parts.limit(MOST_PARTS + 1).collect()
     if len(rows) <= MOST_PARTS:
         shared = texts.sparkSession.sparkContext.broadcast(_sets(rows))
@@ -368,8 +376,8 @@ def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, Iterable], pa.R
             for batch in batches:
                 yield act(batch, repeat(shared.value))
 
-        return texts.withColumn("digest", _digest()).select("src", "row_id", "digest", "text").mapInArrow(run, schema)
-    marked = texts.withColumn("digest", _digest())
+        return texts.mapInArrow(run, schema)
+    marked = texts if "digest" in texts.columns else texts.withColumn("digest", _digest())
     known = _pairs(marked.select("digest", "text").distinct(), asked_parts).join(parts, ["kind", "part"])
     known = known.groupBy("digest").agg(F.collect_list(F.array("kind", "part")).alias("known"))
 
@@ -409,5 +417,5 @@ def deidentify(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     def act(batch: pa.RecordBatch, names: Iterable) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "row_id", "digest")), pa.array([redacted(t, *n) for t, n in zip(batch.column("text").to_pylist(), names)], pa.string())], names=["src", "row_id", "digest", "text"])
 
-    made = _with_names(free_texts(annotations, feedback), act, "src string, row_id bigint, digest string, text string")
+    made = _with_names(free_texts(annotations, feedback).withColumn("digest", _digest()), act, "src string, row_id bigint, digest string, text string")
     return made.dropDuplicates(["src", "row_id", "digest"]).drop("digest")
