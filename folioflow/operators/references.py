@@ -69,7 +69,8 @@ def dangling(references: DataFrame, members: DataFrame, hot_block: int = HOT) ->
     with added <= at < until exists. A reference without ``at`` is none.
     """
     refs = cut_lineage(references.filter("at is not null").select("space", _block(), "key", "at", "field", "row_id"))
-    spans = members.groupBy("space", "key", "added").agg(F.max("until").alias("until"))
+    # Runs and life spans are both made of the spans, which are normalised and shuffled once.
+    spans = cut_lineage(members.groupBy("space", "key", "added").agg(F.max("until").alias("until")))
     hot = refs.groupBy("space", "block").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_block).select("space", "block", F.lit(True).alias("_hot"))
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     none = F.lit(None)
