@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import mixture, sample, splits
 
@@ -143,6 +144,30 @@ def test_sample_ignores_order_and_repeats_and_only_grows(spark):
         taken(spark, rows, 0)
 
 
+def stored(spark, folder, keys, rate=0.1):
+    frame = spark.createDataFrame([(k, "x") for k in keys], "id string, hash string")
+    return {(r.key, r.batch): r.hash for r in sample.extend_sample(str(folder), frame, F.col("id"), rate).collect()}
+
+
+def test_stored_batches_never_change(spark, tmp_path):
+    assert stored(spark, tmp_path / "s", []) == {} and stored(spark, tmp_path / "s", [None]) == {}
+    first = [f"k{i}" for i in range(95)]
+    one = stored(spark, tmp_path / "s", [*first, None, *first[:9]])
+    want = sorted((sha256(f"sample:{k}".encode()).hexdigest(), k) for k in first)[:10]
+    assert one == {(k, 0): h for h, k in want}
+    # Nothing new, then late rows among known ones: a stateless sample by their times could lose members to them.
+    assert stored(spark, tmp_path / "s", first) == one
+    late = [f"late{i}" for i in range(31)]
+    two = stored(spark, tmp_path / "s", [*late, *first])
+    assert one.items() < two.items() and {b for _, b in two} == {0, 1} and len(two) == 10 + 4
+    # A batch that was not finished is made again.
+    (tmp_path / "s" / "1" / "_SUCCESS").unlink()
+    assert stored(spark, tmp_path / "s", late[:11]).items() > one.items()
+    assert stored(spark, tmp_path / "s", late).items() > one.items()
+    with pytest.raises(ValueError):
+        stored(spark, tmp_path / "s", first, 0)
+
+
 TEXTS = "doc_id long, document_id string, source string, text string, created_at timestamp_ntz, tokens string, pattern string"
 
 

@@ -367,6 +367,15 @@ def test_a_long_quotation_belongs_to_its_sentence(lang, text, want):
     assert len(sentences.unit_starts(text, lang)) == want
 
 
+def test_no_rule_looks_back_further(monkeypatch):
+    rng = random.Random(13)
+    parts = {"ko": ["2025. 8. 12. 기준", "늘었습니다.", "1. 대상: ", "\n", "“왜?”라는 ", "www.a-1.example "], "en": ["Dr. ", "at 8.30 a.m. ", "(e.g. ", "late? ", "\n2. ", "“Is it?” ", "etc. "], "de": ["Am 24. ", "z. B. ", "Nr. 3 ", "Ende! ", "\n\n", "„So. So.“ "], "zh": ["1.5元。", "“为什么？”", "他说：“结束。”", "\n"], "ja": ["終わります。", "「なぜか。」と", "\n"], "th": ["ฝ่าย ", "ฯลฯ ", "703 ", "Ver.2 ", "! "]}
+    texts = [(g, "".join(rng.choice(p) + rng.choice(["", "x" * rng.randrange(200), " word"]) for _ in range(40))) for g, p in parts.items() for _ in range(40)]
+    near = [sentences.unit_starts(t, g) for g, t in texts]
+    monkeypatch.setattr(sentences, "REACH", 100_000)
+    assert [sentences.unit_starts(t, g) for g, t in texts] == near
+
+
 def test_units_of_lists_headings_wraps_and_nothing():
     text = "정비 계획\n1. 대상: 시민\n2. 기간: 2024. 1. 2.\n3. 문의: 12. 3.부터\n\n새벽에 12.\n10.부터 멈춘다. 다음입니다 끝"
     cut = sentences.unit_starts(text, "ko")
