@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,37 +150,62 @@ def sample_locate(spark: SparkSession, at: str) -> DataFrame:
     return index.locate(prefix_index(spark, at), "row_id", asked, "event_id")
 
 
-def _batches(epoch: int, world: int, rank: int, size: int, resume: int) -> str:
+def _batches(epoch: int, world: int, size: int, resume: int) -> str:
     return f"""
 WITH o AS (SELECT row_id, sample_count AS n, row_number() OVER (ORDER BY sha256('epoch:{epoch}:' || row_id), row_id) - 1 AS turn FROM manifest WHERE sample_count > 0),
-m AS (SELECT row_id, n, (sum(n) OVER (ORDER BY turn) - n)::BIGINT AS b FROM o WHERE turn % {world} = {rank}),
-p AS (SELECT row_id, n, b, unnest(range(b // {size}, (b + n - 1) // {size} + 1)) AS batch FROM m)
-SELECT batch, row_id, greatest(0, batch * {size} - b)::BIGINT AS first, (least(n, (batch + 1) * {size} - b) - 1)::BIGINT AS last
-FROM p WHERE batch < (SELECT sum(n) FROM m) // {size} AND batch >= {resume}
+m AS (SELECT row_id, n, turn % {world} AS rank, (sum(n) OVER (PARTITION BY turn % {world} ORDER BY turn) - n)::BIGINT AS b FROM o),
+p AS (SELECT rank, row_id, n, b, unnest(range(b // {size}, (b + n - 1) // {size} + 1)) AS batch FROM m)
+SELECT rank::INT AS rank, batch, row_id, greatest(0, batch * {size} - b)::BIGINT AS first, (least(n, (batch + 1) * {size} - b) - 1)::BIGINT AS last
+FROM p JOIN (SELECT rank, sum(n) // {size} AS whole FROM m GROUP BY 1) USING (rank) WHERE batch < whole AND batch >= {resume}
 """
 
 
-@query("epoch_batches", _batches(3, 4, 1, 64, 0))
+def _all_ranks(spark: SparkSession, at: str, epoch: int, world: int, size: int, resume: int = 0) -> DataFrame:
+    rows = table(spark, at, "manifest").select("row_id", "sample_count")
+    parts = [index.rank_batches(rows, "row_id", "sample_count", epoch, world, rank, size, resume).withColumn("rank", F.lit(rank)) for rank in range(world)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("epoch_batches", _batches(3, 4, 64, 0))
 def epoch_batches(spark: SparkSession, at: str) -> DataFrame:
-    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 3, 4, 1, 64)
+    return _all_ranks(spark, at, 3, 4, 64)
 
 
-@query("resume_batches", _batches(4, 2, 0, 128, 10))
+@query("resume_batches", _batches(4, 2, 128, 10))
 def resume_batches(spark: SparkSession, at: str) -> DataFrame:
-    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 4, 2, 0, 128, 10)
+    return _all_ranks(spark, at, 4, 2, 128, 10)
+
+
+_HASHED = "(('0x' || substr(sha256('stream-retry:' || split || ':' || number || ':' || a), 1, 16))::UBIGINT % total)::BIGINT"
 
 
-@query("replacement_probe", """
-WITH s AS (SELECT row_id - 1 AS number, annotation_count > 2 AS valid, coalesce(dataset_split, 'none') AS split FROM manifest), t AS (SELECT count(*) AS total FROM s),
-c AS (SELECT number, a AS attempt, (('0x' || substr(sha256('stream-retry:' || split || ':' || number || ':' || a), 1, 16))::UBIGINT % total)::BIGINT AS used FROM s, t, range(1, 33) r(a) WHERE NOT valid)
+@query("replacement_probe", f"""
+WITH RECURSIVE s AS (SELECT row_id - 1 AS number, coalesce(annotation_count > 2, false) AS valid, coalesce(dataset_split, 'none') AS split FROM manifest), t AS (SELECT count(*) AS total FROM s),
+h AS (SELECT number, a, total, {_HASHED} AS c FROM s, t, range(1, 32) r(a) WHERE NOT valid),
+p AS (
+  SELECT number, 0::BIGINT AS a, [number] AS tried FROM s WHERE NOT valid
+  UNION ALL SELECT p.number, h.a, list_append(p.tried, (h.c + coalesce(list_filter(range(0, least(len(p.tried), h.total - 1) + 1), lambda k: NOT list_contains(p.tried, (h.c + k) % h.total))[1], 0)) % h.total)
+  FROM p JOIN h ON h.number = p.number AND h.a = p.a + 1
+),
+c AS (SELECT number, a AS attempt, tried[-1] AS used FROM p WHERE a > 0)
 SELECT number, number AS used, 0 AS attempt FROM s WHERE valid
 UNION ALL SELECT s.number, arg_min(used, attempt), min(attempt)::INT FROM s LEFT JOIN (SELECT c.* FROM c JOIN s g ON g.number = c.used AND g.valid) h USING (number) WHERE NOT s.valid GROUP BY 1
 """)
 def replacement_probe(spark: SparkSession, at: str) -> DataFrame:
-    rows = table(spark, at, "manifest").select((F.col("row_id") - 1).alias("number"), (F.col("annotation_count") > 2).alias("valid"), F.coalesce("dataset_split", F.lit("none")).alias("split"))
+    rows = table(spark, at, "manifest").select((F.col("row_id") - 1).alias("number"), F.coalesce(F.col("annotation_count") > 2, F.lit(False)).alias("valid"), F.coalesce("dataset_split", F.lit("none")).alias("split"))
     return index.replaced(rows, "number", "valid", "split", rows.count())
 
 
+@query("batch_count", """
+SELECT 'dropped' AS kind, greatest(0, (coalesce(sum(sample_count) FILTER (sample_count > 0), 0) // 4) // 64 - 3)::BIGINT AS batches FROM manifest
+UNION ALL SELECT 'kept', greatest(0, ceil((coalesce(sum(sample_count) FILTER (sample_count > 0), 0) // 4) / 64) - 3)::BIGINT FROM manifest
+""")
+def batch_count(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "manifest").select("sample_count")
+    kind = lambda drop, name: index.batch_count(rows, "sample_count", 4, 64, 3, drop).select(F.lit(name).alias("kind"), "batches")
+    return kind(True, "dropped").unionAll(kind(False, "kept"))
+
+
 _STEM = "lower(regexp_replace(regexp_replace(replace({0}, '\\', '/'), '^[^/]+/(.)', '\\1'), '([^/])\\.[^./]+$', '\\1'))"
 _BASE = "regexp_extract(replace({0}, '\\', '/'), '[^/]*$')"
 
@@ -370,7 +396,7 @@ def candidate_routing(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query("quality_verdict", f"""
-SELECT event_id, CASE WHEN b OR (value < 80 AND k / 4.0 < 12) THEN 'retake' ELSE 'pass' END AS verdict, concat_ws(',', CASE WHEN b THEN 'blank' END, CASE WHEN value < 80 THEN 'blurry' END, CASE WHEN k / 4.0 < 12 THEN 'low_contrast' END) AS reasons
+SELECT event_id, CASE WHEN b OR (value < 80 AND k / 4.0 < 12) THEN 'retake' ELSE 'pass' END AS verdict, concat_ws(',', CASE WHEN b THEN 'blank' END, CASE WHEN value < 80 THEN 'blur' END, CASE WHEN k / 4.0 < 12 THEN 'low_contrast' END) AS reasons
 FROM (SELECT event_id, value, k, k / 100.0 < 0.001 OR k / 100.0 > 0.70 AS b FROM (SELECT event_id, value, {_K} AS k FROM events))
 """)
 def quality_verdict(spark: SparkSession, at: str) -> DataFrame:

@@ -56,6 +56,54 @@ def scan_filter(grey: np.ndarray, amount: float = 0.6) -> np.ndarray:
     return np.clip(plain + amount * (plain - _box_blur(plain, 1)), 0, 255).astype(np.uint8)
 
 
+def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A smaller image whose pixels are means over the area they cover, fractions of pixels included."""
+
+    def cover(size: int, parts: int) -> np.ndarray:
+        edges = np.linspace(0, size, parts + 1)
+        whole = np.clip(edges[1:, None] - np.arange(size), 0, 1) - np.clip(edges[:-1, None] - np.arange(size), 0, 1)
+        return whole / whole.sum(axis=1, keepdims=True)
+
+    return cover(grey.shape[0], height) @ grey.astype(np.float64) @ cover(grey.shape[1], width).T
+
+
+def equalized(grey: np.ndarray, clip: float = 1.6, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalisation: tile histograms are clipped, what is cut off is spread over all
+    levels, and pixels take the bilinear mean of the mappings of the four tiles around them."""
+    h, w = grey.shape
+    down, right = -h % tiles, -w % tiles
+    padded = np.pad(grey, ((0, down), (0, right)), mode="reflect" if min(h, w) > max(down, right) else "edge")
+    th, tw = padded.shape[0] // tiles, padded.shape[1] // tiles
+    area = th * tw
+    limit = max(1, int(clip * area / 256))
+    maps = np.empty((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            counts = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            cut = np.maximum(counts - limit, 0).sum()
+            counts = np.minimum(counts, limit) + cut // 256
+            rest = int(cut % 256)
+            if rest:
+                counts[:: max(1, 256 // rest)][:rest] += 1
+            maps[i, j] = np.clip(np.rint(np.cumsum(counts) * (255 / area)), 0, 255)
+    y, x = (np.arange(h) / th - 0.5)[:, None], (np.arange(w) / tw - 0.5)[None, :]
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    v, u = y - y0, x - x0
+    at = lambda r, c: maps[np.clip(r, 0, tiles - 1), np.clip(c, 0, tiles - 1), grey]
+    mixed = (at(y0, x0) * (1 - u) + at(y0, x0 + 1) * u) * (1 - v) + (at(y0 + 1, x0) * (1 - u) + at(y0 + 1, x0 + 1) * u) * v
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
+def binarized(grey: np.ndarray, window: int = 25, k: float = 0.2) -> np.ndarray:
+    """Sauvola's local threshold: 255 for paper, 0 for ink. The window is odd and no larger than the image."""
+    most = min(grey.shape)
+    window = max(3, min(window, most if most % 2 else most - 1))
+    plain = grey.astype(np.float64)
+    mean = _box_blur(plain, window // 2)
+    spread = np.sqrt(np.maximum(_box_blur(plain**2, window // 2) - mean**2, 0))
+    return np.where(plain > mean * (1 + k * (spread / 127.5 - 1)), 255, 0).astype(np.uint8)
+
+
 def _generator(key: str) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big"))
 
@@ -117,11 +165,13 @@ def camera_degrade(grey: np.ndarray, key: str) -> np.ndarray:
 
 
 def variant(grey: np.ndarray, name: str, key: str) -> np.ndarray:
-    """clean, camera, scan or normalized; another name is an error."""
+    """clean, camera, camera_filtered (a camera image behind the scan filter), scan or normalized; others are errors."""
     if name == "clean":
         return grey.copy()
     if name == "camera":
         return camera_degrade(grey, key)
+    if name == "camera_filtered":
+        return scan_filter(camera_degrade(grey, key))
     if name == "scan":
         return scan_filter(grey)
     if name == "normalized":

@@ -9,8 +9,8 @@ from folioflow.functions.hashing import stable_key
 from folioflow.plans.ranks import preceding_total
 
 BLOCK = 1 << 12
-#: Seed of replacement numbers (fixed value).
-RETRY = "stream-retry"
+#: Seed of replacement numbers, and how many numbers are tried, the first included (fixed values).
+RETRY, ATTEMPTS = "stream-retry", 32
 
 
 def prefix_index(rows: DataFrame, key: str, size: str) -> DataFrame:
@@ -26,13 +26,20 @@ def prefix_index(rows: DataFrame, key: str, size: str) -> DataFrame:
     return ended.select(F.col("key").alias(key), (F.col("end") - F.col("_n")).alias("first"), "end")
 
 
-def locate(index: DataFrame, key: str, asked: DataFrame, number: str) -> DataFrame:
+#: Sample numbers a bucket spans.
+SPAN = 1 << 10
+
+
+def locate(index: DataFrame, key: str, asked: DataFrame, number: str, span: int = SPAN) -> DataFrame:
     """``asked`` with the document and the place within it of each global sample number; unknown numbers are left out.
 
-    The index is unrolled to one row a sample once, so this is an equi join and no range join.
+    A range join by buckets: a document stands in every bucket that its samples reach (one, for most), so rows grow with
+    documents and not with samples.
     """
-    samples = index.select(F.col(key), F.explode(F.sequence("first", F.col("end") - 1)).alias(number), "first")
-    return asked.join(samples, number).select(*asked.columns, key, (F.col(number) - F.col("first")).alias("place"))
+    bucket = F.explode(F.sequence(F.floor(F.col("first") / span), F.floor((F.col("end") - 1) / span)))
+    ranges = index.select(F.col(key), "first", "end", bucket.alias("_bucket"))
+    joined = asked.withColumn("_bucket", F.floor(F.col(number) / span)).join(ranges, "_bucket")
+    return joined.filter((F.col(number) >= F.col("first")) & (F.col(number) < F.col("end"))).select(*asked.columns, key, (F.col(number) - F.col("first")).alias("place"))
 
 
 def epoch_order(rows: DataFrame, key: str, epoch: int, seed: str = "epoch") -> DataFrame:
@@ -68,15 +75,39 @@ def replacement(number: Column, split: Column, attempt: Column, total: Column) -
     return (F.conv(stable_key(text), 16, 10).cast("decimal(20,0)") % total).cast("long")
 
 
-def replaced(samples: DataFrame, number: str, valid: str, split: str, total: int, attempts: int = 32) -> DataFrame:
+def tried_numbers(number: Column, split: Column, total: int, attempts: int = ATTEMPTS) -> Column:
+    """The numbers tried in turn, the first one the number itself.
+
+    An attempt's number is its hash (``replacement``); if it was tried before, the next one (modulo the total) that was not.
+    Once all numbers were tried the hash stays.
+    """
+
+    def step(tried: Column, attempt: Column) -> Column:
+        at = lambda k: (replacement(number, split, attempt, F.lit(total)) + k) % total
+        free = F.filter(F.sequence(F.lit(0), F.least(F.size(tried), F.lit(total - 1))), lambda k: ~F.array_contains(tried, at(k)))
+        return F.concat(tried, F.array(at(F.coalesce(F.get(free, F.lit(0)), F.lit(0)).cast("long"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(attempts - 1)), F.array(number.cast("long")), step)
+
+
+def replaced(samples: DataFrame, number: str, valid: str, split: str, total: int, attempts: int = ATTEMPTS, strict: bool = False) -> DataFrame:
     """(number, used, attempt): each sample number and the valid one used for it, itself at attempt 0.
 
     Only failing numbers go through the attempts: all their candidates are made at once and joined with the valid
-    numbers. Numbers whose candidates all fail have a null ``used``.
+    numbers. Numbers whose candidates all fail have a null ``used``; with ``strict`` they are an error on evaluation.
     """
     good = samples.filter(F.col(valid)).select(F.col(number).alias("used"))
-    failing = samples.filter(~F.col(valid)).select(number, split, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
-    tried = failing.withColumn("used", replacement(F.col(number), F.col(split), F.col("attempt"), F.lit(total)))
+    failing = samples.filter(~F.coalesce(F.col(valid), F.lit(False)))
+    tried = failing.select(number, F.posexplode(tried_numbers(F.col(number), F.col(split), total, attempts)).alias("attempt", "used")).filter("attempt > 0")
     first = tried.join(good, "used", "left_semi").groupBy(number).agg(F.min(F.struct("attempt", "used")).alias("_hit"))
-    moved = samples.filter(~F.col(valid)).select(number).join(first, number, "left").select(number, F.col("_hit.used").alias("used"), F.col("_hit.attempt").cast("int").alias("attempt"))
+    used = F.col("_hit.used")
+    if strict:
+        used = F.coalesce(used, F.raise_error(F.concat(F.lit("no valid sample stands in for "), F.col(number).cast("string"))).cast("long"))
+    moved = failing.select(number).join(first, number, "left").select(number, used.alias("used"), F.col("_hit.attempt").cast("int").alias("attempt"))
     return samples.filter(F.col(valid)).select(number, F.col(number).alias("used"), F.lit(0).alias("attempt")).unionAll(moved)
+
+
+def batch_count(rows: DataFrame, size: str, world: int, batch_size: int, resume: int = 0, drop_last: bool = True) -> DataFrame:
+    """(batches): how many batches a rank announces for an epoch, from the samples of all ranks; never below 0."""
+    each = F.floor(F.coalesce(F.sum(F.when(F.col(size) > 0, F.col(size))), F.lit(0)) / world) / batch_size
+    return rows.agg(F.greatest(F.lit(0), (F.floor(each) if drop_last else F.ceil(each)) - resume).cast("long").alias("batches"))

@@ -8,14 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Limits of the verdict (fixed values).
+from folioflow.functions.pixels import area_resize, equalized
+
+#: Limits of the verdict, contrast in percent of the full scale (fixed values).
 FOREGROUND, FOCUS, CONTRAST = (0.001, 0.70), 80.0, 12.0
+#: Reasons in their order (fixed values).
+BLANK, BLUR, LOW_CONTRAST = "blank", "blur", "low_contrast"
 
 
 def reasons(foreground: Column, focus: Column, contrast: Column) -> Column:
-    """blank, blurry and low_contrast, as far as they apply."""
+    """blank, blur and low_contrast, as far as they apply."""
     blank = (foreground < FOREGROUND[0]) | (foreground > FOREGROUND[1])
-    return F.array_compact(F.array(F.when(blank, "blank"), F.when(focus < FOCUS, "blurry"), F.when(contrast < CONTRAST, "low_contrast")))
+    return F.array_compact(F.array(F.when(blank, BLANK), F.when(focus < FOCUS, BLUR), F.when(contrast < CONTRAST, LOW_CONTRAST)))
 
 
 def verdict(foreground: Column, focus: Column, contrast: Column) -> Column:
@@ -35,17 +39,18 @@ def _threshold(grey: np.ndarray) -> int:
 def grey_metrics(grey: np.ndarray) -> tuple[float, float, float, float]:
     """(focus, foreground, contrast, illumination) of a grey image (uint8 rows x columns).
 
-    Focus is the variance of the Laplacian, foreground the share below the threshold, contrast the distance of paper
-    and ink means, illumination the deviation of block means over the full scale.
+    Focus is the variance of the Laplacian and illumination the deviation of 16 x 16 area means over the full scale, both of
+    the image as it is. Ink is what lies below Otsu's threshold of the equalised image: foreground is its share, contrast
+    the distance of paper and ink means in percent of the full scale.
     """
     g = grey.astype(np.float64)
     edge = np.pad(g, 1, mode="reflect") if min(g.shape) > 1 else np.pad(g, 1, mode="edge")
     laplacian = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * g
-    ink = grey <= _threshold(grey) if grey.min() < grey.max() else np.zeros(grey.shape, bool)
-    contrast = float(g[~ink].mean() - g[ink].mean()) if ink.any() and not ink.all() else 0.0
-    rows, columns = (np.array_split(np.arange(n), min(16, n)) for n in grey.shape)
-    blocks = np.array([[g[r[0] : r[-1] + 1, c[0] : c[-1] + 1].mean() for c in columns] for r in rows])
-    return float(laplacian.var()), float(ink.mean()), contrast, float(blocks.std() / 255)
+    even = equalized(grey)
+    ink = even <= _threshold(even) if even.min() < even.max() else np.zeros(even.shape, bool)
+    contrast = max(0.0, 100 * (float(even[~ink].mean()) - float(even[ink].mean())) / 255) if ink.any() and not ink.all() else 0.0
+    small = area_resize(grey, *(max(2, min(16, n)) for n in grey.shape))
+    return round(float(laplacian.var()), 4), round(float(ink.mean()), 5), round(contrast, 2), round(float(small.std() / 255), 5)
 
 
 _METRICS = StructType([StructField(n, DoubleType()) for n in ("focus", "foreground", "contrast", "illumination")])

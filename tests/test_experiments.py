@@ -11,18 +11,38 @@ from folioflow.plans import analysis
 
 def test_profiles_and_runs(spark):
     assert experiments.profiles(spark).count() == 10
-    made = experiments.runs(spark.range(3), experiments.profiles(spark, ["detector", "detector_ordered", "baseline"])).collect()
+    made = experiments.runs(spark.range(3), experiments.profiles(spark, ["paddle", "paddle_native_order", "baseline"])).collect()
     assert len(made) == 9 and len({(r.shared) for r in made}) == 2
     with pytest.raises(ValueError):
         experiments.profiles(spark, ["nothing"])
 
 
 def test_photo_cases_rotate_light(spark):
-    frame = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "archive string, template string")
-    got = {(r.archive, r.template, r.deformation): r.light for r in experiments.photo_cases(frame, "archive", "template").collect()}
+    frame = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), ("b", "1")], "archive string, template string")
+    cases = experiments.photo_cases(frame, "archive", "template", 2)
+    got = {(r.archive, r.template, r.deformation): r.light for r in cases.collect()}
     assert len(got) == 18
     for place, (archive, template) in enumerate([("a", "1"), ("a", "2"), ("b", "1")]):
         assert [got[archive, template, d] for d in experiments.DEFORMATIONS] == [experiments.LIGHTS[(place + i) % 3] for i in range(6)]
+    files = spark.createDataFrame([("x/1/warped_document_curled_color.jpg",), ("x/1/other.jpg",)], "path string")
+    named = experiments.by_file_name(cases, files, "file", "path").collect()
+    assert {(r.deformation, r.light) for r in named} == {("curled", "color")} and "1-curled-color" in {r.case_id for r in named}
+
+
+def test_stage_graph(spark, tmp_path):
+    folder, ran = str(tmp_path / "run"), []
+    stages = {"c": (["a", "b"], lambda a, b: a.union(b)), "a": ([], lambda: spark.range(3)), "b": (["a"], lambda a: a.selectExpr("id + 10 as id"))}
+    assert experiments.run_stages(folder, 1, stages, "x") == ["a", "b", "c"] and spark.read.parquet(f"{folder}/c").count() == 6
+    assert experiments.run_stages(folder, 1, stages, "x") == [] and experiments.run_stages(folder, 1, stages, "y") == ["a", "b", "c"]
+    (tmp_path / "run" / "b" / "_SUCCESS").unlink()
+    assert experiments.run_stages(folder, 1, stages, "y") == ["b", "c"]
+    with pytest.raises(ValueError):
+        experiments.run_stages(folder, 1, {"a": (["z"], lambda z: z)})
+
+
+def test_generations_of_other_data(spark):
+    frame = spark.createDataFrame([("x", 200, 1, 0, True, "p"), ("y", 300, 1, 0, True, None), ("w", 100, 0, 0, True, "q")], "name string, global_step int, epoch int, recovery_step int, complete boolean, data_fingerprint string")
+    assert experiments.latest_complete(frame, "p").first().name == "x" and experiments.latest_complete(frame, "z").count() == 0
 
 
 def test_generations(spark):
@@ -56,6 +76,20 @@ def test_pixels():
         pixels.variant(page, "nothing", "k")
 
 
+def test_equalisation_and_thresholds():
+    rng = np.random.default_rng(2)
+    page = np.where(rng.random((90, 130)) < 0.15, 120, 150).astype(np.uint8)
+    even = pixels.equalized(page)
+    assert even.shape == page.shape and even.dtype == np.uint8 and even.std() > page.std()
+    assert (np.argsort([even[page == 120].mean(), even[page == 150].mean()]) == [0, 1]).all()
+    inked = np.where(page == 120, 20, 240).astype(np.uint8)
+    assert set(np.unique(pixels.binarized(inked))) == {0, 255} and ((pixels.binarized(inked) == 0) == (inked == 20)).mean() > 0.99
+    assert pixels.equalized(page[:3, :5]).shape == (3, 5) and pixels.binarized(page[:2, :2]).shape == (2, 2)
+    small = pixels.area_resize(page, 16, 16)
+    assert small.shape == (16, 16) and small.mean() == pytest.approx(page.mean())
+    assert pixels.area_resize(np.array([[0, 30, 60]]), 1, 2).tolist() == [[10.0, 50.0]]
+
+
 def test_analysis_of_good_and_blank_pages(spark):
     class Fake:
         def lines(self, data, height, width, channels):

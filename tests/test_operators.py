@@ -128,14 +128,21 @@ def test_quality(spark):
     rng = np.random.default_rng(0)
     page = np.where(rng.random((160, 240)) < 0.1, 20, 240).astype(np.uint8)
     focus, foreground, contrast, light = quality.grey_metrics(page)
-    assert focus > quality.FOCUS and 0.05 < foreground < 0.2 and contrast > 100 and light < 0.1
+    assert focus > quality.FOCUS and 0.05 < foreground < 0.2 and 40 < contrast <= 100 and light < 0.1
     assert quality.grey_metrics(np.full((40, 40), 255, np.uint8))[:3] == (0.0, 0.0, 0.0)
     verdict = lambda *v: spark.range(1).select(quality.verdict(*map(F.lit, v)).alias("x"), quality.reasons(*map(F.lit, v)).alias("y")).first()
-    assert tuple(verdict(0.0, 100.0, 50.0)) == ("retake", ["blank"]) and tuple(verdict(0.1, 10.0, 50.0)) == ("pass", ["blurry"]) and verdict(0.1, 10.0, 5.0).x == "retake"
+    assert tuple(verdict(0.0, 100.0, 50.0)) == ("retake", ["blank"]) and tuple(verdict(0.1, 10.0, 50.0)) == ("pass", ["blur"]) and verdict(0.1, 10.0, 5.0).x == "retake"
     raw = spark.createDataFrame([(bytearray(np.repeat(page[..., None], 3, 2).tobytes()), 160, 240, 3)], "data binary, height int, width int, nChannels int")
     assert raw.select(quality.image_metrics("data", "height", "width", "nChannels").alias("m")).first().m.foreground == pytest.approx(foreground)
 
 
+def test_contrast_is_in_percent_and_pale_pages_are_low():
+    rng = np.random.default_rng(0)
+    for paper, ink, low in ((200, 185, True), (240, 20, False)):
+        page = np.where(rng.random((160, 240)) < 0.1, ink, paper).astype(np.uint8)
+        assert (quality.grey_metrics(page)[2] < quality.CONTRAST) == low
+
+
 def test_summary(spark):
     frame = spark.createDataFrame([(1, i, t) for i, t in enumerate(["제목", "", "둘", "신청 기간", "넷", "다섯", "여섯"])] + [(2, 0, None)], "p int, i int, text string")
     made = {r.p: r for r in summary.extractive_summary(summary.page_lines(frame, ["p"], "i")).collect()}
