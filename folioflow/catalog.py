@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, hashing, metrics, text
-from folioflow.functions.ids import base_name
-from folioflow.operators import index, lines, manifest, nested, quality, references, report, sampling, summary
+from folioflow.functions.ids import base_name, page_key
+from folioflow.operators import evaluation, index, lines, manifest, nested, preparation, quality, references, report, sampling, summary
 from folioflow.sources import files
 from folioflow.sources.tables import table
 from folioflow.streaming import feedback
@@ -413,7 +413,14 @@ def char_error_rate(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "part").select("p_partkey", F.round(metrics.character_error_rate(F.col("p_type"), F.col("p_name")), 6).alias("cer"))
 
 
-@query("word_error_rate")
+def _token_rate(a: str, b: str) -> str:
+    """Word error rate: tokens as one character each, by their place among the distinct tokens of both texts."""
+    words = lambda t: f"regexp_extract_all({t}, '\\S+')"
+    coded = lambda t: f"list_aggregate(list_transform({words(t)}, lambda w: chr(33 + list_position(list_distinct(list_concat({words(a)}, {words(b)})), w)::INT)), 'string_agg', '')"
+    return f"CASE WHEN len({words(a)}) = 0 THEN (len({words(b)}) > 0)::INT::DOUBLE ELSE levenshtein(coalesce({coded(a)}, ''), coalesce({coded(b)}, '')) / len({words(a)}) END"
+
+
+@query("word_error_rate", f"SELECT p_partkey, round({_token_rate('r', 'p_name')}, 6) AS wer FROM (SELECT p_partkey, p_name, p_type || ' ' || p_name AS r FROM part)")
 def word_error_rate(spark: SparkSession, at: str) -> DataFrame:
     both = table(spark, at, "part").select("p_partkey", text.words(F.concat_ws(" ", "p_type", "p_name")).alias("r"), text.words(F.col("p_name")).alias("h"))
     return both.select("p_partkey", F.round(metrics.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
@@ -440,7 +447,11 @@ def numeric_f1(spark: SparkSession, at: str) -> DataFrame:
     return metrics.numeric_scores(table(spark, at, "feedback"), ["id"], "created_at", "analysis_id").select("id", "matched", F.round("f1", 6).alias("f1"))
 
 
-@query("score_bundle")
+@query("score_bundle", f"""
+SELECT p_partkey, round(levenshtein({_NOSPACE.format('p_type')}, {_NOSPACE.format('p_name')}) / length({_NOSPACE.format('p_type')}), 4) AS cer, round({_token_rate('p_type', 'p_name')}, 4) AS wer,
+  round(p_retailprice, 2) AS ms, length({_NOSPACE.format('p_name')}) AS characters, round(w.f1, 4) AS word_f1, round(n.f1, 4) AS numeric_f1
+FROM part JOIN ({_multiset('part', 'p_partkey', 'p_type', 'p_name', '[\\p{L}\\p{N}]+')}) w USING (p_partkey) JOIN ({_multiset('part', 'p_partkey', 'p_type', 'p_name', '\\d+(?:[.,:/-]\\d+)*%?')}) n USING (p_partkey)
+""")
 def score_bundle(spark: SparkSession, at: str) -> DataFrame:
     return metrics.score_bundle(table(spark, at, "part"), ["p_partkey"], "p_type", "p_name", "p_retailprice")
 
@@ -535,12 +546,13 @@ def length_percentiles(spark: SparkSession, at: str) -> DataFrame:
     return report.length_profile(lengths, "v")
 
 
-_ROW = "sha256('{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}')"
+_FIELDS = ("category", "id", "row_id", "sample_count")
+_ROW = "sha256('{' || concat_ws(',', " + ", ".join(f"'\"{c}\":' || coalesce(to_json({c})::VARCHAR, 'null')" for c in _FIELDS) + ") || '}')"
 
 
-@query("table_fingerprint", "SELECT count(*) AS rows, sha256(concat_ws('-', count(*), " + ", ".join(f"sum(('0x' || substr(d, {1 + 12 * i}, 12))::UBIGINT)" for i in range(5)) + f")) AS fingerprint FROM (SELECT {_ROW} AS d FROM region)")
+@query("table_fingerprint", "SELECT count(*) AS rows, sha256(concat_ws('-', count(*), " + ", ".join(f"sum(('0x' || substr(d, {1 + 12 * i}, 12))::UBIGINT)" for i in range(5)) + f")) AS fingerprint FROM (SELECT {_ROW} AS d FROM manifest)")
 def table_fingerprint(spark: SparkSession, at: str) -> DataFrame:
-    return hashing.table_fingerprint(table(spark, at, "region"))
+    return hashing.table_fingerprint(table(spark, at, "manifest"), list(_FIELDS))
 
 
 _PAD = "greatest(2, round_even({0} * 0.06, 0))::BIGINT"
@@ -688,7 +700,10 @@ def p4_found(spark: SparkSession, at: str) -> DataFrame:
 
 _PARENT = "CASE WHEN contains(node, '.') THEN regexp_replace(node, '\\.[^.]*$', '') END AS parent"
 _TEXT = "json_extract_string(x, '$.\"{0}\"') AS {1}"
+_NO_PARENT = "NULL::VARCHAR AS parent"
 _LEVEL_SQL = {
+    "images": f"{_FLAT} SELECT label_id, node, {_NO_PARENT}, {_TEXT.format('image.file.name', 'file_name')}, {_TEXT.format('image.category', 'category')}, {_TEXT.format('image.width', 'width')}, {_TEXT.format('image.capture', 'capture')} FROM images",
+    "annotations": f"{_FLAT} SELECT label_id, node, {_NO_PARENT}, {_TEXT.format('id', 'id')}, {_TEXT.format('annotation.text', 'text')}, {_TEXT.format('annotation.bbox', 'bbox')}, {_TEXT.format('annotation.review', 'review')} FROM notes",
     "words": f"{_FLAT} SELECT label_id, node, {_PARENT}, {_TEXT.format('word', 'word')}, {_TEXT.format('conf', 'conf')} FROM words",
     "alternatives": f"{_FLAT} SELECT label_id, node, {_PARENT}, {_TEXT.format('word', 'word')}, {_TEXT.format('score', 'score')} FROM others",
 }
@@ -700,3 +715,164 @@ def _level(level: str) -> Query:
 
 for _name in nested.LEVELS:
     query(f"p4_{_name}", _LEVEL_SQL.get(_name))(_level(_name))
+
+
+_BOX = "try_cast(json_extract(x, '$.\"annotation.bbox\"') AS DOUBLE[])"
+_NOTE = "trim(regexp_replace(nfc_normalize(coalesce(json_extract_string(x, '$.\"annotation.text\"'), '')), '[\\s\\p{Z}]+', ' ', 'g'))"
+_EXAMINED = f"""
+{_FLAT},
+g AS (SELECT label_zip, label_member, min(label_id) AS label_id FROM label_records GROUP BY ALL),
+u AS (SELECT label_id, count(*) FILTER (n <> '' AND length(n) <= 25 AND len(b) = 4 AND coalesce(isfinite(b[1]) AND isfinite(b[2]) AND isfinite(b[3]) AND isfinite(b[4]) AND b[3] >= 2 AND b[4] >= 2, false)) AS samples
+  FROM (SELECT label_id, {_NOTE} AS n, {_BOX} AS b FROM notes) GROUP BY 1),
+e AS (SELECT label_id, CASE json_type(o->'images') WHEN 'ARRAY' THEN o->'images'->0 WHEN 'OBJECT' THEN o->'images' END AS i,
+  CASE json_type(o->'annotations') WHEN 'ARRAY' THEN json_array_length(o->'annotations')::INT WHEN 'OBJECT' THEN 1 ELSE 0 END AS annotation_count FROM o WHERE o IS NOT NULL),
+h AS (SELECT label_id, coalesce(json_type(i) = 'OBJECT', false) AS has_image, json_extract_string(i, '$."image.file.name"') AS file_name, json_extract_string(i, '$."image.category"') AS category, annotation_count FROM e),
+m AS (SELECT member_path, min(zip_path) AS zip FROM archive_members WHERE kind = 'image' AND trim(member_path) <> '' GROUP BY 1),
+ms AS (SELECT {_STEM.format('member_path')} AS stem, min(member_path) AS path FROM m GROUP BY 1),
+mb AS (SELECT {_BASE.format('member_path')} AS base, min(member_path) AS path FROM m GROUP BY 1 HAVING count(*) = 1),
+x AS (SELECT g.label_zip, g.label_member, h.*, coalesce(u.samples, 0)::INT AS sample_count, coalesce(ms.path, mb.path) AS image_member,
+  CASE WHEN has_image IS NULL THEN 'invalid_label' WHEN NOT has_image THEN 'no_image_record' WHEN coalesce(ms.path, mb.path) IS NULL THEN 'missing_image' ELSE 'paired' END AS outcome
+  FROM g LEFT JOIN h USING (label_id) LEFT JOIN u USING (label_id) LEFT JOIN ms ON ms.stem = {_STEM.format('g.label_member')} LEFT JOIN mb ON mb.base = {_BASE.format('h.file_name')})
+"""
+_NAMED = f"""
+, k AS (SELECT x.*, zip AS image_zip, regexp_replace({_BASE.format("coalesce(file_name, '')")}, '(.)\\.[^.]+$', '\\1') AS short FROM x JOIN m ON m.member_path = image_member WHERE outcome = 'paired'),
+d AS (SELECT * REPLACE (coalesce(category, 'unknown') AS category), CASE WHEN short <> '' AND row_number() OVER (PARTITION BY short ORDER BY label_zip, label_member) = 1 THEN short ELSE replace({_STEM.format('label_member')}, '/', '__') END AS id FROM k),
+v AS (SELECT *, concat_ws(':', id, label_zip, label_member) AS key FROM d),
+w AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256(category || ':' || key), key) AS place, count(*) OVER (PARTITION BY category) AS n FROM v)
+"""
+
+
+def _examined(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.examined_labels(table(spark, at, "label_records"), table(spark, at, "archive_members"))
+
+
+@query("build_manifest", f"""{_EXAMINED}{_NAMED}
+SELECT id, category, 'training' AS source_split, CASE WHEN n > 1 AND place <= greatest(1, round_even(n * 0.1, 0)) THEN 'dev' ELSE 'train' END AS dataset_split, image_zip, image_member, label_zip, label_member, annotation_count, sample_count FROM w
+""")
+def build_manifest(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.build_manifest(_examined(spark, at), "training").drop("splits")
+
+
+@query("build_report", f"""{_EXAMINED}
+SELECT o AS measure, count(x.outcome) AS n FROM (SELECT unnest(['invalid_label', 'no_image_record', 'missing_image', 'paired']) AS o) LEFT JOIN x ON x.outcome = o GROUP BY 1
+UNION ALL SELECT 'labels_seen', count(*) FROM x UNION ALL SELECT 'images_indexed', count(*) FROM m
+UNION ALL SELECT 'ambiguous_names', count(*) FROM (SELECT {_BASE.format('member_path')} FROM m GROUP BY 1 HAVING count(*) > 1)
+""")
+def build_report(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.build_report(_examined(spark, at), table(spark, at, "archive_members"))
+
+
+@query("build_examples", f"{_EXAMINED} SELECT label_zip, label_member FROM x WHERE outcome = 'missing_image' ORDER BY label_zip, label_member LIMIT 20")
+def build_examples(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.build_examples(_examined(spark, at), "missing_image")
+
+
+@query("benchmark_manifest", f"""
+WITH t AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY sha256('seed:' || doc_id)) AS place FROM documents),
+s AS (SELECT doc_id, string_agg(slot, ',' ORDER BY slot) AS slots FROM ({_SLOT_ROWS}) GROUP BY 1), b AS (SELECT doc_id, string_agg(slot, ',' ORDER BY slot) AS bench FROM ({_SLOT_TOP}) GROUP BY 1),
+r AS (SELECT doc_id FROM b ORDER BY sha256('golden:' || doc_id) LIMIT 8)
+SELECT doc_id, concat_ws(',', CASE WHEN place <= 2 THEN 'smoke' END, CASE WHEN place <= 10 THEN 'regression' END, CASE WHEN place <= 50 THEN 'research' END) AS splits,
+  coalesce(slots, '') AS slot_candidates, coalesce(bench, '') AS slot_benchmark, doc_id IN (SELECT doc_id FROM r) AS golden_review_candidate
+FROM t LEFT JOIN s USING (doc_id) LEFT JOIN b USING (doc_id)
+""")
+def benchmark_manifest(spark: SparkSession, at: str) -> DataFrame:
+    made = preparation.benchmark_manifest(table(spark, at, "documents").select("doc_id", "category", "text"), "text", "doc_id")
+    return made.select("doc_id", F.array_join("splits", ",").alias("splits"), F.array_join(F.array_sort("slot_candidates"), ",").alias("slot_candidates"), F.array_join("slot_benchmark", ",").alias("slot_benchmark"), "golden_review_candidate")
+
+
+_SUMMARY = "'{\"annotation\":{\"corrected_summary\":' || CASE WHEN annotation_count IS NULL THEN 'null' ELSE '{\"corrected_type5\":{\"errors\":[' || repeat('{\"type\":\"x\"},', annotation_count) || '{\"type\":\"y\"}]},\"corrected_all\":{\"text\":\"' || coalesce(category, '') || '\"}}' END || '}}'"
+
+
+@query("summary_rows", "SELECT row_id, coalesce(annotation_count + 1, 0) AS error_count, annotation_count IS NOT NULL AND coalesce(category, '') <> '' AS has_corrected_all FROM manifest")
+def summary_rows(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "manifest").select("row_id", F.expr(_SUMMARY).alias("payload"))
+    return preparation.summary_rows(rows, "payload").drop("payload")
+
+
+@query("sample_indexes", """
+WITH t AS (SELECT row_id, id, coalesce(category, 'unknown') AS category, sample_count, dataset_split FROM manifest WHERE source_split = 'training' AND sample_count > 0),
+a AS (SELECT 'train' AS part, row_id, (sum(sample_count) OVER (ORDER BY row_id))::BIGINT AS "end", sample_count FROM t WHERE dataset_split = 'train'),
+h AS (SELECT *, substr(sha256(concat_ws(':', 'dev', category, id)), 1, 16) AS h FROM t WHERE dataset_split = 'dev'),
+b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY h, row_id) AS turn FROM h),
+c AS (SELECT 'dev' AS part, row_id, (sum(sample_count) OVER (ORDER BY turn, category, h, row_id))::BIGINT AS "end", sample_count FROM b)
+SELECT part, row_id, "end" - sample_count AS first, "end" FROM a UNION ALL SELECT part, row_id, "end" - sample_count, "end" FROM c WHERE "end" - sample_count < 1000
+""")
+def sample_indexes(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.sample_indexes(table(spark, at, "manifest").filter("source_split = 'training'"), "row_id", 1000)
+
+
+@query("training_samples", f"""
+WITH k AS (SELECT id AS document_id, min(row_id) AS row_id FROM manifest WHERE id IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT document_id, ann_key, id, annotation FROM annotations WHERE document_id IS NOT NULL),
+c AS (SELECT document_id, ann_key, id, {_LABEL} AS label, greatest(0, floor({_B[0]})::BIGINT - {_PAD.format(_B[2])}) AS "left", greatest(0, floor({_B[1]})::BIGINT - {_PAD.format(_B[3])}) AS "top",
+  least(1654, ceil({_B[0]} + {_B[2]})::BIGINT + {_PAD.format(_B[2])}) AS "right", least(2339, ceil({_B[1]} + {_B[3]})::BIGINT + {_PAD.format(_B[3])}) AS "bottom" FROM r WHERE {_REASON} = 'valid'),
+n AS (SELECT row_id, c.*, row_number() OVER (PARTITION BY document_id ORDER BY id NULLS FIRST, ann_key NULLS FIRST, label, "left", "top") - 1 AS place FROM c JOIN k USING (document_id) WHERE "right" - "left" >= 2 AND "bottom" - "top" >= 2),
+s AS (SELECT *, row_number() OVER (ORDER BY row_id, place) - 1 AS number, CASE WHEN {_BUCKET.format("'variant:' || document_id || ':' || coalesce(id, place)")} < 45 THEN 'camera' ELSE 'clean' END AS variant FROM n)
+SELECT event_id, row_id, place, ann_key, label, "left", "top", "right", "bottom", variant, {_KEY.format("concat_ws(':', document_id, coalesce(id, place), variant, '3')")} AS seed FROM s JOIN events ON event_id = number
+""")
+def training_samples(spark: SparkSession, at: str) -> DataFrame:
+    keys = table(spark, at, "manifest").filter("id is not null").groupBy(F.col("id").alias("document_id")).agg(F.min("row_id").alias("row_id"))
+    numbered = preparation.numbered_samples(table(spark, at, "annotations"), "document_id").join(keys, "document_id")
+    made = preparation.training_samples(table(spark, at, "events").select("event_id"), "event_id", numbered, "document_id", "row_id", 3)
+    return made.select("event_id", "row_id", "place", "ann_key", "label", "left", "top", "right", "bottom", "variant", "seed")
+
+
+@query("not_subset", "SELECT document_id FROM (SELECT DISTINCT document_id FROM documents WHERE document_id IS NOT NULL) WHERE document_id NOT IN (SELECT id FROM manifest WHERE id IS NOT NULL)")
+def not_subset(spark: SparkSession, at: str) -> DataFrame:
+    return preparation.not_subset(table(spark, at, "documents"), table(spark, at, "manifest").select(F.col("id").alias("document_id")), "document_id")
+
+
+_RECORDS = f"(SELECT event_type, value / 100 AS cer, value / 90 AS wer, value / 110 AS word_f1, value / 120 AS numeric_f1, value AS model_confidence, value * 3 AS ocr_ms, k, k > 90 AS review FROM (SELECT *, {_K} AS k FROM events))"
+
+
+def _records(spark: SparkSession, at: str) -> DataFrame:
+    value = F.col("value")
+    rates = {"cer": 100, "wer": 90, "word_f1": 110, "numeric_f1": 120}
+    rows = _events(spark, at).select("event_type", "k", *((value / n).alias(c) for c, n in rates.items()), value.alias("model_confidence"), (value * 3).alias("ocr_ms"))
+    return rows.withColumn("alignment_review_required", F.col("k") > 90)
+
+
+def _avg(column: str, digits: int = 4, name: str | None = None) -> str:
+    return f"round(avg({column}::DECIMAL(20, 6)), {digits}) AS mean_{name or column}"
+
+
+@query("profile_aggregate", f"""
+SELECT event_type, count(*) AS documents, {_avg('cer')}, round(median(cer), 4) AS median_cer, {_avg('wer')}, {_avg('word_f1')}, {_avg('numeric_f1')}, {_avg('model_confidence', 2)}, {_avg('ocr_ms', 2)},
+  count(*) FILTER (review) AS alignment_review_required, round(avg(cer) FILTER (NOT review), 4) AS mean_cer_without_review_flags FROM {_RECORDS} GROUP BY 1
+""")
+def profile_aggregate(spark: SparkSession, at: str) -> DataFrame:
+    return evaluation.profile_aggregate(_records(spark, at), "event_type")
+
+
+@query("variant_aggregate", f"""
+SELECT event_type, CASE WHEN grouping(light) = 0 THEN 'light' WHEN grouping(deformation) = 0 THEN 'deformation' ELSE 'all' END AS level, coalesce(light, deformation)::VARCHAR AS value, count(*) AS documents,
+  {_avg('cer', name='reading_order_cer')}, round(median(cer), 4) AS median_reading_order_cer, {_avg('wer', name='word_precision')}, {_avg('cer', name='word_recall')}, {_avg('word_f1')}, {_avg('numeric_f1')}, {_avg('model_confidence')}, {_avg('ocr_ms', 2)},
+  count(*) FILTER (k % 2 = 0) AS rectified, count(*) FILTER (k % 3 = 0) AS illumination_normalized
+FROM (SELECT *, k % 7 AS light, k % 5 AS deformation FROM {_RECORDS}) GROUP BY GROUPING SETS ((event_type), (light, event_type), (deformation, event_type))
+""")
+def variant_aggregate(spark: SparkSession, at: str) -> DataFrame:
+    rows = _records(spark, at).withColumns({"reading_order_cer": F.col("cer"), "word_precision": F.col("wer"), "word_recall": F.col("cer"), "rectified": F.col("k") % 2 == 0, "illumination_normalized": F.col("k") % 3 == 0, "light": F.col("k") % 7, "deformation": F.col("k") % 5})
+    return evaluation.variant_aggregate(rows, "event_type", ["light", "deformation"])
+
+
+@query("model_aggregate", f"SELECT count(*) AS documents, {_avg('cer')}, {_avg('wer')}, {_avg('word_f1')}, {_avg('numeric_f1')}, {_avg('ocr_ms', 2, 'ms')} FROM {_RECORDS}")
+def model_aggregate(spark: SparkSession, at: str) -> DataFrame:
+    return evaluation.model_aggregate(_records(spark, at).withColumnRenamed("ocr_ms", "elapsed_ms"))
+
+
+def _recognised(spark: SparkSession, at: str) -> DataFrame:
+    """Each recognised page of ocr_line_data with the text of its annotations."""
+    lines_of = table(spark, at, "ocr_line_data").select("volume_id", "page_no", "strategy", "analysis_id", "line_id", "text", "confidence").distinct()
+    pages = evaluation.recognized_text(lines_of.withColumn("page", F.concat(page_key(F.col("volume_id")), F.lit("p"), F.lpad(F.col("page_no").cast("string"), 3, "0"))), ["page", "strategy", "analysis_id"])
+    notes = manifest.reference_text(table(spark, at, "annotations").withColumn("page", page_key(F.col("document_id"))), "page").select("page", "reference")
+    return pages.join(notes, "page")
+
+
+@query("evaluate_pages")
+def evaluate_pages(spark: SparkSession, at: str) -> DataFrame:
+    return evaluation.measured(_recognised(spark, at), ["page", "strategy", "analysis_id"]).drop("reference", "hypothesis")
+
+
+@query("evaluate_report")
+def evaluate_report(spark: SparkSession, at: str) -> DataFrame:
+    return evaluation.profile_aggregate(evaluate_pages(spark, at).withColumn("ocr_ms", F.lit(0.0)), "strategy")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import finite
@@ -85,10 +85,15 @@ def assert_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def disambiguate(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``document_id``: the path's stem for its first user in ``order``, the joined relative stem for later ones."""
-    short = stem(F.col(path))
-    first = Window.partitionBy(short).orderBy(*order)
-    return rows.withColumn("document_id", F.when(F.row_number().over(first) == 1, short).otherwise(F.replace(relative_stem(F.col(path)), F.lit("/"), F.lit("__"))))
+    """``rows`` with ``document_id``: the path's stem for its first user in ``order``, the joined relative stem for later ones.
+
+    The first user is a minimum per stem, combined before it is shuffled, so a stem of very many rows is no hot group.
+    """
+    rows = rows.withColumn("_short", stem(F.col(path)))
+    first = rows.groupBy("_short").agg(F.min(F.struct(*order)).alias("_first"))
+    joined = rows.join(first, rows["_short"].eqNullSafe(first["_short"])).drop(first["_short"])
+    named = F.when(F.struct(*order).eqNullSafe(F.col("_first")), F.col("_short")).otherwise(F.replace(relative_stem(F.col(path)), F.lit("/"), F.lit("__")))
+    return joined.withColumn("document_id", named).drop("_short", "_first")
 
 
 #: Longest label text of a usable sample (fixed value).

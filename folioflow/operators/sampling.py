@@ -72,9 +72,9 @@ def slot_sample(rows: DataFrame, key: str, slots: str, count: int = 10) -> DataF
     return ranked.filter(F.col("rank") <= count).select("slot", key, "rank")
 
 
-def _turns(rows: DataFrame, key: str, category: str, most: int) -> DataFrame:
+def _turns(rows: DataFrame, key: str, category: str, most: int, order: Column | None = None) -> DataFrame:
     """Rows by turn: each category's place in hash order, as far as ``most`` rows can reach. Null is a category, unknown."""
-    hashed = rows.withColumn(category, F.coalesce(F.col(category), F.lit("unknown"))).withColumn("_hash", stable_key(F.col(key).cast("string")))
+    hashed = rows.withColumn(category, F.coalesce(F.col(category), F.lit("unknown"))).withColumn("_hash", stable_key(F.col(key).cast("string")) if order is None else order)
     ranked = hashed.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy("_hash", key)))
     return ranked.filter(F.col("turn") <= most)
 
@@ -87,12 +87,14 @@ def balanced_sample(rows: DataFrame, key: str, category: str, most: int) -> Data
     return taken.withColumn("position", F.row_number().over(Window.orderBy("turn", category, "_hash", key))).drop("_hash", "turn")
 
 
-def budget_sample(rows: DataFrame, key: str, category: str, size: str, budget: int) -> DataFrame:
+def budget_sample(rows: DataFrame, key: str, category: str, size: str, budget: int, order: Column | None = None) -> DataFrame:
     """Rows in turns until their sizes reach the budget; the last may overshoot. Rows of size 0 or less are left out.
 
+    Within a category rows come by the hash of their key, or by ``order`` (a hash of one's own).
+
     Every row kept has size 1 at least, so turns beyond ``budget`` cannot be reached and are not ranked.
     """
-    usable = _turns(rows.filter(F.col(size) > 0), key, category, budget)
+    usable = _turns(rows.filter(F.col(size) > 0), key, category, budget, order)
     before = Window.orderBy("turn", category, "_hash", key).rowsBetween(Window.unboundedPreceding, -1)
     first = usable.orderBy("turn", category, "_hash", key).limit(budget)
     return first.withColumn("preceding", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("preceding") < budget).drop("_hash", "turn")
