@@ -7,10 +7,55 @@ a key, so a crop looks the same on every run and executor.
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 
 import numpy as np
 
 
+def grey(image: np.ndarray) -> np.ndarray:
+    """Rows x columns of an image of one channel, or of the lightness of blue, green and red."""
+    return image[..., 0] if image.shape[2] == 1 else np.rint(image[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+
+
+def png(image: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = np.concatenate([np.zeros((len(image), 1), np.uint8), image], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
+def page_corners(image: np.ndarray, least: float = 0.2, most: float = 0.98) -> np.ndarray | None:
+    """Corners of the bright page on a darker ground (x, y), or None where there is no such page.
+
+    The page is what is brighter than Otsu's threshold of the smoothed image; its corners are its extremes along both
+    diagonals. It must hold between ``least`` and ``most`` of the image, fill its quadrilateral, and be one.
+    """
+    step = max(1, max(image.shape) // 400)
+    small = _box_blur(image[::step, ::step].astype(np.float64), 2)
+    levels = np.clip(small, 0, 255).astype(np.uint8)
+    page = levels > threshold(levels)
+    if not least <= page.mean() <= most:
+        return None
+    y, x = np.nonzero(page)
+    total, difference = x + y, x - y
+    corners = np.array([[x[i], y[i]] for i in (total.argmin(), difference.argmax(), total.argmax(), difference.argmin())], float)
+    u, v = corners, np.roll(corners, -1, axis=0)
+    area = abs((u[:, 0] * v[:, 1] - v[:, 0] * u[:, 1]).sum()) / 2
+    if not 0.85 <= page.sum() / max(1.0, area) <= 1.15:
+        return None
+    return corners * step
+
+
+def threshold(image: np.ndarray) -> int:
+    """Otsu's threshold: the level that separates two classes of grey best."""
+    share = np.bincount(image.ravel(), minlength=256) / image.size
+    weight, mean = np.cumsum(share), np.cumsum(share * np.arange(256))
+    between = (mean[-1] * weight - mean) ** 2 / np.maximum(weight * (1 - weight), 1e-12)
+    return int(between.argmax())
+
+
 def crop(image: np.ndarray, left: int, top: int, right: int, bottom: int) -> np.ndarray:
     """A copy of the pixels of a rectangle."""
     return image[top:bottom, left:right].copy()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.hashing import stable_key
-from folioflow.plans.ranks import preceding_total
+from folioflow.plans.ranks import block_starts, preceding_total
 
 BLOCK = 1 << 12
 #: Seed of replacement numbers, and how many numbers are tried, the first included (fixed values).
@@ -16,11 +16,10 @@ RETRY, ATTEMPTS = "stream-retry", 32
 def prefix_index(rows: DataFrame, key: str, size: str) -> DataFrame:
     """(key, first, end): running sample numbers [first, end) in the order of an integer key; empty rows are left out.
 
-    Two levels: totals of key blocks give block starts (one row a block), and only a block is ordered in one task.
+    Totals of key blocks, and of blocks of blocks, give block starts; only a block is ordered in one task.
     """
     used = rows.filter(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("long").alias("_n")).withColumn("_block", F.floor(F.col("key") / BLOCK))
-    starts = used.groupBy("_block").agg(F.sum("_n").alias("_total"))
-    starts = starts.select("_block", F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = block_starts(used.groupBy("_block").agg(F.sum("_n").alias("_total")), "_block", "_total")
     upto = Window.partitionBy("_block").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = used.join(starts, "_block").withColumn("end", F.col("_start") + F.sum("_n").over(upto))
     return ended.select(F.col("key").alias(key), (F.col("end") - F.col("_n")).alias("first"), "end")
@@ -56,10 +55,9 @@ def rank_batches(rows: DataFrame, key: str, size: str, epoch: int, world: int, r
     """
     mine = epoch_order(rows.filter(F.col(size) > 0), key, epoch, seed).filter(F.pmod("turn", F.lit(world)) == rank)
     blocked = mine.withColumn("_block", F.floor(F.col("turn") / (BLOCK * world)))
-    starts = blocked.groupBy("_block").agg(F.sum(size).alias("_total"))
-    starts = starts.select("_block", F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = block_starts(blocked.groupBy("_block").agg(F.sum(size).alias("_total")), "_block", "_total")
     before = Window.partitionBy("_block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocked.join(F.broadcast(starts), "_block").withColumn("_begin", F.col("_start") + F.coalesce(F.sum(size).over(before), F.lit(0)))
+    placed = blocked.join(starts, "_block").withColumn("_begin", F.col("_start") + F.coalesce(F.sum(size).over(before), F.lit(0)))
     full = mine.agg(F.floor(F.coalesce(F.sum(size), F.lit(0)) / batch_size).alias("_full"))
     end = F.col("_begin") + F.col(size)
     pieces = placed.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_begin") / batch_size), F.floor((end - 1) / batch_size))))

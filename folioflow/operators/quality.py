@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folioflow.functions.pixels import area_resize, equalized
+from folioflow.functions.pixels import area_resize, equalized, grey, threshold
 
 #: Limits of the verdict, contrast in percent of the full scale (fixed values).
 FOREGROUND, FOCUS, CONTRAST = (0.001, 0.70), 80.0, 12.0
@@ -28,28 +28,20 @@ def verdict(foreground: Column, focus: Column, contrast: Column) -> Column:
     return F.when(blank | ((focus < FOCUS) & (contrast < CONTRAST)), "retake").otherwise("pass")
 
 
-def _threshold(grey: np.ndarray) -> int:
-    """Otsu's threshold: the level that separates two classes of grey best."""
-    share = np.bincount(grey.ravel(), minlength=256) / grey.size
-    weight, mean = np.cumsum(share), np.cumsum(share * np.arange(256))
-    between = (mean[-1] * weight - mean) ** 2 / np.maximum(weight * (1 - weight), 1e-12)
-    return int(between.argmax())
-
-
-def grey_metrics(grey: np.ndarray) -> tuple[float, float, float, float]:
+def grey_metrics(page: np.ndarray) -> tuple[float, float, float, float]:
     """(focus, foreground, contrast, illumination) of a grey image (uint8 rows x columns).
 
     Focus is the variance of the Laplacian and illumination the deviation of 16 x 16 area means over the full scale, both of
     the image as it is. Ink is what lies below Otsu's threshold of the equalised image: foreground is its share, contrast
     the distance of paper and ink means in percent of the full scale.
     """
-    g = grey.astype(np.float64)
+    g = page.astype(np.float64)
     edge = np.pad(g, 1, mode="reflect") if min(g.shape) > 1 else np.pad(g, 1, mode="edge")
     laplacian = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * g
-    even = equalized(grey)
-    ink = even <= _threshold(even) if even.min() < even.max() else np.zeros(even.shape, bool)
+    even = equalized(page)
+    ink = even <= threshold(even) if even.min() < even.max() else np.zeros(even.shape, bool)
     contrast = max(0.0, 100 * (float(even[~ink].mean()) - float(even[ink].mean())) / 255) if ink.any() and not ink.all() else 0.0
-    small = area_resize(grey, *(max(2, min(16, n)) for n in grey.shape))
+    small = area_resize(page, *(max(2, min(16, n)) for n in page.shape))
     return round(float(laplacian.var()), 4), round(float(ink.mean()), 5), round(contrast, 2), round(float(small.std() / 255), 5)
 
 
@@ -61,7 +53,5 @@ def image_metrics(data: pd.Series, height: pd.Series, width: pd.Series, channels
     """Metrics of raw images as Spark's image source gives them (BGR, BGRA or grey bytes)."""
     rows = []
     for raw, h, w, c in zip(data, height, width, channels, strict=True):
-        pixels = np.frombuffer(raw, np.uint8).reshape(h, w, c)
-        grey = pixels[..., 0] if c == 1 else np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
-        rows.append(grey_metrics(grey))
+        rows.append(grey_metrics(grey(np.frombuffer(raw, np.uint8).reshape(h, w, c))))
     return pd.DataFrame(rows, columns=_METRICS.names)

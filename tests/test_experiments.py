@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import pixels
-from folioflow.operators import experiments
+from folioflow.operators import experiments, images
 from folioflow.plans import analysis
 
 
@@ -90,6 +90,55 @@ def test_equalisation_and_thresholds():
     assert pixels.area_resize(np.array([[0, 30, 60]]), 1, 2).tolist() == [[10.0, 50.0]]
 
 
+def photographed():
+    ground = np.full((200, 260), 30, np.uint8)
+    y, x = np.mgrid[0:200, 0:260]
+    page = (y > 20 + x * 0.05) & (y < 180 - x * 0.03) & (x > 30 + y * 0.04) & (x < 230 - y * 0.05)
+    ground[page] = 225
+    ground[60:64, 80:180] = 40
+    return ground
+
+
+def test_corners_of_a_page():
+    photo = photographed()
+    corners = pixels.order_corners(pixels.page_corners(photo))
+    assert np.abs(corners - [[32, 22], [228, 32], [221, 173], [37, 178]]).max() < 6
+    assert pixels.page_corners(np.full((80, 90), 200, np.uint8)) is None
+    assert pixels.page_corners(np.where(np.random.default_rng(1).random((80, 90)) < 0.5, 10, 240).astype(np.uint8)) is None
+
+
+def test_png_is_read_back():
+    import struct
+    import zlib
+
+    page = photographed()
+    data, at, parts = pixels.png(page), 8, {}
+    while at < len(data):
+        size, name = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]
+        parts[name], at = data[at + 8 : at + 8 + size], at + 12 + size
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(200, 261)
+    assert struct.unpack(">II", parts[b"IHDR"][:8]) == (260, 200) and (lines[:, 1:] == page).all()
+
+
+def test_crops_and_photo_variants(spark, tmp_path):
+    page = photographed()
+    bgr = np.repeat(page[..., None], 3, 2)
+    pages = spark.createDataFrame([("a", bytearray(page.tobytes()), 200, 260, 1, "x"), ("b", bytearray(bgr.tobytes()), 200, 260, 3, "x"), ("c", bytearray(page.tobytes()), 200, 260, 1, "x")], "doc string, data binary, height int, width int, nChannels int, label string")
+    rows = [("a", 1, "eins", 70, 50, 190, 80, "clean", "k"), ("a", 2, "zwei", -5, 190, 40, 900, "camera", "k"), ("b", 3, "drei", 70, 50, 190, 80, "camera_filtered", "k"), ("b", 4, None, 300, 5, 310, 9, "clean", "k"), ("z", 5, "x", 1, 1, 9, 9, "clean", "k")]
+    samples = spark.createDataFrame(rows, "doc string, s long, label string, left long, top long, right long, bottom long, variant string, seed string")
+    got = {r.s: r for r in images.cropped(pages, samples, "doc", "s", png=False).collect()}
+    assert set(got) == {1, 2, 3} and (got[1].height, got[1].width, got[2].height, got[2].width) == (30, 120, 10, 40) and got[1].label == "eins"
+    assert bytes(got[1].pixels) == page[50:80, 70:190].tobytes() and len(got[3].pixels) == 30 * 120
+    images.write_crops(images.cropped(pages, samples, "doc", "s"), str(tmp_path / "crops"))
+    assert spark.read.parquet(str(tmp_path / "crops")).filter("variant = 'camera'").first().label == "zwei"
+    made = {(r.doc, r.variant): r for r in images.photo_variants(pages, "doc").collect()}
+    assert len(made) == 15 and bytes(made["a", "raw"].pixels) == page.tobytes() == bytes(made["b", "paddle_unwarp"].pixels)
+    assert made["a", "perspective"].rectified and made["a", "perspective"].width < 220 and not made["a", "perspective"].illumination_normalized
+    assert made["a", "illumination"].illumination_normalized and not made["a", "illumination"].rectified and made["a", "combined"].rectified
+    with pytest.raises(ValueError):
+        images.photo_variants(pages, "doc", ["other"])
+
+
 def test_analysis_of_good_and_blank_pages(spark):
     class Fake:
         def lines(self, data, height, width, channels):

@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow import catalog
 
@@ -44,3 +45,21 @@ def test_joins_are_equi_joins(spark, name):
 def test_top_k_per_group_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "threshold_tags")
     assert "TakeOrderedAndProject" in plan(spark, "final_topn")
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from folioflow.plans.skew import join_hot
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3])], "k int, i int")
+    keyed = rows.filter("k < 3").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low"))
+    want = sorted(map(tuple, rows.join(keyed.drop("n"), "k").select("k", "i", "low").collect()))
+    for hot in (2, 10, 1000):
+        assert sorted(map(tuple, join_hot(rows, keyed, ["k"], ["i"], "n", hot, 4).select("k", "i", "low").collect())) == want
+
+
+def test_starts_of_blocks(spark):
+    from folioflow.plans.ranks import block_starts
+
+    totals = [(i * 3, i % 7 + 1) for i in range(200)]
+    got = {r.b: r._start for r in block_starts(spark.createDataFrame(totals, "b long, n long"), "b", "n", 16).collect()}
+    assert got == {b: sum(n for _, n in totals[:i]) for i, (b, _) in enumerate(totals)}
