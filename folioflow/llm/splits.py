@@ -2,8 +2,9 @@
 
 Records that share a volume or a staff author, also through each other, form a group. Groups are the connected
 components of the graph of records and entities, found by alternating large-star and small-star rounds; each round
-only needs minima per vertex, which Spark combines map-side, so a volume or author that holds a third of all records
-costs no task more than its share. A group's identifier is hashed into proportional split ranges.
+only needs minima per vertex, which Spark combines map-side, and a join with one row a vertex, for which very large
+vertices are dealt out (``plans.skew``), so a volume or author that holds a third of all records costs no task more than
+its share. A group's identifier is hashed into proportional split ranges.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.ids import narrow, volume_key
 from folioflow.plans.lineage import cut_lineage
+from folioflow.plans.skew import join_hot
 
 SPLITS = (("train", 0.8), ("dev", 0.1), ("final", 0.1))
-MAX_ROUNDS = 60
 
 
 def staff_number(author: Column) -> Column:
@@ -26,39 +27,39 @@ def staff_number(author: Column) -> Column:
 
 
 def _minima(pairs: DataFrame, by: str, value: str) -> DataFrame:
-    return pairs.groupBy(by).agg(F.min(value).alias("_low"))
+    return pairs.groupBy(by).agg(F.min(value).alias("_low"), F.count("*").alias("_n"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """For each vertex, its larger neighbours are linked to the smallest of its neighbourhood."""
     both = edges.select(F.col("v").alias("a"), F.col("u").alias("b")).unionAll(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    low = _minima(both, "a", "b").select("a", F.least("a", "_low").alias("_low"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("_low").alias("v")).distinct()
+    low = _minima(both, "a", "b").select("a", F.least("a", "_low").alias("_low"), "_n")
+    return join_hot(both.filter("b > a"), low, ["a"], ["b"], "_n").select(F.col("b").alias("u"), F.col("_low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """For each vertex, its smaller neighbours and itself are linked to the smallest of them. Edges run from u to v < u."""
     low = _minima(edges, "u", "v")
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("_low").alias("v"))
+    moved = join_hot(edges, low, ["u"], ["v"], "_n").select(F.col("v").alias("u"), F.col("_low").alias("v"))
     return moved.unionAll(low.select("u", F.col("_low").alias("v"))).filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of all vertices with an edge; component is the smallest vertex that can be reached.
 
-    ``edges`` (u, v) are undirected; self loops, repeats and nulls are dropped. Converges in O(log² n) rounds; each
-    round's edges are written to the checkpoint folder. Two aggregates a round, not the edges, reach the driver.
+    ``edges`` (u, v) are undirected; self loops, repeats and nulls are dropped. Goes on until a round changes nothing, which
+    takes O(log² n) rounds; each round's edges are written to the checkpoint folder. Two aggregates a round, not the edges,
+    reach the driver.
     """
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, seen = cut_lineage(edges), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
         # Small-star leaves every u with its edges to v < u; stars only when no v is a u and each u has one v.
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
         seen = state
-    raise RuntimeError(f"components did not converge in {MAX_ROUNDS} rounds")
 
 
 def related_groups(records: DataFrame, entities: list[Column], vertex: str = "doc_id") -> DataFrame:
@@ -70,8 +71,8 @@ def related_groups(records: DataFrame, entities: list[Column], vertex: str = "do
     """
     keyed = records.filter(F.col(vertex).isNotNull()).select(F.col(vertex).alias("u"), F.posexplode(F.array(*entities)).alias("_kind", "_entity"))
     keyed = keyed.filter("_entity is not null")
-    stars = keyed.groupBy("_kind", "_entity").agg(F.min("u").alias("v"), F.max("u").alias("_other")).filter("v <> _other").drop("_other")
-    edges = keyed.join(stars, ["_kind", "_entity"]).select("u", "v")
+    stars = keyed.groupBy("_kind", "_entity").agg(F.min("u").alias("v"), F.max("u").alias("_other"), F.count("*").alias("_n")).filter("v <> _other").drop("_other")
+    edges = join_hot(keyed, stars, ["_kind", "_entity"], ["u"], "_n").select("u", "v")
     parts = connected_components(edges)
     return (
         records.filter(F.col(vertex).isNotNull()).select(F.col(vertex).alias("vertex")).join(parts, "vertex", "left")

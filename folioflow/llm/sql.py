@@ -25,6 +25,15 @@ WITH RECURSIVE d AS (SELECT doc_id, dataset_split, regexp_replace(regexp_replace
 e AS (SELECT doc_id, 'v' || volume AS entity FROM d WHERE volume <> '' UNION SELECT doc_id, 's' || staff FROM d WHERE staff IS NOT NULL),
 r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT b.doc_id, r.root FROM r JOIN e a ON a.doc_id = r.doc_id JOIN e b ON b.entity = a.entity),
 g AS (SELECT doc_id, min(root) AS group_id FROM r GROUP BY 1)
-SELECT doc_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g JOIN d USING (doc_id) GROUP BY 1 HAVING count(DISTINCT dataset_split) > 1)
 """
-ORACLES: dict[str, str] = {"p1_found": _GROUPS, "p7_sample": _SAMPLE}
+_BROKEN = _GROUPS + "SELECT doc_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g JOIN d USING (doc_id) GROUP BY 1 HAVING count(DISTINCT dataset_split) > 1)"
+_VOLUME = "nullif(regexp_replace(regexp_replace(lower({0}), '[^0-9a-z]+', '', 'g'), 'p[0-9]{{1,4}}$', ''), '')"
+_SPLITS = f"""{_GROUPS},
+n AS (SELECT group_id, coalesce(min(nullif(volume, '')), 'doc:' || min(doc_id)) AS key FROM g JOIN d USING (doc_id) GROUP BY 1),
+w AS (SELECT DISTINCT volume, key FROM g JOIN d USING (doc_id) JOIN n USING (group_id) WHERE volume <> ''),
+m AS (SELECT row_id, {_VOLUME.format('id')} AS volume FROM manifest),
+a AS (SELECT 'documents' AS src, doc_id AS row_id, key AS group_key FROM g JOIN n USING (group_id) UNION ALL SELECT 'manifest', row_id, coalesce(key, m.volume, 'row:' || row_id) FROM m LEFT JOIN w ON w.volume = m.volume),
+p AS (SELECT *, ('0x' || substr(sha256('split:' || group_key), 1, 13))::UBIGINT / pow(16, 13) AS place FROM a)
+SELECT src, row_id, group_key, CASE WHEN place < 0.8::DOUBLE THEN 'train' WHEN place < 0.9::DOUBLE THEN 'dev' ELSE 'final' END AS dataset_split FROM p
+"""
+ORACLES: dict[str, str] = {"p1_found": _BROKEN, "p1_splits": _SPLITS, "p7_sample": _SAMPLE}

@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import mixture, sample, splits
 
+
+def test_components_with_hot_vertices(spark, monkeypatch):
+    from folioflow.plans import skew
+
+    rng = random.Random(21)
+    edges = [(0, i) for i in range(1, 60)] + [(rng.randrange(60, 120), rng.randrange(60, 120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(40)]
+    want = components(edges)
+    for hot in (3, 1_000_000):
+        monkeypatch.setattr(skew, "HOT", hot)
+        monkeypatch.setattr(skew, "SALTS", 3)
+        got = splits.connected_components(spark.createDataFrame(edges, "u int, v int")).collect()
+        assert {r.vertex: r.component for r in got} == {v: c for v, c in want.items() if any(v in e and e[0] != e[1] for e in edges)} and len(got) == len({r.vertex for r in got})
+
+
 DOCS = "doc_id long, document_id string, author string, dataset_split string, group_id long, component string, u int"
 
 
