@@ -28,11 +28,14 @@ def frozen_sample(records: DataFrame, key: Column, arrived: str, rate: float, sa
     """
     if not 0 < rate <= 1:
         raise ValueError("rate must be in (0, 1]")
-    first = records.select(key.alias("key"), F.to_date(arrived).alias("_day")).filter("key is not null and _day is not null").groupBy("key").agg(F.min("_day").alias("batch"))
-    newest = records.filter(key.isNotNull()).agg(F.max(F.to_date(arrived)).alias("_open"))
-    hashed = first.withColumn("hash", F.sha2(F.concat_ws(":", F.lit(salt), F.col("key")), 256))
-    sizes = hashed.groupBy("batch").agg(F.count("*").alias("_n")).join(F.broadcast(newest), F.col("batch") < F.col("_open")).select("batch", F.ceil(F.col("_n") * F.lit(rate)).cast("long").alias("_keep"))
-    return below_limit(hashed, ["batch"], ["hash", "key"], "hash", sizes, "_keep").select("key", "batch", "hash")
+    days = records.select(key.alias("key"), F.to_date(arrived).alias("_day")).filter("key is not null and _day is not null")
+    first = days.groupBy("key").agg(F.min("_day").alias("batch"), F.max("_day").alias("_last"))
+    # Read three times below; made and shuffled once.
+    hashed = cut_lineage(first.withColumn("hash", F.sha2(F.concat_ws(":", F.lit(salt), F.col("key")), 256)))
+    newest = hashed.agg(F.max("_last")).first()[0]
+    frozen = hashed.filter(F.col("batch") < F.lit(newest)).drop("_last")
+    sizes = frozen.groupBy("batch").agg(F.ceil(F.count("*") * F.lit(rate)).cast("long").alias("_keep"))
+    return below_limit(frozen, ["batch"], ["hash", "key"], "hash", sizes, "_keep").select("key", "batch", "hash")
 
 
 def extend_sample(folder: str, records: DataFrame, key: Column, rate: float, salt: str = "sample") -> DataFrame:
