@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, hashing, metrics, text
 from folioflow.functions.ids import base_name, page_key
-from folioflow.operators import evaluation, index, lines, manifest, nested, preparation, quality, references, report, sampling, summary
-from folioflow.sources import files
+from folioflow.operators import evaluation, images, index, lines, manifest, nested, preparation, quality, references, report, sampling, summary
+from folioflow.plans.lineage import scratch_folder
+from folioflow.sources import archives, files, recognizer
 from folioflow.sources.tables import table
 from folioflow.streaming import feedback
 
@@ -876,3 +877,122 @@ def evaluate_pages(spark: SparkSession, at: str) -> DataFrame:
 @query("evaluate_report")
 def evaluate_report(spark: SparkSession, at: str) -> DataFrame:
     return evaluation.profile_aggregate(evaluate_pages(spark, at).withColumn("ocr_ms", F.lit(0.0)), "strategy")
+
+
+_MANIFEST_FIELDS = "id, category, source_split, dataset_split, image_zip, image_member, label_zip, label_member, annotation_count, sample_count"
+
+
+@query("manifest_lines", f"SELECT {_MANIFEST_FIELDS}, list_aggregate(splits, 'string_agg', ',') AS splits FROM manifest")
+def manifest_lines(spark: SparkSession, at: str) -> DataFrame:
+    """The manifest written as JSON Lines and read back."""
+    folder = scratch_folder(spark, "manifest")
+    files.write_manifest(table(spark, at, "manifest").drop("row_id", "scanned_at", "received_at"), folder)
+    read = files.not_empty(files.read_manifest(spark, folder), "manifest")
+    return read.withColumn("splits", F.when(F.size("splits") > 0, F.array_join("splits", ",")))
+
+
+@query("manifest_cases", f"SELECT id FROM manifest WHERE list_contains(splits, 'smoke')")
+def manifest_cases(spark: SparkSession, at: str) -> DataFrame:
+    return files.cases(table(spark, at, "manifest"), "smoke").select("id")
+
+
+_LISTED = "replace(replace(replace(coalesce(annotation.text, ''), chr(9), ' '), chr(10), ' '), chr(13), ' ')"
+
+
+@query("label_lists", f"""
+SELECT strategy, image, label FROM (SELECT CASE WHEN ann_key % 2 = 0 THEN 'camera' ELSE 'clean' END AS strategy, 'images/' || ann_key || '.png' AS image, {_LISTED} AS label FROM (SELECT DISTINCT ann_key, annotation FROM annotations))
+""")
+def label_lists(spark: SparkSession, at: str) -> DataFrame:
+    """Label lists written, one a variant, and read back."""
+    folder = scratch_folder(spark, "lists")
+    rows = table(spark, at, "annotations").select("ann_key", "annotation").distinct()
+    named = rows.select(F.concat(F.lit("images/"), F.col("ann_key").cast("string"), F.lit(".png")).alias("image"), F.translate(F.coalesce("annotation.text", F.lit("")), "\t\n\r", "   ").alias("label"), F.when(F.col("ann_key") % 2 == 0, "camera").otherwise("clean").alias("variant"))
+    files.write_label_lists(named, folder)
+    parts = [files.read_label_list(spark, f"{folder}/variant={v}").withColumn("strategy", F.lit(v)) for v in ("camera", "clean")]
+    return parts[0].unionByName(parts[1])
+
+
+_REFUSED = "CASE WHEN NOT coalesce(length(analysis_id), 0) BETWEEN 1 AND 64 THEN 'invalid_id' WHEN coalesce(accepted, 0) = 0 AND trim(coalesce(corrected_text, '')) = '' THEN 'missing_correction' WHEN length(corrected_text) > 100000 THEN 'too_long' END"
+
+
+@query("feedback_table", f"SELECT id, analysis_id, accepted, corrected_text, 2 AS copies FROM feedback WHERE {_REFUSED} IS NULL")
+def feedback_table(spark: SparkSession, at: str) -> DataFrame:
+    """Feedback appended twice; refused rows are not in the table."""
+    folder = scratch_folder(spark, "feedback")
+    for _ in range(2):
+        files.append_feedback(table(spark, at, "feedback"), folder)
+    return spark.read.parquet(folder).groupBy("id", "analysis_id", "accepted", "corrected_text").agg(F.count("*").cast("int").alias("copies"))
+
+
+def _packed(spark: SparkSession, at: str) -> DataFrame:
+    """Label records as ZIP archives in memory (path, content), one a label archive, with images of the same names."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for kind, suffix in (("label", ".json"), ("image", ".jpg")):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                for i, payload in zip(frame["label_id"], frame["payload"], strict=True):
+                    z.writestr(f"root/{i % 7}/{i}{suffix}", (payload or "").encode() if kind == "label" else b"x")
+            rows.append((f"file:/data/{'Training' if i % 2 else 'Validation'}/{kind}/{frame['label_zip'].iloc[0]}", buffer.getvalue()))
+        return pd.DataFrame(rows, columns=["path", "content"])
+
+    return table(spark, at, "label_records").select("label_id", "label_zip", "payload").groupBy("label_zip").applyInPandas(pack, "path string, content binary")
+
+
+@query("packed_archives", """
+SELECT k AS kind, count(*) AS archives, sum(n)::BIGINT AS members FROM (SELECT label_zip, count(*) AS n FROM label_records GROUP BY 1), (SELECT unnest(['image', 'label']) AS k) GROUP BY 1
+""")
+def packed_archives(spark: SparkSession, at: str) -> DataFrame:
+    sorts = archives.classify(archives.members(_packed(spark, at)))
+    return sorts.groupBy("kind").agg(F.count("*").alias("archives"), F.sum(F.col("images") + F.col("labels")).alias("members"))
+
+
+@query("packed_labels", "SELECT count(*) AS labels, count(*) FILTER (NOT coalesce(json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload::JSON END) = 'OBJECT', false)) AS broken FROM (SELECT regexp_replace(payload, '^\\x{FEFF}', '') AS payload FROM label_records)")
+def packed_labels(spark: SparkSession, at: str) -> DataFrame:
+    counted = archives.label_counts(archives.labels(archives.members(_packed(spark, at), payload=True)))
+    return counted.agg(F.sum("labels").alias("labels"), F.sum("broken").alias("broken"))
+
+
+@query("packed_images", "SELECT 'root/' || (label_id % 7) || '/' || label_id || '.jpg' AS member, (label_id % 7) || '/' || label_id AS stem, label_id || '.jpg' AS base, false AS ambiguous, (label_id % 7)::VARCHAR AS template FROM label_records")
+def packed_images(spark: SparkSession, at: str) -> DataFrame:
+    found = archives.members(_packed(spark, at))
+    indexed = archives.image_index(found)
+    return indexed.join(archives.photo_groups(found).select("member", "template"), "member").select("member", "stem", "base", "ambiguous", "template")
+
+
+@query("detector_lines", """
+SELECT ann_key, trim(nfc_normalize(t)) AS text, round(greatest(0, least(100, s * 100)), 2) AS confidence FROM (
+  SELECT ann_key, unnest([coalesce(annotation.text, ''), ' ', document_id]) AS t, unnest([ann_key % 13 / 10.0, 0.5, NULL]) AS s0, coalesce(s0, 0) AS s FROM (SELECT DISTINCT ann_key, document_id, annotation FROM annotations)
+) WHERE trim(nfc_normalize(t)) <> ''
+""")
+def detector_lines(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "annotations").select("ann_key", "document_id", "annotation").distinct()
+    texts = F.array(F.coalesce("annotation.text", F.lit("")), F.lit(" "), F.col("document_id"))
+    scores = F.array(F.col("ann_key") % 13 / 10, F.lit(0.5), F.lit(None).cast("double"))
+    found = rows.select("ann_key", F.explode(recognizer.detector_lines(texts, scores, F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("_l"))
+    return found.select("ann_key", "_l.text", "_l.confidence")
+
+
+@query("page_crops", f"""
+SELECT ann_key, "bottom" - "top" AS height, "right" - "left" AS width, ann_key % 200 AS grey FROM (
+  SELECT ann_key, greatest(0, floor({_B[0]} / 20)::BIGINT - 2) AS "left", greatest(0, floor({_B[1]} / 20)::BIGINT - 2) AS "top", least(120, ceil({_B[0]} / 20 + {_B[2]} / 20)::BIGINT + 2) AS "right", least(160, ceil({_B[1]} / 20 + {_B[3]} / 20)::BIGINT + 2) AS "bottom"
+  FROM (SELECT DISTINCT ann_key, annotation FROM annotations WHERE ann_key IS NOT NULL) WHERE {_SOUND}) WHERE "right" > "left" AND "bottom" > "top"
+""")
+def page_crops(spark: SparkSession, at: str) -> DataFrame:
+    """Crops of plain grey pages, one page an annotation, on a twentieth of the scale."""
+    box = [F.try_element_at("annotation.bbox", F.lit(i)) / 20 for i in (1, 2, 3, 4)]
+    rows = table(spark, at, "annotations").filter("ann_key is not null").select("ann_key", "annotation").distinct()
+    rows = rows.filter(manifest.rejection(F.lit("x"), F.col("annotation.bbox")).isNull())
+    low = lambda v: F.greatest(F.lit(0), F.floor(v) - 2)
+    high = lambda v, most: F.least(F.lit(most), F.ceil(v) + 2)
+    samples = rows.select("ann_key", F.col("ann_key").alias("sample"), F.lit("").alias("label"), low(box[0]).alias("left"), low(box[1]).alias("top"), high(box[0] + box[2], 120).alias("right"), high(box[1] + box[3], 160).alias("bottom"), F.lit("clean").alias("variant"), F.lit("k").alias("seed"))
+    pages = rows.select("ann_key", F.unhex(F.repeat(F.lpad(F.hex(F.col("ann_key") % 200), 2, "0"), F.lit(120 * 160))).alias("data"), F.lit(160).alias("height"), F.lit(120).alias("width"), F.lit(1).alias("nChannels"))
+    made = images.cropped(pages, samples, "ann_key", "sample", png=False)
+    one = F.conv(F.substring(F.hex("pixels"), 1, 2), 16, 10).cast("long")
+    alike = F.hex("pixels") == F.repeat(F.substring(F.hex("pixels"), 1, 2), F.length("pixels"))
+    return made.select("ann_key", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.when(alike, one).alias("grey"))

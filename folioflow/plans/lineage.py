@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Replace the plan of ``df`` by files in the checkpoint folder, so a lost executor costs one re-read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for tables that a plan writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

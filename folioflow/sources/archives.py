@@ -89,6 +89,18 @@ def classify(found: DataFrame) -> DataFrame:
     return counted.withColumn("kind", kind)
 
 
+def archive_sets(classified: DataFrame, split: str = "split") -> DataFrame:
+    """(split, image_archives, label_archives) of classified archives with a column ``split``, each list sorted.
+
+    Errors on evaluation: an archive that holds images and labels, and a split without one of both kinds.
+    """
+    mixed = F.when(F.col("kind") == "mixed", F.raise_error(F.concat(F.lit("images and labels in one archive: "), F.col("archive"))).cast("string")).otherwise(F.col("archive"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("_archive")))).alias(f"{kind}_archives")
+    sets = classified.filter(F.col(split).isNotNull()).withColumn("_archive", mixed).filter("_archive is not null").groupBy(split).agg(of("image"), of("label"))
+    whole = F.assert_true((F.size("image_archives") > 0) & (F.size("label_archives") > 0), F.concat(F.lit("images or labels are missing in "), F.col(split)))
+    return sets.withColumn("_ok", whole.isNull()).filter("_ok").drop("_ok")
+
+
 def image_index(found: DataFrame) -> DataFrame:
     """(archive, member, stem, base, ambiguous): images with the keys labels are paired by; ambiguous base names mark."""
     images = found.filter("kind = 'image'").select("archive", "member", relative_stem(F.col("member")).alias("stem"), base_name(F.replace("member", F.lit("\\"), F.lit("/"))).alias("base"))

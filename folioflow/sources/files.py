@@ -17,6 +17,13 @@ def read_manifest(spark: SparkSession, path: str, schema: str | StructType = MAN
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def not_empty(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, which must have some; reads them as far as the first."""
+    if rows.isEmpty():
+        raise ValueError(f"{what} is empty")
+    return rows
+
+
 def cases(manifest: DataFrame, split: str, limit: int | None = None) -> DataFrame:
     """Rows that carry a split tag, in the order of id; ``limit`` keeps the first."""
     rows = manifest.filter(F.array_contains("splits", split)).orderBy("id")
@@ -29,10 +36,10 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def read_label_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(image, label) of a tab-separated list; only the first tab separates."""
+    """(image, label) of a tab-separated list; only the first tab separates. ``limit`` keeps the first by image."""
     parts = F.split("value", "\t", 2)
     rows = spark.read.text(path).filter(F.col("value").contains("\t")).select(parts[0].alias("image"), parts[1].alias("label"))
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("image", "label").limit(limit)
 
 
 def write_label_lists(rows: DataFrame, path: str, image: str = "image", label: str = "label", variant: str = "variant") -> None:

@@ -51,6 +51,19 @@ def test_archives_are_classified_indexed_and_read(spark, corpus):
     found.unpersist()
 
 
+def test_archive_sets(spark):
+    rows = [("i", "image", "training"), ("h", "image", "training"), ("l", "label", "training"), ("e", "empty", "training"), ("m", "label", "validation")]
+    frame = spark.createDataFrame(rows, "archive string, kind string, split string")
+    assert [tuple(r) for r in archives.archive_sets(frame.filter("split = 'training'")).collect()] == [("training", ["h", "i"], ["l"])]
+    with pytest.raises(Exception, match="missing in validation"):
+        archives.archive_sets(frame).collect()
+    with pytest.raises(Exception, match="in one archive: m"):
+        archives.archive_sets(frame.withColumn("kind", F.when(F.col("archive") == "m", "mixed").otherwise(F.col("kind")))).collect()
+    with pytest.raises(Exception, match="list is empty"):
+        files.not_empty(frame.limit(0), "list")
+    assert files.not_empty(frame, "list").count() == 5
+
+
 def test_uploads_and_images(spark, tmp_path):
     for name, data in (("a.png", png(40, 32)), ("b.png", png(8, 8)), ("c.gif", b"x")):
         (tmp_path / name).write_bytes(data)
