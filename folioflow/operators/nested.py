@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Levels from the top: name of the flat table -> path of list fields in the tree.
 LEVELS: dict[str, tuple[str, ...]] = {
@@ -153,6 +154,41 @@ def flatten(records: DataFrame, level: str, key: str = "label_id", payload: str
     return trees(records, key, payload).mapInArrow(run, f"`{key}` {kind}, node string, parent string, " + ", ".join(f"{v} string" for v in values))
 
 
+def list_paths(schema: StructType) -> dict[str, tuple[str, ...]]:
+    """The lists of structs of a nested schema: dotted name -> path, parents before children."""
+    found: dict[str, tuple[str, ...]] = {}
+
+    def walk(fields: StructType, path: tuple[str, ...]) -> None:
+        for field in fields:
+            if isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
+                found[".".join((*path, field.name))] = (*path, field.name)
+                walk(field.dataType.elementType, (*path, field.name))
+
+    walk(schema, ())
+    return found
+
+
+def flatten_column(records: DataFrame, key: str, column: str, path: tuple[str, ...]) -> DataFrame:
+    """The flat table of the list at ``path`` of a nested column: (key, node, parent, all fields that are no lists of structs).
+
+    As ``flatten``, for any schema: names that are ``key``, node or parent get ``_`` behind. Null records and lists, and
+    nulls in lists, give no row; optional fields are null where they are absent.
+    """
+    level = records.schema[column].dataType
+    for step in path:
+        level = level[step].dataType.elementType
+    fields = [f for f in level if not (isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType))]
+    names = [f.name + "_" if f.name in (key, "node", "parent") else f.name for f in fields]
+    schema = StructType([StructField(key, records.schema[key].dataType), StructField("node", StringType()), StructField("parent", StringType()), *(StructField(n, f.dataType) for n, f in zip(names, fields, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, place, parent, structs = _descend(batch, "key", path)
+            yield pa.RecordBatch.from_arrays([keys, place, parent, *(pc.struct_field(structs, f.name) for f in fields)], names=schema.names)
+
+    return records.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("tree")).mapInArrow(run, schema)
+
+
 def nodes(records: DataFrame, key: str = "label_id", payload: str = "payload") -> DataFrame:
     """(key, child, node) of every object on every level, from one pass over the trees."""
     kind = records.schema[key].dataType.simpleString()

@@ -72,3 +72,16 @@ def test_every_child_has_its_parent(spark):
 
 def test_empty_table(spark):
     assert nested.nodes(spark.createDataFrame([], "label_id long, payload string")).count() == 0
+
+
+def test_any_nested_column(spark):
+    schema = "k int, doc struct<title:string, parts:array<struct<node:int, tags:array<string>, size:struct<w:int>, lines:array<struct<text:string, parent:int>>>>, notes:array<struct<k:string>>>"
+    docs = [(1, ("t", [(7, ["a"], (3,), [("x", 1), None, ("y", None)]), None, (8, None, None, None)], None)), (2, None), (None, (None, [], [("n",)])), (3, ("u", [(9, [], None, [("z", 2)])], [("m",), None]))]
+    frame = spark.createDataFrame(docs, schema)
+    assert nested.list_paths(frame.schema["doc"].dataType) == {"parts": ("parts",), "parts.lines": ("parts", "lines"), "notes": ("notes",)}
+    rows = lambda *path: sorted((tuple(r) for r in nested.flatten_column(frame, "k", "doc", path).collect()), key=repr)
+    assert rows("parts") == sorted([(1, "0", None, 7, ["a"], (3,)), (1, "2", None, 8, None, None), (3, "0", None, 9, [], None)], key=repr)
+    assert rows("parts", "lines") == sorted([(1, "0.0", "0", "x", 1), (1, "0.2", "0", "y", None), (3, "0.0", "0", "z", 2)], key=repr)
+    assert rows("notes") == sorted([(None, "0", None, "n"), (3, "0", None, "m")], key=repr)
+    assert nested.flatten_column(frame, "k", "doc", ("parts",)).columns == ["k", "node", "parent", "node_", "tags", "size"]
+    assert nested.flatten_column(frame.limit(0), "k", "doc", ("parts",)).count() == 0
