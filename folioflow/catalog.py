@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,20 +160,14 @@ FROM p JOIN (SELECT rank, sum(n) // {size} AS whole FROM m GROUP BY 1) USING (ra
 """
 
 
-def _all_ranks(spark: SparkSession, at: str, epoch: int, world: int, size: int, resume: int = 0) -> DataFrame:
-    rows = table(spark, at, "manifest").select("row_id", "sample_count")
-    parts = [index.rank_batches(rows, "row_id", "sample_count", epoch, world, rank, size, resume).withColumn("rank", F.lit(rank)) for rank in range(world)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("epoch_batches", _batches(3, 4, 64, 0))
 def epoch_batches(spark: SparkSession, at: str) -> DataFrame:
-    return _all_ranks(spark, at, 3, 4, 64)
+    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 3, 4, 64)
 
 
 @query("resume_batches", _batches(4, 2, 128, 10))
 def resume_batches(spark: SparkSession, at: str) -> DataFrame:
-    return _all_ranks(spark, at, 4, 2, 128, 10)
+    return index.rank_batches(table(spark, at, "manifest").select("row_id", "sample_count"), "row_id", "sample_count", 4, 2, 128, resume=10)
 
 
 _HASHED = "(('0x' || substr(sha256('stream-retry:' || split || ':' || number || ':' || a), 1, 16))::UBIGINT % total)::BIGINT"

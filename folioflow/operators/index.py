@@ -47,24 +47,27 @@ def epoch_order(rows: DataFrame, key: str, epoch: int, seed: str = "epoch") -> D
     return preceding_total(hashed, [], ["_hash", key], "_hash", "_one").withColumnRenamed("preceding", "turn").drop("_hash", "_one")
 
 
-def rank_batches(rows: DataFrame, key: str, size: str, epoch: int, world: int, rank: int, batch_size: int, resume: int = 0, seed: str = "epoch") -> DataFrame:
-    """(batch, key, first, last): which samples of which documents make up the full batches of one rank.
+def rank_batches(rows: DataFrame, key: str, size: str, epoch: int, world: int, batch_size: int, rank: int | None = None, resume: int = 0, seed: str = "epoch") -> DataFrame:
+    """(rank, batch, key, first, last): which samples of which documents make up the full batches of one rank, or of all.
 
     Documents are shuffled by epoch, dealt to ranks in turn and kept together; the last incomplete batch is dropped, and
-    batches below ``resume`` are skipped. first and last are places within the document.
+    batches below ``resume`` are skipped. first and last are places within the document. All ranks take one pass.
     """
-    mine = epoch_order(rows.filter(F.col(size) > 0), key, epoch, seed).filter(F.pmod("turn", F.lit(world)) == rank)
-    blocked = mine.withColumn("_block", F.floor(F.col("turn") / (BLOCK * world)))
-    starts = block_starts(blocked.groupBy("_block").agg(F.sum(size).alias("_total")), "_block", "_total")
-    before = Window.partitionBy("_block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocked.join(starts, "_block").withColumn("_begin", F.col("_start") + F.coalesce(F.sum(size).over(before), F.lit(0)))
-    full = mine.agg(F.floor(F.coalesce(F.sum(size), F.lit(0)) / batch_size).alias("_full"))
+    dealt = epoch_order(rows.filter(F.col(size) > 0), key, epoch, seed).withColumn("rank", F.pmod("turn", F.lit(world)).cast("int"))
+    dealt = dealt if rank is None else dealt.filter(F.col("rank") == rank)
+    blocked = dealt.withColumn("_block", F.floor(F.col("turn") / (BLOCK * world)))
+    totals = blocked.groupBy("rank", "_block").agg(F.sum(size).alias("_total"))
+    starts = block_starts(totals, "_block", "_total", ["rank"])
+    before = Window.partitionBy("rank", "_block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocked.join(starts, ["rank", "_block"]).withColumn("_begin", F.col("_start") + F.coalesce(F.sum(size).over(before), F.lit(0)))
+    # One row a rank.
+    full = totals.groupBy("rank").agg(F.floor(F.sum("_total") / batch_size).alias("_full"))
     end = F.col("_begin") + F.col(size)
     pieces = placed.withColumn("batch", F.explode(F.sequence(F.floor(F.col("_begin") / batch_size), F.floor((end - 1) / batch_size))))
-    kept = pieces.join(F.broadcast(full), F.col("batch") < F.col("_full")).filter(F.col("batch") >= resume)
+    kept = pieces.join(F.broadcast(full), "rank").filter((F.col("batch") < F.col("_full")) & (F.col("batch") >= resume))
     first = F.greatest(F.lit(0), F.col("batch") * batch_size - F.col("_begin"))
     last = F.least(F.col(size), (F.col("batch") + 1) * batch_size - F.col("_begin")) - 1
-    return kept.select(F.col("batch").cast("long").alias("batch"), key, first.cast("long").alias("first"), last.cast("long").alias("last"))
+    return kept.select("rank", F.col("batch").cast("long").alias("batch"), key, first.cast("long").alias("first"), last.cast("long").alias("last"))
 
 
 def replacement(number: Column, split: Column, attempt: Column, total: Column) -> Column:

@@ -60,14 +60,15 @@ def preceding_total(rows: DataFrame, group: list[str], order: list[str], hex_key
     )
 
 
-def block_starts(totals: DataFrame, block: str, total: str, width: int = 1 << 12) -> DataFrame:
-    """(block, _start): the total of all blocks before each one, for integer blocks with one row each.
+def block_starts(totals: DataFrame, block: str, total: str, group: list[str] | None = None, width: int = 1 << 12) -> DataFrame:
+    """(group, block, _start): the total of all blocks before each one, for integer blocks with one row each in their group.
 
-    A level above the blocks is summed first, so no task orders more than ``width`` blocks, or more upper ones than blocks
-    have by ``width``.
+    A level above the blocks is summed first, so no task orders more than ``width`` blocks, or more upper ones than a group's
+    blocks by ``width``.
     """
+    group = group or []
     upper = totals.withColumn("_upper", F.floor(F.col(block) / width))
-    before = Window.orderBy("_upper").rowsBetween(Window.unboundedPreceding, -1)
-    tops = upper.groupBy("_upper").agg(F.sum(total).alias("_sum")).select("_upper", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_upper").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return upper.join(tops, "_upper").select(block, (F.col("_base") + F.coalesce(F.sum(total).over(within), F.lit(0))).alias("_start"))
+    before = (Window.partitionBy(*group) if group else Window).orderBy("_upper").rowsBetween(Window.unboundedPreceding, -1)
+    tops = upper.groupBy(*group, "_upper").agg(F.sum(total).alias("_sum")).select(*group, "_upper", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*group, "_upper").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return upper.join(tops, [*group, "_upper"]).select(*group, block, (F.col("_base") + F.coalesce(F.sum(total).over(within), F.lit(0))).alias("_start"))

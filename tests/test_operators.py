@@ -78,10 +78,10 @@ def test_batches_cover_each_rank_once_and_resume(spark):
     for rank in range(2):
         samples = [(k, i) for k in order[rank::2] for i in range(sizes[k])]
         got = defaultdict(list)
-        for r in index.rank_batches(frame, "k", "n", 2, 2, rank, 16).collect():
+        for r in index.rank_batches(frame, "k", "n", 2, 2, 16, rank).collect():
             got[r.batch] += [(r.k, i) for i in range(r.first, r.last + 1)]
         assert {b: sorted(v) for b, v in got.items()} == {b: sorted(samples[16 * b : 16 * b + 16]) for b in range(len(samples) // 16)}
-    assert min(r.batch for r in index.rank_batches(frame, "k", "n", 2, 2, 0, 16, resume=3).collect()) == 3
+    assert min(r.batch for r in index.rank_batches(frame, "k", "n", 2, 2, 16, 0, resume=3).collect()) == 3
 
 
 def test_replacements_are_valid(spark):

@@ -61,5 +61,5 @@ def test_starts_of_blocks(spark):
     from folioflow.plans.ranks import block_starts
 
     totals = [(i * 3, i % 7 + 1) for i in range(200)]
-    got = {r.b: r._start for r in block_starts(spark.createDataFrame(totals, "b long, n long"), "b", "n", 16).collect()}
+    got = {r.b: r._start for r in block_starts(spark.createDataFrame(totals, "b long, n long"), "b", "n", width=16).collect()}
     assert got == {b: sum(n for _, n in totals[:i]) for i, (b, _) in enumerate(totals)}
