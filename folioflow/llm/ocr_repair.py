@@ -41,8 +41,8 @@ SLOTTED = 0.5
 SHORT = 0.75
 #: Greatest edit distance of two folded forms of one running line, as a share of the longer.
 NOISE = 0.34
-#: A vocabulary of up to so many terms is broadcast (some 2 KB of index a term).
-MOST_TERMS = 100_000
+#: A vocabulary of up to so many terms is broadcast (with index some 1 KB a term and worker process).
+MOST_TERMS = 500_000
 
 _CONFUSED = str.maketrans("OoQIl|!SBZ", "0001111582")
 _NUMBER = re.compile(r"[^\w]*(?:제|p|P)?\W{0,2}([0-9OoQIl|!SBZ]{1,5})(?:\s*/\s*[0-9OoQIl|!SBZ]{1,5})?\W*(\w{0,2})\W*")

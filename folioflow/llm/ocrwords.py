@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from array import array
+from itertools import repeat
+
+import numpy as np
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -65,20 +68,37 @@ def _deletions(word: str, most: int) -> set[str]:
 
 
 class Lexicon:
-    """Correct forms, and the one a noisy token most likely stands for."""
+    """Correct forms, and the one a noisy token most likely stands for.
+
+    The deletions of all forms are kept as sorted hashes with the number of their form (some 12 bytes each), so that large
+    vocabularies fit beside the pages.
+    """
 
     def __init__(self, terms: list[str]) -> None:
         self.terms = frozenset(terms)
         self.folded = frozenset(t.casefold() for t in terms)
         self.bare = {_INNER.sub("", t): t for t in sorted(terms)}
-        self.index: dict[str, set[tuple[str, str]]] = defaultdict(set)
-        for term in terms:
-            for form in self._forms(_INNER.sub("", term)):
-                for d in _deletions(form, self._most(form)):
-                    self.index[d].add((form, term))
-        self.longest = max((len(f) for entries in self.index.values() for f, _ in entries), default=0)
+        self.forms = [(form, term) for term in sorted(self.terms) for form in sorted(self._forms(_INNER.sub("", term)))]
+        hashes, owners = array("q"), array("i")
+        for i, (form, _) in enumerate(self.forms):
+            deletions = _deletions(form, self._most(form))
+            hashes.extend(map(hash, deletions))
+            owners.extend(repeat(i, len(deletions)))
+        keys = np.array(hashes, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], np.array(owners, np.int32)[order]
+        self.longest = max((len(f) for f, _ in self.forms), default=0)
         self.known: dict[str, str | None] = {}
 
+    def _near(self, form: str) -> set[int]:
+        """Numbers of the forms that have a deletion in common with this one (or one of the same hash)."""
+        asked = np.fromiter(map(hash, _deletions(form, self._most(form))), np.int64)
+        first, last = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
+        found: set[int] = set()
+        for i in np.flatnonzero(first < last).tolist():
+            found.update(self.owners[first[i] : last[i]].tolist())
+        return found
+
     @staticmethod
     def _most(form: str) -> int:
         return 2 if len(form) >= LONG and form[0].isascii() else 1
@@ -120,14 +140,14 @@ class Lexicon:
             for form in self._forms(variant):
                 if len(form) > self.longest + 2:
                     continue
-                for d in _deletions(form, self._most(form)):
-                    for other, term in self.index.get(d, ()):
-                        for most in (0, 1, 2):
-                            if most > min(self._most(other), self._most(form)) or best and most >= best[0] and term >= best[1]:
-                                break
-                            if within(form, other, most):
-                                best = min(best, (most, term)) if best else (most, term)
-                                break
+                for i in self._near(form):
+                    other, term = self.forms[i]
+                    for most in (0, 1, 2):
+                        if most > min(self._most(other), self._most(form)) or best and most >= best[0] and term >= best[1]:
+                            break
+                        if within(form, other, most):
+                            best = min(best, (most, term)) if best else (most, term)
+                            break
         return best[1] if best else None
 
     def broken(self, end: str, start: str) -> str | None:
