@@ -15,12 +15,12 @@ import bisect
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 from itertools import repeat
-from operator import add, or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -315,6 +315,41 @@ def mentions(text: str | None, given: frozenset[str] = frozenset(), latin: froze
     return [(kind, a, b) if at is None else (kind, int(at[a, 0]), int(at[b - 1, 1])) for a, b, kind in found]
 
 
+_LABEL_WORDS = "|".join(sorted({w.split(" ")[-1] for g in LABELS for i in (0, 1) for w in LABELS[g][i].split(", ") if w}))
+_FAR = "[^\\x00-\\x7f가-힣]"
+#: What a text must have to hold a mention, but for names by their parts; searched in Arrow buffers (no look-around there):
+#: signs that may be something else, seven signs that may be digits, mail signs, address words beside digits, labels and
+#: titles, words for digits and dots.
+_MAY_MENTION = tuple((
+    _FAR,
+    r"(?:[0-9OoQIl|BSZ][-.()+\s]{0,6}){7}",
+    r"@|골뱅이|[(\[{<]\s*(?i:at|ät|aet)|\s(?i:at)\s",
+    r"[시군][\s가-힣]*[0-9]",
+    rf"[0-9]\s+[A-Za-z]+\s+(?i:{STREETS})",
+    r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|(?:Am|An der|Im|Zum|Zur)\s[A-ZÄÖÜ][a-zäöüß-]+)\s+[0-9]",
+    rf"{_LABEL_WORDS}|주무관|[님씨]",
+    rf"[{_DIGIT_SIGNS}][ .,-]{{0,2}}[{_DIGIT_SIGNS}][ .,-]{{0,2}}[{_DIGIT_SIGNS}]",
+    rf"(?i:{_DIGIT_WORD})[ .,-]{{0,2}}(?i:{_DIGIT_WORD})[ .,-]{{0,2}}(?i:{_DIGIT_WORD})",
+    rf"\s(?i:{DOT_WORDS})\s",
+))
+#: Up to so many known parts are searched for in the buffers; with more every text is read.
+MOST_SEARCHED = 2_000
+
+
+def _matching(texts: pa.Array, patterns: tuple[str, ...]) -> pa.Array:
+    """Places of the texts that match one of the patterns (nulls match none)."""
+    found = [pc.fill_null(pc.match_substring_regex(texts, p), False).to_numpy(zero_copy_only=False) for p in patterns]
+    return pa.array(np.flatnonzero(np.logical_or.reduce(found)))
+
+
+def may_mention(texts: pa.Array, given: frozenset[str], latin: frozenset[str]) -> pa.Array:
+    """Places of all texts that ``mentions`` may find something in, given the known parts of names."""
+    if len(given) + len(latin) > MOST_SEARCHED:
+        return pa.array(np.arange(len(texts)))
+    parts = ("|".join(map(re.escape, sorted(given))), "(?i:" + "|".join(map(re.escape, sorted(latin))) + ")" if latin else "")
+    return _matching(texts, (*_MAY_MENTION, *(p for p in parts if p)))
+
+
 def redacted(text: str | None, given: frozenset[str] = frozenset(), latin: frozenset[str] = frozenset()) -> str | None:
     """The text with every mention replaced by its type in brackets; null stays null."""
     if text is None:
@@ -335,11 +370,13 @@ def free_texts(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     return notes.unionAll(feedback.select(F.lit("feedback"), "id", "corrected_text")).filter("text is not null")
 
 
-def _pairs(texts: DataFrame, of: Callable[[str], Iterable[tuple[str, str]]]) -> DataFrame:
-    """(digest, kind, part) of the name parts that ``of`` finds in each text."""
+def _pairs(texts: DataFrame, of: Callable[[str], Iterable[tuple[str, str]]], patterns: tuple[str, ...] = ()) -> DataFrame:
+    """(digest, kind, part) of the name parts that ``of`` finds in each text (that matches one of ``patterns``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if patterns:
+                batch = batch.take(_matching(batch.column("text"), patterns))
             rows = [(d, *p) for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["digest", "kind", "part"])
 
@@ -349,12 +386,9 @@ def _pairs(texts: DataFrame, of: Callable[[str], Iterable[tuple[str, str]]]) ->
 def announced_parts(texts: DataFrame) -> DataFrame:
     """(kind, part): given names in Hangul and parts of Latin names that a label announces in any text.
 
-    Only texts with a word of LABELS, or with signs that may be one in disguise, leave the JVM.
+    Only texts with a word of LABELS, or with signs that may be one in disguise, are read one by one.
     """
-    words = sorted({w.split(" ")[-1] for g in ("ko", "en", "de") for i in (0, 1) for w in LABELS[g][i].split(", ") if w})
-    said = reduce(or_, (F.contains("text", F.lit(w)) for w in words if not any(v in w and v != w for v in words)))
-    asked = texts.filter(said | F.col("text").rlike("[^\\x00-\\x7f가-힣]"))
-    return _pairs(asked.select(F.lit(None).cast("string").alias("digest"), "text"), labelled_names).select("kind", "part").distinct()
+    return _pairs(texts.select(F.lit(None).cast("string").alias("digest"), "text"), labelled_names, (_LABEL_WORDS, _FAR)).select("kind", "part").distinct()
 
 
 def _sets(parts: Iterable) -> tuple[frozenset[str], frozenset[str]]:
@@ -362,8 +396,8 @@ def _sets(parts: Iterable) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(p for k, p in parts if k == "given"), frozenset(p for k, p in parts if k == "latin")
 
 
-def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, Iterable], pa.RecordBatch], schema: str) -> DataFrame:
-    """``act`` on batches of texts and, for each text, the known parts of names (at least those it may ask for).
+def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, tuple | list], pa.RecordBatch], schema: str) -> DataFrame:
+    """``act`` on batches of texts and the known parts of names: one tuple for all, or a list of those each may ask for.
 
     Up to MOST_PARTS parts are broadcast; more never reach the driver, each text is joined to those it asks for.
     """
@@ -374,7 +408,7 @@ def _with_names(texts: DataFrame, act: Callable[[pa.RecordBatch, Iterable], pa.R
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield act(batch, repeat(shared.value))
+                yield act(batch, shared.value)
 
         return texts.mapInArrow(run, schema)
     marked = texts if "digest" in texts.columns else texts.withColumn("digest", _digest())
@@ -399,8 +433,11 @@ def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     (of mentions that begin alike the longest), other columns are not read; empty tables give no rows.
     """
 
-    def act(batch: pa.RecordBatch, names: Iterable) -> pa.RecordBatch:
-        rows = [(i, *m) for i, (t, n) in enumerate(zip(batch.column("text").to_pylist(), names)) for m in mentions(t, *n)]
+    def act(batch: pa.RecordBatch, names: tuple | list) -> pa.RecordBatch:
+        texts = batch.column("text")
+        some = may_mention(texts, *names) if isinstance(names, tuple) else pa.array(np.arange(len(texts)))
+        each = repeat(names) if isinstance(names, tuple) else names
+        rows = [(i, *m) for i, t, n in zip(some.to_pylist(), texts.take(some).to_pylist(), each) for m in mentions(t, *n)]
         at = pa.array([r[0] for r in rows], pa.int64())
         return pa.RecordBatch.from_arrays(
             [batch.column("src").take(at), batch.column("row_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
@@ -414,8 +451,12 @@ def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
 def deidentify(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
     """(src, row_id, text) with typed placeholders, one row for each distinct text of a key; null texts are left out."""
 
-    def act(batch: pa.RecordBatch, names: Iterable) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "row_id", "digest")), pa.array([redacted(t, *n) for t, n in zip(batch.column("text").to_pylist(), names)], pa.string())], names=["src", "row_id", "digest", "text"])
+    def act(batch: pa.RecordBatch, names: tuple | list) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        some = may_mention(batch.column("text"), *names).to_pylist() if isinstance(names, tuple) else range(len(texts))
+        for i in some:
+            texts[i] = redacted(texts[i], *(names if isinstance(names, tuple) else names[i]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "row_id", "digest")), pa.array(texts, pa.string())], names=["src", "row_id", "digest", "text"])
 
     made = _with_names(free_texts(annotations, feedback).withColumn("digest", _digest()), act, "src string, row_id bigint, digest string, text string")
     return made.dropDuplicates(["src", "row_id", "digest"]).drop("digest")

@@ -300,6 +300,21 @@ def test_mentions_in_words_and_other_languages(text, want):
     assert pii.mentions(text) == want
 
 
+def test_texts_that_are_passed_over_hold_nothing():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    held = ["성명: 김가온", "Contact: Imogen Farrow", "담당 박세찬 주무관", "이가온이", "orla QUILLBY", "nuri@mail.example", "raon.b골뱅이inbox.invalid", "nuri [ at ] mail . example", "x (AT) y.org", "nuri at mail.example", "john at example dot com", "010-0136-5537", "(02) 0627 - 7007", "+82 10-0749-0716",
+            "01O-0l36-5537", "０１０－０２２９－９６２３", "공일공-공팔육오-구팔삼팔", "공 일 공 오 오 이 일 구 구 영 사", "zero one zero, five five two one, nine nine zero four", "841008-1400745", "841008 - 1400745", "M38660382", "17-14-958718-31",
+            "단비시 여울길 292, 120동 1505호", "가람시 새빛동 338-32번지", "도담군  들길 3", "93 Fallow Road, Apt 48", "Lindenstraße 12", "Am Markt 3 b", "北京市海淀区中关村大街27号", "姓名：王小明", "어제 이가온 씨가", "Q. Quillby"]
+    texts = [rng.choice(["", "그리고 ", "page ", "\n", "( "]) + h + rng.choice(["", " 거주", ", not", "\n2", ")"]) for h in held for _ in range(8)] + ["plain words only", "제12조 제3항", "", None, "가나다 라마"]
+    some = set(pii.may_mention(pa.array(texts), GIVEN, LATIN).to_pylist())
+    assert sum(bool(pii.mentions(t, GIVEN, LATIN)) for t in texts) > 200
+    assert not [t for i, t in enumerate(texts) if i not in some and pii.mentions(t, GIVEN, LATIN)] and not some & set(range(len(texts) - 5, len(texts)))
+    learnt = set(pii._matching(pa.array(texts), (pii._LABEL_WORDS, pii._FAR)).to_pylist())
+    assert not [t for i, t in enumerate(texts) if i not in learnt and t and list(pii.labelled_names(t))]
+
+
 def test_plain_form_maps_back():
     for text in ("Ｓ–００１ ﬁn ㎏ nuri @ mail.example", "가나 공일공-공팔육오-구팔삼팔 x (at) y", "á plain"):
         form, at = pii.plain(text)
