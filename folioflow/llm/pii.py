@@ -295,15 +295,16 @@ DETECTORS = (("EMAIL", EMAIL, re.compile("@")), ("ID_NUMBER", ID_NUMBER, re.comp
 _HINT = re.compile(r"[0-9０-９@＠]|[가-힣]{3}|[가-힣]{1,2} [가-힣]{2}|[공영] ?일|[A-Za-zＡ-Ｚａ-ｚ]{3}|[一-鿿〇]{2}|[\u0e00-\u0e7f]{3}|[A-ZＡ-Ｚ]\.")
 
 
-def mentions(text: str | None, given: frozenset[str] = frozenset(), latin: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+def mentions(text: str | None, given: frozenset[str] = frozenset(), latin: frozenset[str] = frozenset(), disguised: bool = True) -> list[tuple[str, int, int]]:
     """(type, start, end) of the personal information in a text, as source offsets in order, without overlaps.
 
     A mention starts at its first letter or digit. Where detectors overlap the earlier kind in DETECTORS, then NAME,
-    keeps its span. Null and blank texts have none; a text is searched as a whole, however long.
+    keeps its span. Null and blank texts have none; a text is searched as a whole, however long. One that is known to be its
+    own plain form need not be rewritten (``disguised``).
     """
     if not text or not _HINT.search(text):
         return []
-    form, at = plain(text)
+    form, at = plain(text) if disguised else (text, None)
     found: list[tuple[int, int, str]] = []
     spans = [(kind, m.span()) for kind, pattern, hint in (DETECTORS if _DIGIT.search(form) else DETECTORS[:1]) if hint.search(form) for m in pattern.finditer(form)] + [("NAME", span) for span in (*_names(form, given, latin), *_announced(form))]
     for kind, (a, b) in spans:
@@ -332,6 +333,10 @@ _MAY_MENTION = tuple((
     rf"(?i:{_DIGIT_WORD})[ .,-]{{0,2}}(?i:{_DIGIT_WORD})[ .,-]{{0,2}}(?i:{_DIGIT_WORD})",
     rf"\s(?i:{DOT_WORDS})\s",
 ))
+#: What a text must have for its plain form to differ from it.
+_MAY_DISGUISE = (
+    _FAR, r"[0-9][-) .]{0,2}[OoQIl|BSZ]|[OoQIl|BSZ][-) .]{0,2}[0-9]", rf"\s@|@\s|골뱅이|[(\[{{<]\s*(?i:{AT_WORDS}|@)|\s(?i:at)\s|[(\[{{]\s*(?i:{DOT_WORDS})", *_MAY_MENTION[-3:], f"[공영][{''.join(SPELLED)}]",
+)
 #: Up to so many known parts are searched for in the buffers; with more every text is read.
 MOST_SEARCHED = 2_000
 
@@ -437,7 +442,10 @@ def find_mentions(annotations: DataFrame, feedback: DataFrame) -> DataFrame:
         texts = batch.column("text")
         some = may_mention(texts, *names) if isinstance(names, tuple) else pa.array(np.arange(len(texts)))
         each = repeat(names) if isinstance(names, tuple) else names
-        rows = [(i, *m) for i, t, n in zip(some.to_pylist(), texts.take(some).to_pylist(), each) for m in mentions(t, *n)]
+        texts = texts.take(some)
+        disguised = np.zeros(len(texts), bool)
+        disguised[_matching(texts, _MAY_DISGUISE)] = True
+        rows = [(i, *m) for i, t, n, d in zip(some.to_pylist(), texts.to_pylist(), each, disguised.tolist()) for m in mentions(t, *n, d)]
         at = pa.array([r[0] for r in rows], pa.int64())
         return pa.RecordBatch.from_arrays(
             [batch.column("src").take(at), batch.column("row_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],

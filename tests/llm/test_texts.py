@@ -311,6 +311,8 @@ def test_texts_that_are_passed_over_hold_nothing():
     some = set(pii.may_mention(pa.array(texts), GIVEN, LATIN).to_pylist())
     assert sum(bool(pii.mentions(t, GIVEN, LATIN)) for t in texts) > 200
     assert not [t for i, t in enumerate(texts) if i not in some and pii.mentions(t, GIVEN, LATIN)] and not some & set(range(len(texts) - 5, len(texts)))
+    disguised = set(pii._matching(pa.array(texts), pii._MAY_DISGUISE).to_pylist())
+    assert not [t for i, t in enumerate(texts) if i not in disguised and t and pii.plain(t) != (t, None)] and len(disguised) < 0.8 * len(texts)
     learnt = set(pii._matching(pa.array(texts), (pii._LABEL_WORDS, pii._FAR)).to_pylist())
     assert not [t for i, t in enumerate(texts) if i not in learnt and t and list(pii.labelled_names(t))]
 
