@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,7 +225,7 @@ def volume_marks(edges: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]
     in_band, apart = F.col("_may") & F.col("banded"), F.col("_may") & F.expr("banded or apart")
     by_page = lines.groupBy("volume", "page_no").agg(F.max(in_band).cast("int").alias("banded"), F.max(apart).cast("int").alias("loose"))
     sizes = _around(by_page.groupBy("volume", _block()).agg(F.count("*").alias("pages"), F.sum("banded").alias("banded"), F.sum("loose").alias("loose")))
-    forms = lines.filter("_may and (banded or apart or behind)").select("volume", "page_no", "form").distinct().groupBy("volume", _block(), "form").agg(F.count("*").alias("n"))
+    forms = lines.filter("_may and (banded or apart or behind)").groupBy("volume", _block(), "form").agg(F.size(F.collect_set("page_no")).alias("n"))
     lists = _around(forms, "form").groupBy("volume", "block").agg(F.collect_list(F.struct("form", "n")).alias("forms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +315,7 @@ class PageReader:
         return found
 
 
-def _lexicon(spark, terms: DataFrame):
+def _lexicon(spark, terms: DataFrame) -> Broadcast:
     rows = [r[0] for r in terms.select("term").filter("term is not null").distinct().limit(MOST_TERMS + 1).collect()]
     if len(rows) > MOST_TERMS:
         raise ValueError(f"a lexicon of more than {MOST_TERMS} terms is not broadcast")
@@ -387,10 +388,9 @@ def _paragraphs(parts: list[list[str]], widths: list[int]) -> str:
 _PAGE = (("src", pa.string()), ("volume", pa.string()), ("page_no", pa.int32()), ("analysis_id", pa.string()))
 
 
-def read_pages(pages: DataFrame, lexicon: DataFrame, made: Callable[[tuple, Page], Iterator[tuple]], columns: tuple, kinds: str, texts: bool = False) -> DataFrame:
+def read_pages(pages: DataFrame, terms: Broadcast, made: Callable[[tuple, Page], Iterator[tuple]], columns: tuple, kinds: str, texts: bool = False) -> DataFrame:
     """Rows that ``made`` gives for each page's key (src, volume, page_no, analysis_id) and reading, after that key."""
     marks, bands = volume_marks(cut_lineage(_edge_rows(pages)))
-    terms = _lexicon(pages.sparkSession, lexicon)
     joined = pages.withColumn("block", _block()).join(marks, ["volume", "block"], "left")
     fields = [*_PAGE, *columns]
     mark_names = ("shift", "support", "pages", "banded", "loose")
@@ -412,12 +412,11 @@ def read_pages(pages: DataFrame, lexicon: DataFrame, made: Callable[[tuple, Page
     return joined.select(*(c for c, _ in _PAGE), *mark_names, "running", "frequent", F.col("lines.text").alias("texts"), F.col("lines.id").alias("ids"), F.col("lines.y").alias("ys"), width.alias("widths")).mapInArrow(run, "src string, volume string, page_no int, analysis_id string, " + kinds)
 
 
-def _across(ends: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _across(ends: DataFrame, terms: Broadcast) -> DataFrame:
     """(volume, page_no, analysis_id, whole): the words that a page's last line breaks off, completed by the next page.
 
     ``ends``: volume, page_no, analysis_id, first_token, last_token of pages with running text.
     """
-    terms = _lexicon(ends.sparkSession, lexicon)
     heads = ends.groupBy("volume", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("analysis_id", "first_token")).alias("_next")).select("volume", "page_no", "_next.first_token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,10 +449,11 @@ def find_noise(ocr_line_data: DataFrame, ocr_line: DataFrame, lexicon: DataFrame
             yield line, kind, None, None
 
     pages = cut_lineage(scanned_pages(ocr_line_data, ocr_line))
-    read = cut_lineage(read_pages(pages, lexicon, made, (("line_id", pa.int32()), ("noise", pa.string()), ("token", pa.string()), ("misread", pa.bool_())), "line_id int, noise string, token string, misread boolean"))
+    terms = _lexicon(pages.sparkSession, lexicon)
+    read = cut_lineage(read_pages(pages, terms, made, (("line_id", pa.int32()), ("noise", pa.string()), ("token", pa.string()), ("misread", pa.bool_())), "line_id int, noise string, token string, misread boolean"))
     first, last = read.filter("noise = 'first'"), read.filter("noise = 'last'")
     ends = last.select("volume", "page_no", "analysis_id", F.col("token").alias("last_token")).join(first.select("volume", "page_no", "analysis_id", F.col("token").alias("first_token")), ["volume", "page_no", "analysis_id"])
-    wholes = _across(ends, lexicon)
+    wholes = _across(ends, terms)
     before = wholes.select("volume", (F.col("page_no") + 1).alias("page_no"))
     row = lambda rows, kind: rows.select("src", "analysis_id", "line_id", F.lit(kind).alias("noise"))
     return (
@@ -476,8 +476,9 @@ def readable_pages(ocr_line_data: DataFrame, ocr_line: DataFrame, lexicon: DataF
 
     pages = cut_lineage(scanned_pages(ocr_line_data, ocr_line))
     columns = (("first_token", pa.string()), ("last_token", pa.string()), ("text", pa.string()))
-    read = cut_lineage(read_pages(pages, lexicon, made, columns, "first_token string, last_token string, text string", texts=True))
-    wholes = _across(read.filter("volume is not null and first_token is not null").drop("src", "text"), lexicon)
+    terms = _lexicon(pages.sparkSession, lexicon)
+    read = cut_lineage(read_pages(pages, terms, made, columns, "first_token string, last_token string, text string", texts=True))
+    wholes = _across(read.filter("volume is not null and first_token is not null").drop("src", "text"), terms)
     before = wholes.groupBy("volume", (F.col("page_no") + 1).alias("page_no")).agg(F.min("whole").alias("before"))
     both = read.join(wholes, ["volume", "page_no", "analysis_id"], "left").join(before, ["volume", "page_no"], "left")
     text = F.when(F.col("before").isNotNull(), F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
