@@ -23,6 +23,7 @@ from folioflow.plans.ranks import preceding_total
 #: Stretches of tape that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
+
 def source_key(source: Column) -> Column:
     """A source apart from letter case, outer blanks and ``-`` for ``_``; blank is null."""
     key = F.replace(F.lower(F.trim(narrow(source))), F.lit("-"), F.lit("_"))
