@@ -1,51 +1,52 @@
-"""Same or near-same pages across splits: winnowing fingerprints, seed chains, alignment.
+"""Same or near-same pages across splits: all pairs by size and bitmaps, seed chains, alignment.
 
 Texts are compared without spacing, case, width and punctuation. Equal texts form a class and only classes are
-compared, so copies cost nothing. Each class is reduced to winnowing fingerprints, the smallest rolling hash of every
-window of grams. Long texts have long clean runs even where a fifth of them differs, short ones have not, so the gram
-follows from the size of the training text (``GRAMS``); held-out classes are fingerprinted in every gram that a
-training text of up to a fifth more or less may have, so no size falls between two grams.
-
-Fingerprints that at most HEAVY classes have link whatever has them in common. Of the others, which are boilerplate, a
-class joins with its rarest ones, as many as a prefix filter needs to miss no pair that shares SHARED of its
-fingerprints; the most common fifth of a page links nothing. Joins on them are salted.
-
-Where a fingerprint is joined, a bitmap of the letters of both texts bounds their distance from below; only pairs that
-may be near-same leave that stage. They are verified by chaining the collinear seeds and aligning what lies between
-them and, where that is too far, by aligning the whole.
+compared, so copies cost nothing. No seed is in every pair that differs by a fifth (an edit every five letters leaves
+runs of four), so every training class is held against every held-out class whose size allows it. That is done on
+bitmaps of letters and of grams, which bound the distance from below and never rule out a near-same pair; one
+comparison is a few machine words. Bands of sizes and groups of classes in them make blocks of bounded work, into
+which the bitmaps alone are shuffled; texts are joined only to pairs that may be near-same.
+
+Those are verified by chaining the collinear seeds of both (the smallest rolling hash of every window of grams) and
+aligning what lies between them and, where that is too far, by aligning the whole.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioflow.functions.ids import page_key
 from folioflow.llm.mixture import source_key
-from folioflow.llm.textforms import code_points, compact, edit_distance, folded, rolling_hashes
+from folioflow.llm.textforms import code_points, compact, edit_distance, folded, letter_masks, masked_distance, rolling_hashes
 from folioflow.plans.lineage import cut_lineage
-from folioflow.plans.skew import join_hot
 
 #: Greatest edit distance, as a share of the longer text.
 DISTANCE = 0.2
-#: (gram, window) of texts from so many letters on. Where a fifth of the letters differs at random, such texts have a run
-#: in common that the windows cannot miss in at least 19 of 20 cases.
+#: (gram, window) of the seeds of texts from so many letters on.
 GRAMS = ((0, 2, 1), (12, 3, 1), (24, 4, 2), (36, 5, 2), (48, 6, 3), (72, 8, 3), (170, 10, 4), (340, 12, 5))
-#: Fingerprints of more classes than this are boilerplate.
-HEAVY = 100
-#: Least share of its fingerprints that a page has in common with a near-same page, if all of them are boilerplate.
-SHARED = 0.2
-#: Training classes with a boilerplate fingerprint are dealt out to so many groups.
-SALTS = 32
-#: Bits of the letter bitmap, in words of 64.
+#: Training classes of a block, and held-out classes that one copy of it meets, in HEAVY.
+HEAVY, SALTS = 32_768, 8
+#: Mean size up to which a block may have HEAVY classes; longer ones are fewer.
+LETTERS = 256
+#: Texts of so many letters are first aligned as a whole.
+MASKED = 4096
+#: Words of 64 bits of a letter bitmap, if nothing else is asked for.
 WORDS = 8
+#: (gram, words, least words): bitmaps of a class, in multiples of the words of its letter bitmap. In long texts most
+#: letters and pairs of letters are the same anyway.
+LEVELS = ((1, 1, 0), (2, 2, 0), (4, 8, 16))
 _BOUNDS = np.array([low for low, _, _ in GRAMS])
 
 
@@ -101,19 +102,20 @@ def fingerprints(text: str, longer: int | None = None) -> tuple[np.ndarray, np.n
     return hashes, places
 
 
-def letter_bits(text: str) -> np.ndarray:
-    """Bitmap of the letters of a compact text, equal ones told apart by their count (WORDS words).
+def letter_bits(text: str, words: int = WORDS, gram: int = 1) -> np.ndarray:
+    """Bitmap of the letters or grams of a compact text, equal ones told apart by their count.
 
     Each edit adds or takes one letter, so a text has at least as many letters more than another as it has bits more.
     """
-    points = np.sort(code_points(text)).astype(np.uint64)
+    points = code_points(text)
+    points = np.sort(points.astype(np.uint64) if gram == 1 else rolling_hashes(points, gram))
     if not len(points):
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(words, np.uint64)
     new = np.r_[True, points[1:] != points[:-1]]
     place = np.arange(len(points))
     nth = place - np.maximum.accumulate(np.where(new, place, 0))
-    bit = ((points * np.uint64(1 << 20) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * WORDS)
-    flags = np.zeros(64 * WORDS, np.uint8)
+    bit = ((points * np.uint64(1 << 20) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * words)
+    flags = np.zeros(64 * words, np.uint8)
     flags[bit.astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
@@ -142,6 +144,8 @@ class Texts:
     def __init__(self) -> None:
         self.made: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         self.letters: dict[str, Counter[str]] = {}
+        self.bits: dict[str, dict[str, int]] = {}
+        self.size = 0
 
     def prints(self, text: str, longer: int) -> tuple[np.ndarray, np.ndarray]:
         key = text, int(gram_numbers(np.array([longer]))[0])
@@ -154,6 +158,15 @@ class Texts:
             self.letters[text] = Counter(text)
         return self.letters[text]
 
+    def masks(self, text: str) -> dict[str, int]:
+        if text not in self.bits:
+            # Masks take far more room than their text, so they are not kept for a whole batch.
+            if self.size > 1_000_000:
+                self.bits, self.size = {}, 0
+            self.bits[text] = letter_masks(text)
+            self.size += len(text)
+        return self.bits[text]
+
 
 def aligned_distance(a: str, b: str, most: int, texts: Texts | None = None) -> int:
     """Edit distance of two compact texts along their seed chain, or a number above ``most``.
@@ -166,14 +179,17 @@ def aligned_distance(a: str, b: str, most: int, texts: Texts | None = None) -> i
     counts = texts.counted(other)
     if sum(max(0, k - counts[c]) for c, k in texts.counted(longer).items()) > most:
         return most + 1
+    # Most pairs are far apart; that shows soon in columns of bits, which are long in long texts, however.
+    if len(longer) <= MASKED and masked_distance(texts.masks(longer), len(longer), other, most) > most:
+        return most + 1
     x, y = code_points(a), code_points(b)
     total, i, j = 0, 0, 0
     for p, q in [*chain(texts.prints(a, len(a)), texts.prints(b, len(a))), (len(x), len(y))]:
         if p < i or q < j:
             continue
-        total += edit_distance(x[i:p], y[j:q])
+        total += edit_distance(x[i:p], y[j:q], most - total)
         if total > most:
-            return edit_distance(x, y, most)
+            return masked_distance(texts.masks(longer), len(longer), other, most)
         # A seed matches in its folded form; only the part that is the same as it stands is skipped.
         same = 0
         while p + same < len(x) and q + same < len(y) and x[p + same] == y[q + same]:
@@ -195,70 +211,178 @@ def page_texts(annotations: DataFrame) -> DataFrame:
     return joined.select("page", compact_text(F.array_join(F.transform(F.filter("_notes", once), lambda x: x["text"]), " ")).alias("text")).filter("text <> ''")
 
 
-def _prints(classes: DataFrame) -> DataFrame:
-    """(class, print, n, trains, tests): each class in its own gram, held-out ones in those of all partners as well.
+class Places(NamedTuple):
+    """Where classes are compared: in each band of sizes, training classes lie in groups, each group in copies.
 
-    The lowest bits of a print number its gram; n counts the class's fingerprints of that gram.
+    A group has at most HEAVY classes on average, a copy meets at most SALTS * HEAVY held-out ones; ``first`` is the
+    number of the band's first block.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = [folded(t) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(p) for p in points], np.int64)
-            trains, tests = (np.asarray(batch.column(c).to_pylist(), bool) for c in ("trains", "tests"))
-            own = gram_numbers(sizes)
-            low, high = gram_numbers(np.ceil(sizes * (1 - DISTANCE)).astype(np.int64)), gram_numbers(np.floor(sizes / (1 - DISTANCE)).astype(np.int64))
-            parts = []
-            for number, (_, gram, window) in enumerate(GRAMS):
-                asked = (trains & (own == number)) | (tests & (low <= number) & (number <= high))
-                some = np.flatnonzero(asked)
-                if len(some):
-                    at, hashes, _ = winnowed([points[i] for i in some], gram, window)
-                    parts.append((some[at], (hashes << np.uint64(3)) | np.uint64(number), np.bincount(at, minlength=len(some))[at], (trains & (own == number))[some[at]]))
-            at, prints, n, train = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(at)), pa.array(prints.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(train), pa.array(tests[at])],
-                names=["class", "print", "n", "trains", "tests"],
-            )
-
-    return classes.select("class", "text", "trains", "tests").mapInArrow(run, "class bigint, print bigint, n int, trains boolean, tests boolean")
-
-
-def _bitmaps(classes: DataFrame) -> DataFrame:
-    """(class, chars, bits): size and letter bitmap of each class."""
+    first: int
+    groups: int
+    copies: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.array([letter_bits(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("chars"), *(pa.array(bits[:, i].copy()) for i in range(WORDS))], names=["class", "chars", *(f"w{i}" for i in range(WORDS))])
 
-    return classes.select("class", F.length("text").alias("chars"), "text").mapInArrow(run, "class bigint, chars int, " + ", ".join(f"w{i} bigint" for i in range(WORDS)))
+def band_of(size: Column) -> Column:
+    """Band of a number of letters; near-same texts lie in the same or in neighbouring bands. Rises with the size."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1 / (1 - DISTANCE))).cast("int")
 
 
-def _more(a: str, b: str) -> Column:
-    """How many bits ``a`` has that ``b`` has not."""
-    return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseAND(F.bitwise_not(f"{b}.w{i}"))) for i in range(WORDS)), F.lit(0))
+def band_words(band: int) -> int:
+    """Words of the letter bitmap in a band, a power of two: at least two bits a letter of its longest texts."""
+    return 1 << max(1, math.ceil(math.log2((1 - DISTANCE) ** -(band + 1) / 32)))
+
+
+def places(classes: DataFrame) -> tuple[dict[int, Places], int]:
+    """(places of each band with training classes, number of blocks). One row a band reaches the driver."""
+    trained = F.col("trains").cast("int")
+    counts = classes.groupBy(band_of(F.length("text")).alias("band")).agg(F.sum(trained).alias("n"), F.sum(trained * F.length("text")).alias("letters"), F.sum(F.col("tests").cast("int")).alias("m"))
+    rows = {r["band"]: r for r in counts.collect()}
+    found, blocks = {}, 0
+    for band in sorted(rows):
+        if not rows[band]["n"]:
+            continue
+        groups = max(1, -(-rows[band]["n"] // HEAVY), -(-rows[band]["letters"] // (HEAVY * LETTERS)))
+        copies = max(1, -(-sum(rows[k]["m"] for k in range(band - 1, band + 2) if k in rows) // (HEAVY * SALTS)))
+        found[band] = Places(blocks, groups, copies)
+        blocks += groups * copies
+    return found, blocks
+
+
+def _bitmaps(classes: DataFrame, found: dict[int, Places]) -> DataFrame:
+    """(block, test, class, chars, words, bits): the bitmaps of each class (see LEVELS), in each block where it is compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some for whole in batches for some in pa.Table.from_batches([whole]).to_batches(max_chunksize=1000)):
+            out: dict[str, list] = {k: [] for k in ("blocks", "test", "class", "chars", "words", "bits")}
+            for number, text, chars, trains, tests, band, low, high in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "chars", "trains", "tests", "band", "low", "high")), strict=True):
+                at = []
+                if trains:
+                    first, groups, copies = found[band]
+                    start = first + number % groups * copies
+                    at.append((False, list(range(start, start + copies))))
+                if tests:
+                    near = [found[k] for k in range(low, high + 1) if k in found]
+                    at.append((True, [first + group * copies + number % copies for first, groups, copies in near for group in range(groups)]))
+                words = band_words(band)
+                bits = np.concatenate([letter_bits(text, words * times, gram) for gram, times, least in LEVELS if words >= least]).tobytes()
+                for test, blocks in at:
+                    for k, v in zip(out, (blocks, test, number, chars, words, bits), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.list_(pa.int32()), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=list(out))
+
+    size = F.length("text")
+    # A letter more on either side, so that no rounding leaves out a band.
+    low, high = band_of(F.floor(size * (1 - DISTANCE)) - 1), band_of(F.ceil(size / (1 - DISTANCE)) + 1)
+    rows = classes.select("class", "text", size.alias("chars"), "trains", "tests", band_of(size).alias("band"), low.alias("low"), high.alias("high"))
+    made = rows.mapInArrow(run, "blocks array<int>, test boolean, class bigint, chars int, words int, bits binary")
+    return made.select(F.explode("blocks").alias("block"), "test", "class", "chars", "words", "bits")
+
+
+class Bitmaps:
+    """Classes with bitmaps of ``words`` words (times those of LEVELS), in the order of their size."""
+
+    def __init__(self, numbers: np.ndarray, chars: np.ndarray, words: int, bits: list[np.ndarray]) -> None:
+        self.numbers, self.chars, self.words, self.bits = numbers, chars, words, bits
+        self.most = np.floor(chars * DISTANCE).astype(np.int32)
+        self.ones = [np.bitwise_count(level).sum(axis=1, dtype=np.int32) for level in bits]
+        self.columns = np.ascontiguousarray(bits[0].T)
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Bitmaps:
+        """Of rows (class, chars, words, bits) of as many words."""
+        numbers, chars, words = rows["class"].to_numpy(), rows["chars"].to_numpy(), rows["words"][0].as_py()
+        order = np.argsort(chars, kind="stable")
+        flat = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        ends = np.cumsum([words * times for _, times, least in LEVELS if words >= least])
+        return cls(numbers[order], chars[order], words, np.split(flat, ends[:-1], axis=1))
+
+    def folded_to(self, words: int) -> Bitmaps:
+        """The same with fewer words: a bit lies where its number modulo the new size says."""
+        if words == self.words:
+            return self
+        levels = [level for level, (_, _, least) in zip(self.bits, LEVELS, strict=False) if words >= least]
+        small = [np.bitwise_or.reduce(level.reshape(len(level), self.words // words, -1), axis=1) for level in levels]
+        return Bitmaps(self.numbers, self.chars, words, small)
+
+
+def near_bitmaps(left: Bitmaps, right: Bitmaps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places in left, in right) that sizes and bitmaps allow to be near-same; every pair is compared.
+
+    One edit takes at most as many grams of a text as a gram has letters, so a text has at most that many bits for each
+    edit which the other has not.
+    """
+    # Three words fit into a byte; 64 * words bits and a fifth of 64 * words letters at most fit into two up to 255 words.
+    number = np.int16 if left.words < 256 else np.int32
+    most_x, ones_x = left.most.astype(number), left.ones[0].astype(number)
+    rooms = [np.empty(32 * 4096, kind) for kind in (np.uint64, np.uint8, np.uint8, number, number, number)]
+    for top in range(0, len(right.chars), 32):
+        rows = slice(top, top + 32)
+        sizes, most_y, ones_y = right.chars[rows], right.most[rows, None].astype(number), right.ones[0][rows, None].astype(number)
+        begin, end = np.searchsorted(left.chars, [int(sizes[0] * (1 - DISTANCE)) - 1, int(sizes[-1] / (1 - DISTANCE)) + 2])
+        for start in range(begin, end, 4096):
+            part = slice(start, min(end, start + 4096))
+            shape = len(sizes), part.stop - start
+            both, count, few, common, most, ones = (room[: shape[0] * shape[1]].reshape(shape) for room in rooms)
+            common[:] = 0
+            for word in range(0, left.words, 3):
+                few[:] = 0
+                for x, y in zip(left.columns[word : word + 3, part], right.columns[word : word + 3, rows], strict=True):
+                    np.bitwise_and(x, y[:, None], out=both)
+                    few += np.bitwise_count(both, out=count)
+                common += few
+            common += np.maximum(most_x[part], most_y, out=most)
+            at = np.flatnonzero(common >= np.maximum(ones_x[part], ones_y, out=ones))
+            i, j = at % shape[1] + start, at // shape[1] + top
+            fits = np.abs(left.chars[i] - right.chars[j]) <= np.maximum(left.most[i], right.most[j])
+            i, j = i[fits], j[fits]
+            for level, (gram, _, _) in enumerate(LEVELS[: min(len(left.bits), len(right.bits))]):
+                if level and len(i):
+                    keep = np.zeros(len(i), bool)
+                    for k in range(0, len(i), 2048):
+                        p, q = i[k : k + 2048], j[k : k + 2048]
+                        shared = np.bitwise_count(left.bits[level][p] & right.bits[level][q]).sum(axis=1, dtype=np.int32)
+                        keep[k : k + 2048] = shared + gram * np.maximum(left.most[p], right.most[q]) >= np.maximum(left.ones[level][p], right.ones[level][q])
+                    i, j = i[keep], j[keep]
+            if len(i):
+                yield i, j
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows that come block by block, the training classes of each first; held-out ones stream by."""
+    block, parts, sides = None, [], {}
+    for batch in batches:
+        blocks, tests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "test"))
+        edges = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (tests[1:] != tests[:-1])) + 1).tolist(), len(blocks)]
+        for start, end in itertools.pairwise(edges):
+            if start == end:
+                continue
+            if blocks[start] != block:
+                block, parts, sides = blocks[start], [], {}
+            run = pa.Table.from_batches([batch.slice(start, end - start)])
+            if not tests[start]:
+                parts.append(run)
+                continue
+            if parts:
+                # All of a block's training classes are of one band, so of one number of words.
+                made = Bitmaps.of(pa.concat_tables(parts))
+                parts, sides = [], {made.words: made}
+            for size in np.unique(run["words"].to_numpy()).tolist() if sides else []:
+                most = max(sides)
+                right = Bitmaps.of(run.filter(pc.field("words") == size)).folded_to(min(size, most))
+                if right.words not in sides:
+                    sides[right.words] = sides[most].folded_to(right.words)
+                left = sides[right.words]
+                for i, j in near_bitmaps(left, right):
+                    a, b = left.numbers[i], right.numbers[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a fingerprint and whose letters allow them to be near-same; a trains, b tests."""
-    prints = _prints(classes)
-    shared = prints.groupBy("print").agg(F.count("*").alias("df"), F.max("trains").alias("_t"), F.max("tests").alias("_h")).filter("_t and _h and df > 1").select("print", "df")
-    gram = F.col("print").bitwiseAND(F.lit(7))
-    rarest = Window.partitionBy("class", gram).orderBy("df", "print")
-    # Fingerprints of one side only come first in the order; they fill the prefix but can link nothing.
-    place = F.row_number().over(rarest) + F.col("n") - F.count("*").over(Window.partitionBy("class", gram))
-    kept = (
-        join_hot(prints, shared.withColumn("_n", F.col("df")), ["print"], ["class"], "_n").join(_bitmaps(classes), "class").withColumn("_place", place)
-        .filter((F.col("df") <= HEAVY) | (F.col("_place") <= F.col("n") - F.ceil(F.col("n") * SHARED) + 1)).drop("_place", "n")
-    )
-    hot = F.col("df") > HEAVY
-    left = kept.filter("trains").withColumn("salt", F.when(hot, F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).otherwise(0)).alias("x")
-    right = kept.filter("tests").withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("y")
-    most = F.greatest("x.chars", "y.chars") * DISTANCE
-    near = (F.abs(F.col("x.chars") - F.col("y.chars")) <= most) & (_more("x", "y") <= most) & (_more("y", "x") <= most)
-    joined = left.join(right, (F.col("x.print") == F.col("y.print")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.class") != F.col("y.class")) & near)
-    return joined.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    """(a, b): all classes whose sizes and bitmaps allow them to be near-same, each pair once; a trains, b tests."""
+    found, blocks = places(classes)
+    rows = _bitmaps(classes, found).repartitionById(max(1, blocks), F.col("block")).sortWithinPartitions("block", "test")
+    return rows.mapInArrow(_compared, "a bigint, b bigint")
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:

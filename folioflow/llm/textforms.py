@@ -106,13 +106,20 @@ def letter_masks(text: str) -> dict[str, int]:
     return masks
 
 
-def masked_distance(masks: dict[str, int], size: int, other: str) -> int:
-    """Edit distance of the text of ``size`` letters that ``masks`` stand for and another (columns of bits, after Myers)."""
+def masked_distance(masks: dict[str, int], size: int, other: str, most: int | None = None) -> int:
+    """Edit distance of the text of ``size`` letters that ``masks`` stand for and another (columns of bits, after Myers).
+
+    Where it is above ``most``, if that is given, any number above it.
+    """
     full = (1 << size) - 1
     last, up, down, far = 1 << size >> 1, full, 0, size
     if not size:
         return len(other)
-    for c in other:
+    # Each letter that is left can take one from the distance at most.
+    end = None if most is None else most + len(other)
+    for place, c in enumerate(other):
+        if end is not None and far + place > end:
+            return most + 1
         same = masks.get(c, 0)
         across = (((same & up) + up) ^ up) | same
         more, less = down | (full & ~(across | up)), up & across

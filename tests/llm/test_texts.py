@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import leakage, overlap, pii, sentences, textforms
@@ -224,6 +226,66 @@ def test_near_same_pages_with_spread_differences(spark, sizes, rate, least):
     assert len(got) >= least and got <= {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+def near_same(a, b):
+    return textforms.edit_distance(textforms.code_points(a), textforms.code_points(b)) <= overlap.DISTANCE * max(len(a), len(b))
+
+
+@pytest.mark.parametrize("blocks", [None, (3, 2)])
+def test_every_pair_within_a_fifth_is_found(spark, monkeypatch, blocks):
+    # An edit at every fifth letter leaves runs of four only; in forms all that pages share may be what all pages have.
+    if blocks:
+        monkeypatch.setattr(overlap, "HEAVY", blocks[0])
+        monkeypatch.setattr(overlap, "SALTS", blocks[1])
+    rng = random.Random(12)
+    common = "".join(rng.choices(HANGUL, k=90))
+    texts = []
+    for size in (1, 2, 4, 5, 6, 9, 10, 15, 20, 31, 60, 85, 86, 120, 150, 169, 212, 240, 265, 330, 700):
+        for signs in (HANGUL, "abcdefghijklmnopqrstuvwxyz0123456789"):
+            a = "".join(rng.choices(signs, k=size))
+            for kind in ("other", "gone", "more"):
+                places = range(4, size, 5)
+                texts += [a, "".join("" if i in places and kind == "gone" else c + rng.choice(signs) if i % 4 == 3 and kind == "more" else rng.choice(signs) if i in places and kind == "other" else c for i, c in enumerate(a))]
+    for _ in range(20):
+        a = common + "".join(rng.choices(HANGUL, k=40))
+        texts += [a, "".join(rng.choice(HANGUL) if i % 5 == 2 else c for i, c in enumerate(a)), "".join(rng.choice(HANGUL) if i < 90 and i % 4 == 2 else c for i, c in enumerate(a))]
+    sides = [("train", "dev", "final")[i % 3] for i in range(len(texts))]
+    for i in range(0, len(texts) - 1, 2):
+        sides[i : i + 2] = rng.choice([("train", "dev"), ("final", "train")])
+    pages = [(i, f"ab12-{i:09d}-p001", side, "s", "x") for i, side in enumerate(sides)]
+    notes = [(i, page, 0, (text, None), "x", "y") for (i, page, *_), text in zip(pages, texts, strict=True)]
+    compact = [textforms.compact(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if (sides[i] == "train") != (sides[j] == "train") and abs(len(compact[i]) - len(compact[j])) <= overlap.DISTANCE * max(len(compact[i]), len(compact[j])) and near_same(compact[i], compact[j])}
+    got = sorted(map(tuple, overlap.found_pairs(spark.createDataFrame(pages, PAGES), spark.createDataFrame(notes, NOTES)).collect()))
+    assert got == sorted((j, i) for i, j in want) and len(got) > 100
+
+
+def bitmaps(texts, words):
+    bits = [b"".join(overlap.letter_bits(t, words * times, gram).tobytes() for gram, times, least in overlap.LEVELS if words >= least) for t in texts]
+    return overlap.Bitmaps.of(pa.table({"class": range(len(texts)), "chars": np.array([len(t) for t in texts], np.int32), "words": np.full(len(texts), words, np.int32), "bits": bits}))
+
+
+@pytest.mark.parametrize("signs", [HANGUL, "etaoinshrdlu"])
+def test_bitmaps_never_rule_out_a_near_same_pair(signs):
+    rng = random.Random(13)
+    for size in (3, 8, 17, 40, 100, 130, 211, 212, 270, 530, 1100):
+        texts = ["".join(rng.choices(signs, k=size)) for _ in range(30)]
+        others = [altered(rng, t, rate, kind) for t in texts for rate in (0.1, 0.2) for kind in ("other", "gone")]
+        words = overlap.band_words(int(math.log(size) / math.log(1 / (1 - overlap.DISTANCE))))
+        left, right = bitmaps(texts, words), bitmaps(others, words)
+        near = {(j // 4, j) for j in range(len(others)) if near_same(texts[j // 4], others[j])}
+        for x, y in ((left, right), (left.folded_to(words // 2), right.folded_to(words // 2))):
+            assert near and near <= {(x.numbers[i], y.numbers[j]) for p, q in overlap.near_bitmaps(x, y) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+
+
+def test_distances_above_the_bound_end_early():
+    rng = random.Random(14)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(1, 40))) for _ in range(2))
+        far, most = textforms.edit_distance(textforms.code_points(a), textforms.code_points(b)), rng.randrange(30)
+        assert (got := textforms.masked_distance(textforms.letter_masks(a), len(a), b, most)) == far or got > most < far
+        assert (overlap.aligned_distance(a, b, most) <= most) == (far <= most)
+
+
 @pytest.mark.parametrize("size", [24, 40, 60, 99, 120, 180, 240, 480, 1000, 4000])
 def test_items_with_a_tenth_of_wrong_letters(size):
     rng = random.Random(size)
